@@ -11,6 +11,7 @@ from spoor.constants import (
 from spoor.functions.ordered import percentiles, scan
 from spoor.functions.stats import bool_or, count_if, entropy_term, ratio
 from spoor.functions.text import normalize_name, nz, strip_prefixes
+from spoor.session import cut
 from spoor.operators.resolve import containing, resolve_refs, with_resolved
 
 NODE = ["repo_id", "node_id"]
@@ -268,8 +269,8 @@ def activation_pairs(events: DataFrame) -> DataFrame:
 
 def fuzzy_ends(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, raw, node): raw references that name a node by equality or containment either way."""
-    raw = pairs.select("repo_id", F.explode(F.array("s", "t")).alias("raw")).distinct().withColumn("raw_norm", normalize_name(F.col("raw")))
-    node = edges.select("repo_id", F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("node_norm", normalize_name(strip_prefixes(F.col("node"))))
+    raw = pairs.select("repo_id", F.explode(F.array("s", "t")).alias("raw")).select("repo_id", "raw", normalize_name(F.col("raw")).alias("raw_norm")).distinct()
+    node = edges.select("repo_id", F.explode(F.array("source", "target")).alias("node")).select("repo_id", "node", normalize_name(strip_prefixes(F.col("node"))).alias("node_norm")).distinct()
     near = containing(raw, node, ["repo_id"], "raw_norm", "node_norm").select("repo_id", "raw", "node")
     same = raw.select("repo_id", "raw", F.col("raw").alias("node")).join(node.select("repo_id", "node"), ["repo_id", "node"]).select("repo_id", "raw", "node")
     return near.unionByName(same).distinct()
@@ -344,8 +345,8 @@ def node_activation(nodes: DataFrame, events: DataFrame) -> DataFrame:
     """Per node: activation rate over runs, always / conditional / never, and what triggers it."""
     name = lambda ref: F.coalesce(nz(F.col(f"{ref}.node_name")), nz(F.col(f"{ref}.node_id")))
     seen = events.filter(F.col("event_type").isin(NODE_ACTIVITY)).select(*RUN, F.explode(F.array_compact(F.array(name("source_node"), name("target_node")))).alias("ref")).distinct()
-    refs = seen.select("repo_id", "ref").distinct().withColumn("ref_norm", normalize_name(F.col("ref")))
-    named = nodes.select("repo_id", "node_id", "node_ord").withColumn("node_norm", normalize_name(strip_prefixes(F.col("node_id"))))
+    refs = seen.select("repo_id", "ref", normalize_name(F.col("ref")).alias("ref_norm")).distinct()
+    named = nodes.select("repo_id", "node_id", "node_ord", normalize_name(strip_prefixes(F.col("node_id"))).alias("node_norm")).distinct()
     first = containing(refs, named, ["repo_id"], "ref_norm", "node_norm").groupBy("repo_id", "ref").agg(F.min_by("node_id", "node_ord").alias("node_id"))
     active = seen.join(first, ["repo_id", "ref"]).select("repo_id", "run_id", "node_id").distinct()
     error_runs = events.filter(F.col("event_type").startswith("error.")).select(*RUN).distinct().withColumn("err", F.lit(True))
@@ -448,7 +449,7 @@ def failure_impacts(nodes: DataFrame, events: DataFrame) -> DataFrame:
     caps = nodes.filter("node_type = 'capability'").select("repo_id", "node_id", norm(F.coalesce(nz(F.col("name")), F.col("class_name"))).alias("cap"))
     keys = caps.select("repo_id", "node_id", "cap", F.explode(F.array(F.col("node_id"), F.concat(F.lit("~"), F.col("cap")))).alias("key"))
     failed = hits.withColumn("key", F.explode(F.array_distinct(F.array(F.col("src_id"), F.concat(F.lit("~"), F.col("who")), F.concat(F.lit("~"), F.col("tool"))))))
-    failed = failed.join(keys, ["repo_id", "key"]).dropDuplicates([*NODE, "run_id", "event_id"])
+    failed = cut(failed.join(keys, ["repo_id", "key"]).dropDuplicates([*NODE, "run_id", "event_id"]))
     # first later recovery of the same tool
     rec = base.filter("recovers").select(*RUN, F.col("tool").alias("cap"), "event_id", "timestamp_ns", F.col("timestamp_ns").alias("at"), F.lit("").alias("node_id"))
     ask = failed.select(*RUN, "cap", "event_id", "timestamp_ns", F.lit(None).cast("long").alias("at"), "node_id")

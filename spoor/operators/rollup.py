@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spoor.constants import AGENT_END, AGENT_START, DELEGATIONS, RUN_ERRORS
 from spoor.functions.ordered import scan
-from spoor.functions.stats import count_if
+from spoor.functions.stats import count_if, ratio
 from spoor.functions.text import nz
 
 RUN = ["repo_id", "run_id"]
@@ -72,9 +72,10 @@ def llm_calls(events: DataFrame) -> DataFrame:
     )
     lat = (
         paired(events, ["llm.call_start"], ["llm.call_end"]).groupBy(*RUN)
-        .agg((F.avg("latency_ns") / 1e6).alias("avg_latency_ms"), F.count(F.lit(1)).alias("latency_count"))
+        .agg(F.sum("latency_ns").alias("latency_sum_ns"), F.count(F.lit(1)).alias("latency_count"))
     )
-    return calls.join(lat, RUN, "left").fillna({"avg_latency_ms": 0.0, "latency_count": 0})
+    out = calls.join(lat, RUN, "left").fillna(0, ["latency_sum_ns", "latency_count"])
+    return out.withColumn("avg_latency_ms", ratio(F.col("latency_sum_ns"), F.col("latency_count")) / 1e6)
 
 
 def error_types(events: DataFrame) -> DataFrame:
@@ -109,7 +110,8 @@ def run_records(events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
             count_if(et == "state.access").alias("state_access_count"),
             count_if(et == "routing.decision").alias("routing_decision_count"),
         )
-        .withColumn("duration_ms", (F.col("end_ns") - F.col("start_ns")) / 1e6)
+        .withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
+        .withColumn("duration_ms", F.col("duration_ns") / 1e6)
     )
     rec = rec.join(llm_calls(events), RUN, "left")
     if runs is not None:
@@ -119,16 +121,14 @@ def run_records(events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 
 def repo_summaries(records: DataFrame) -> DataFrame:
     """Second aggregation step: run records to one row per repository."""
-    moved = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
-    n = F.sum("latency_count")
+    moved = F.when(F.col("duration_ns") > 0, F.col("duration_ns"))
+    ms = lambda ns: F.coalesce(ns / 1e6, F.lit(0.0))
     return records.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("num_runs"), F.sum("total_events").alias("total_events"),
         (F.sum("total_events") / F.count(F.lit(1))).alias("avg_events_per_run"),
-        F.coalesce(F.min(moved), F.lit(0.0)).alias("min_duration_ms"),
-        F.coalesce(F.max(moved), F.lit(0.0)).alias("max_duration_ms"),
-        F.coalesce(F.avg(moved), F.lit(0.0)).alias("avg_duration_ms"),
+        ms(F.min(moved)).alias("min_duration_ms"), ms(F.max(moved)).alias("max_duration_ms"), ms(F.avg(moved)).alias("avg_duration_ms"),
         F.sum("llm_calls").alias("llm_calls"), F.sum("total_tokens").alias("total_tokens"),
-        F.when(n > 0, F.sum(F.col("avg_latency_ms") * F.col("latency_count")) / n).otherwise(0.0).alias("avg_latency_ms"),
+        (ratio(F.sum("latency_sum_ns"), F.sum("latency_count")) / 1e6).alias("avg_latency_ms"),
         F.sum("total_errors").alias("total_errors"), F.max("max_propagation_depth").alias("max_propagation_depth"),
         count_if(F.col("total_errors") > 0).alias("runs_with_errors"),
     )

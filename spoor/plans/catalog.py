@@ -6,7 +6,7 @@ import importlib
 
 from spoor.plans.corpus import Query
 
-MODULES = ["q_rollup"]
+MODULES = ["q_rollup", "q_overlay"]
 
 
 def catalog() -> list[Query]:

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.session import cut
+from spoor.session import land
 from spoor.sources import tables
 
 
@@ -21,28 +21,25 @@ class Corpus:
 
     @cached_property
     def events(self) -> DataFrame:
-        return tables.events(self.spark, self.sf_dir)
-
-    @cached_property
-    def linked(self) -> DataFrame:
-        return tables.events(self.spark, self.sf_dir, linked=True)
+        """Canonical events, landed once as Parquet so that every query reads only its columns."""
+        return land(tables.events(self.spark, self.sf_dir, linked=True), "events")
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return tables.graph_nodes(self.spark, self.sf_dir)
+        return land(tables.graph_nodes(self.spark, self.sf_dir), "nodes")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return tables.graph_edges(self.spark, self.sf_dir)
+        return land(tables.graph_edges(self.spark, self.sf_dir), "edges")
 
     @cached_property
     def preconditions(self) -> DataFrame:
-        return tables.preconditions(self.spark, self.sf_dir)
+        return land(tables.preconditions(self.spark, self.sf_dir), "preconditions")
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Compute a shared table once per session and data folder (checkpointed)."""
+        """Compute a shared table once per session and data folder (landed as Parquet)."""
         if name not in self._kept:
-            self._kept[name] = cut(build())
+            self._kept[name] = land(build(), name)
         return self._kept[name]
 
 

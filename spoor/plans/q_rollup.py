@@ -15,27 +15,27 @@ _PAIRS = (
 )
 _REC = (
     "WITH p AS (" + _PAIRS + "WHERE s.event_type = 'llm.call_start' AND e.event_type = 'llm.call_end'), "
-    "lat AS (SELECT repo_id, run_id, avg(lat) / 1e6 AS avg_latency_ms, count(*) AS latency_count FROM p GROUP BY ALL), "
+    "lat AS (SELECT repo_id, run_id, sum(lat) AS lsum, count(*) AS latency_count FROM p GROUP BY ALL), "
     "base AS (SELECT repo_id, run_id, count(*) AS total_events, min(timestamp_ns) AS start_ns, max(timestamp_ns) AS end_ns, "
     f"count(*) FILTER ({_ERR}) AS total_errors, coalesce(max(stack_depth) FILTER ({_ERR}), 0) AS max_propagation_depth, "
     "count(*) FILTER (event_type LIKE 'delegation.%') AS delegations, count(*) FILTER (event_type = 'state.access') AS state_access_count, "
     "count(*) FILTER (event_type = 'routing.decision') AS routing_decision_count, "
     "count(*) FILTER (event_type = 'llm.call_start') AS llm_calls, "
     "CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS total_tokens FROM evl GROUP BY ALL), "
-    "rec AS (SELECT base.*, (end_ns - start_ns) / 1e6 AS duration_ms, coalesce(avg_latency_ms, 0) AS avg_latency_ms, "
+    "rec AS (SELECT base.*, (end_ns - start_ns) / 1e6 AS duration_ms, coalesce(lsum, 0) AS lsum, coalesce(lsum / latency_count / 1e6, 0) AS avg_latency_ms, end_ns - start_ns AS dns, "
     "coalesce(latency_count, 0) AS latency_count FROM base LEFT JOIN lat USING (repo_id, run_id)) "
 )
 _REPO = (
-    "SELECT repo_id, count(*) AS num_runs, CAST(sum(total_events) AS BIGINT) AS total_events, round(sum(total_events) / count(*), 2) AS avg_events_per_run, "
-    "round(coalesce(min(duration_ms) FILTER (duration_ms > 0), 0), 2) AS min_duration_ms, round(coalesce(max(duration_ms) FILTER (duration_ms > 0), 0), 2) AS max_duration_ms, "
-    "round(coalesce(avg(duration_ms) FILTER (duration_ms > 0), 0), 2) AS avg_duration_ms, CAST(sum(llm_calls) AS BIGINT) AS llm_calls, "
-    "CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(CASE WHEN sum(latency_count) > 0 THEN sum(avg_latency_ms * latency_count) / sum(latency_count) ELSE 0 END, 2) AS avg_latency_ms, "
+    "SELECT repo_id, count(*) AS num_runs, CAST(sum(total_events) AS BIGINT) AS total_events, round(sum(total_events) / count(*), 5) AS avg_events_per_run, "
+    "round(coalesce(min(dns) FILTER (dns > 0) / 1e6, 0), 5) AS min_duration_ms, round(coalesce(max(dns) FILTER (dns > 0) / 1e6, 0), 5) AS max_duration_ms, "
+    "round(coalesce(avg(dns) FILTER (dns > 0) / 1e6, 0), 5) AS avg_duration_ms, CAST(sum(llm_calls) AS BIGINT) AS llm_calls, "
+    "CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(coalesce(sum(lsum) / nullif(sum(latency_count), 0) / 1e6, 0), 5) AS avg_latency_ms, "
     "CAST(sum(total_errors) AS BIGINT) AS total_errors, max(max_propagation_depth) AS max_propagation_depth, count(*) FILTER (total_errors > 0) AS runs_with_errors FROM rec GROUP BY repo_id"
 )
 
 
 def flagship(c: Corpus):
-    return r6(R.repo_summaries(R.run_records(c.linked)), 2)
+    return r6(R.repo_summaries(R.run_records(c.events)), 5)
 
 
 def _full_name(c: Corpus):
@@ -48,7 +48,7 @@ def _full_name(c: Corpus):
 _MAP_SRC = "coalesce(nullif(source_name, ''), nullif(source_id, ''), '{d}')"
 
 QUERIES = [
-    Query("b1_run_records", lambda c: r6(R.run_records(c.linked)), W(
+    Query("b1_run_records", lambda c: r6(R.run_records(c.events).drop("duration_ns", "latency_sum_ns")), W(
         _REC + "SELECT repo_id, run_id, total_events, start_ns, end_ns, total_errors, max_propagation_depth, delegations, state_access_count, "
         "routing_decision_count, round(duration_ms, 6) AS duration_ms, llm_calls, total_tokens, round(avg_latency_ms, 6) AS avg_latency_ms, latency_count FROM rec", "evl")),
     Query("b2_event_type_histogram", lambda c: R.type_counts(c.events), W("SELECT repo_id, run_id, event_type, count(*) AS events FROM ev GROUP BY ALL", "ev")),
@@ -65,7 +65,7 @@ QUERIES = [
         "count(*) FILTER (event_type = 'tool.completed' AND status = 'success') AS success_count, "
         "count(*) FILTER ((event_type = 'tool.completed' AND status <> 'success') OR event_type = 'tool.call_failure') AS failure_count "
         "FROM ev WHERE event_type LIKE 'tool.%' GROUP BY ALL", "ev")),
-    Query("b6_llm_calls", lambda c: r6(R.llm_calls(c.linked)), W(
+    Query("b6_llm_calls", lambda c: r6(R.llm_calls(c.events).drop("latency_sum_ns")), W(
         _REC + "SELECT repo_id, run_id, llm_calls, total_tokens, round(avg_latency_ms, 6) AS avg_latency_ms, latency_count FROM rec "
         "WHERE EXISTS (SELECT 1 FROM evl WHERE evl.run_id = rec.run_id AND event_type IN ('llm.call_start', 'llm.call_end'))", "evl")),
     Query("b7_error_histogram", lambda c: R.error_types(c.events), W(
@@ -89,6 +89,6 @@ QUERIES = [
     Query("b15_url_full_name", _full_name, (
         "SELECT page_id, concat_ws('/', CASE WHEN len(parts) >= 2 THEN parts[-2] END, parts[-1]) AS full_name FROM (SELECT page_id, "
         "string_split(regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', ''), '/') AS parts FROM pages)")),
-    Query("b31_collection_stats", lambda c: R.collection_stats(R.run_records(c.linked)), W(
+    Query("b31_collection_stats", lambda c: R.collection_stats(R.run_records(c.events)), W(
         _REC + "SELECT count(*) AS runs, count(DISTINCT repo_id) AS repos, CAST(sum(total_events) AS BIGINT) AS events, CAST(sum(total_errors) AS BIGINT) AS errors FROM rec", "evl")),
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a Parquet table in the checkpoint folder and read it back.
+
+    Unlike a checkpoint the result keeps column pruning, filter pushdown and true sizes, so
+    the planner can decide on broadcasts; use it for tables that several queries share.
+    """
+    path = f"{_checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

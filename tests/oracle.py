@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb
 
+SPENT = [0.0, 0.0]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -46,11 +47,14 @@ def kind(t: str) -> str:
 
 def compare(df, con, sql) -> str | None:
     """None when equal, else what differs."""
+    t0 = time.time()
     got = df.collect()
+    t1 = time.time()
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     types = {d[0]: kind(str(d[1])) for d in cur.description}
     want = cur.fetchall()
+    SPENT[:] = [t1 - t0, time.time() - t1]
     if sorted(df.columns) != sorted(cols):
         return f"columns {sorted(df.columns)} vs {sorted(cols)}"
     mine = {c: kind(t) for c, t in df.dtypes}
@@ -91,7 +95,7 @@ def main(argv):
         except Exception as e:  # report and go on
             diff, n = f"{type(e).__name__}: {str(e)[:700]}", ""
         failed += diff is not None
-        print(f"{'FAIL' if diff else 'ok  '} {name:44s} {time.time() - t:5.1f}s {n} {diff or ''}", flush=True)
+        print(f"{'FAIL' if diff else 'ok  '} {name:44s} {time.time() - t:5.1f}s {n} spark={SPENT[0]:.1f} duck={SPENT[1]:.1f} {diff or ''}", flush=True)
     print("failed", failed)
 
 
