@@ -49,9 +49,31 @@ def closest_levels(edges: DataFrame, roots: DataFrame, *, types: list[str] | Non
     return far.unionByName(roots.select("repo_id", F.col("node").alias("root"), "node", F.lit(0).alias("depth")))
 
 
-def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: list[str] | None = None, max_nodes: int = 12) -> DataFrame:
+def breadth_first(edges: DataFrame) -> DataFrame:
+    """(repo_id, origin, node, depth, via): reach with discovery order.
+
+    `via` is the smallest sequence of edge positions among shortest paths; sorting by
+    (depth, via) is the order in which a breadth-first search meets the nodes.
+    """
+    step = cut(edges.filter((F.col("source") != "") & (F.col("target") != "")).groupBy("repo_id", "source", "target").agg(F.min("edge_ord").alias("ord")))
+    frontier = cut(step.filter("source <> target").select("repo_id", F.col("source").alias("origin"), F.col("target").alias("node"), F.lit(1).alias("depth"), F.array("ord").alias("via")))
+    seen, depth = frontier, 1
+    while not frontier.isEmpty():
+        depth += 1
+        moved = (
+            frontier.select("repo_id", "origin", F.col("node").alias("source"), "via").join(step, ["repo_id", "source"]).filter("target <> origin")
+            .groupBy("repo_id", "origin", F.col("target").alias("node")).agg(F.min(F.array_append("via", F.col("ord"))).alias("via"))
+        )
+        frontier = cut(moved.join(seen.select("repo_id", "origin", "node"), ["repo_id", "origin", "node"], "left_anti").select("repo_id", "origin", "node", F.lit(depth).alias("depth"), "via"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: list[str] | None = None, max_nodes: int = 12, closing: bool = False) -> DataFrame:
     """(repo_id, nodes): node count of the longest simple path from the roots (all sources if none given).
 
+    With `closing`, a last step back into a visited node counts as one more node.
+
     Longest simple path is exponential in general. States are (last node, set of visited nodes):
     different orders of one visited set are merged at every level, which keeps the frontier far
     smaller than path enumeration and the result exact up to `max_nodes`.
@@ -59,7 +81,15 @@ def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: lis
     step = cut(arcs(edges, types))
     begin = step.select("repo_id", F.col("source").alias("node")).distinct() if roots is None else roots.select("repo_id", "node")
     frontier = cut(begin.select("repo_id", "node", F.array("node").alias("visited")))
-    best = frontier.groupBy("repo_id").agg(F.lit(1).alias("nodes"))
+    leaves_on = step.select("repo_id", F.col("source").alias("node")).distinct()
+
+    def score(front: DataFrame, size: int) -> DataFrame:
+        if not closing:
+            return front.select("repo_id", F.lit(size).alias("nodes")).distinct()
+        on = front.join(leaves_on, ["repo_id", "node"], "left_semi").select("repo_id", F.lit(size + 1).alias("nodes"))
+        return front.select("repo_id", F.lit(size).alias("nodes")).unionByName(on).distinct()
+
+    best = score(frontier, 1)
     for size in range(2, max_nodes + 1):
         grown = (
             frontier.join(step, (frontier["repo_id"] == step["repo_id"]) & (frontier["node"] == step["source"]))
@@ -70,7 +100,7 @@ def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: lis
         frontier = cut(grown)
         if frontier.isEmpty():
             break
-        best = best.unionByName(frontier.select("repo_id").distinct().withColumn("nodes", F.lit(size)))
+        best = best.unionByName(score(frontier, size))
     return best.groupBy("repo_id").agg(F.max("nodes").alias("nodes"))
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from spoor.plans.corpus import Query
 
-MODULES = ["q_rollup", "q_overlay"]
+MODULES = ["q_rollup", "q_overlay", "q_edges"]
 
 
 def catalog() -> list[Query]:

@@ -138,6 +138,11 @@ EVENT_LAYERS: list[list[tuple[str, str]]] = [
         ("origin_node", f"CASE WHEN event_type = 'error.cascade' THEN {pick('n', _IDS)} END"),
         ("terminal_node", f"CASE WHEN event_type = 'error.cascade' THEN {pick('t', _IDS)} END"),
         ("is_propagation", "event_type = 'error.propagated'"),
+        ("parent_node", f"CASE WHEN event_type = 'agent.task_start' AND c % 2 = 0 THEN {pick('t', _IDS)} END"),
+        ("input_source", f"CASE WHEN event_type = 'agent.task_start' AND c % 3 = 0 THEN {pick('((t + 1) % 9)', _IDS)} END"),
+        ("tool_node", f"CASE WHEN event_type = 'tool.invoked' THEN {pick('(c % 3)', ['cap_SearchTool_tool', 'ext_web_api', None])} END"),
+        ("accessor", f"CASE WHEN event_type = 'state.access' THEN {pick('n', _IDS)} END"),
+        ("stack_top", f"CASE WHEN event_type = 'llm.call_end' AND c % 3 > 0 THEN {pick('t', _IDS)} END"),
     ],
 ]
 
@@ -159,6 +164,8 @@ _PAYLOAD_FROM = {
     "target_node": "routing_target", "selected_target": "routing_target",
     "decision_basis": "decision_basis", "output_preview": "preview",
     "origin_node": "origin_node", "terminal_node": "terminal_node",
+    "parent_node_id": "parent_node", "input_source": "input_source", "tool_node_id": "tool_node",
+    "accessor_node": "accessor",
 }
 
 
@@ -184,6 +191,8 @@ def _payload(name: str, dtype) -> Column:
     if name == "propagation_path":
         path = F.array("src_struct", "tgt_struct", F.expr(pick("((t + 2) % 9)", _IDS)))
         return F.when(F.col("is_propagation"), path).alias(name)
+    if name == "active_node_stack":
+        return F.when(F.col("stack_top").isNotNull(), F.array("src_struct", "stack_top")).alias(name)
     src = _PAYLOAD_FROM.get(name)
     return (F.col(src) if src else F.lit(None)).cast(dtype).alias(name)
 
