@@ -8,6 +8,7 @@ from spoor.functions.stats import bool_or, ratio
 from spoor.functions.text import normalize_name, nz, strip_prefixes
 from spoor.operators.overlay import run_totals
 from spoor.operators.resolve import containing, with_resolved
+from spoor.session import cut
 
 RUN = ["repo_id", "run_id"]
 FIVE_SECONDS = 5_000_000_000
@@ -102,8 +103,8 @@ def emergent_by_discovery(events: DataFrame, edges: DataFrame) -> DataFrame:
         F.array_distinct(F.array_compact(F.array(p("target_node_id"), nz(F.col("target_node.node_name"))))).alias("tk"))
     first = dl.filter("s IS NOT NULL AND t IS NOT NULL").groupBy("repo_id", "s", "t").agg(
         F.min(F.struct("timestamp_ns", "event_id")).alias("at"), F.min_by("delegation_type", F.struct("timestamp_ns", "event_id")).alias("delegation_type"))
-    first = first.join(known, ["repo_id", "s", "t"], "left_anti")
-    first = first.join(fuzzy_known(first, edges), ["repo_id", "s", "t"], "left_anti").select("repo_id", "s", "t", F.col("at.timestamp_ns").alias("timestamp_ns"), "delegation_type")
+    first = cut(first.join(known, ["repo_id", "s", "t"], "left_anti"))
+    first = cut(first.join(fuzzy_known(first, edges), ["repo_id", "s", "t"], "left_anti")).select("repo_id", "s", "t", F.col("at.timestamp_ns").alias("timestamp_ns"), "delegation_type")
     hot = near_errors(first, events).select("repo_id", "s", "t").withColumn("err", F.lit(True))
     counts = dl.select("repo_id", F.explode("sk").alias("s"), "tk").select("repo_id", "s", F.explode("tk").alias("t")).groupBy("repo_id", "s", "t").agg(F.count(F.lit(1)).alias("activation_count"))
     deleg = first.join(hot, ["repo_id", "s", "t"], "left").join(counts, ["repo_id", "s", "t"], "left").select(
@@ -115,7 +116,7 @@ def emergent_by_discovery(events: DataFrame, edges: DataFrame) -> DataFrame:
     rt = events.filter((F.col("event_type") == "routing.decision") & p("source_node").isNotNull() & F.coalesce(p("target_node"), p("selected_target")).isNotNull()).groupBy(
         "repo_id", p("source_node").alias("s"), F.coalesce(p("target_node"), p("selected_target")).alias("t")).agg(
         F.min_by(F.struct(F.coalesce("payload.decision_basis", F.lit("unknown")).alias("basis"), F.coalesce("payload.routing_type", F.lit("unknown")).alias("routing_type")), F.struct("timestamp_ns", "event_id")).alias("f"))
-    rt = rt.join(known, ["repo_id", "s", "t"], "left_anti").join(first, ["repo_id", "s", "t"], "left_anti")
+    rt = cut(rt.join(known, ["repo_id", "s", "t"], "left_anti").join(first, ["repo_id", "s", "t"], "left_anti"))
     rt = rt.join(fuzzy_known(rt, edges), ["repo_id", "s", "t"], "left_anti").select(
         "repo_id", "s", "t", F.lit("delegates_to").alias("edge_type"), F.lit(1).cast("long").alias("activation_count"),
         F.when(F.col("f.basis") == "llm_output", "dynamic_delegation").otherwise("framework_internal_routing").alias("discovery_type"),
