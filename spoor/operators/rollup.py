@@ -161,3 +161,81 @@ def collection_stats(records: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.count_distinct("repo_id").alias("repos"),
         F.sum("total_events").alias("events"), F.sum("total_errors").alias("errors"),
     )
+
+
+# ---- denormalised repository documents ------------------------------------------
+def agent_tasks(events: DataFrame) -> DataFrame:
+    """Tasks of each agent: a start, closed by the next end of the same agent before its next start."""
+    et = F.col("event_type")
+    name = F.coalesce(nz(F.col("payload.agent_role")), nz(F.col("source_node.node_name")))
+    e = events.filter(et.isin("agent.task_start", "agent.task_end")).select(
+        *RUN, "event_id", "timestamp_ns", F.coalesce(nz(F.col("source_node.node_id")), name, F.lit("agent")).alias("agent_key"), name.alias("agent_name"), (et == "agent.task_start").alias("is_start"),
+        F.when(et == "agent.task_end", F.struct(F.coalesce("payload.status", F.lit("success")).alias("status"), F.coalesce("payload.output_preview", F.lit("")).alias("output_text"), F.col("payload.output_hash").alias("output_hash"))).alias("end"),
+        F.col("payload.input_source").alias("input_source"))
+    keys = [*RUN, "agent_key"]
+    # the last end before the next start closes a task: a start is barred by the start after it
+    nxt = scan(e, keys, "timestamp_ns", {"next_start": ("nearest", F.when(F.col("is_start"), F.col("timestamp_ns")))}, tie=["event_id"], direction="after")
+    cur = scan(nxt, keys, "timestamp_ns", {"task_id": ("nearest", F.when(F.col("is_start"), F.col("event_id")))}, tie=["event_id"], inclusive=True)
+    ends = cur.filter("NOT is_start AND task_id IS NOT NULL").groupBy(*keys, "task_id").agg(F.max_by("end", F.struct("timestamp_ns", "event_id")).alias("end"))
+    starts = cur.filter("is_start").select(*keys, F.col("event_id").alias("task_id"), "timestamp_ns", "agent_name", "input_source")
+    return starts.join(ends, [*keys, "task_id"], "left").select(*keys, "task_id", "timestamp_ns", "agent_name", "input_source",
+                                                             F.coalesce("end.status", F.lit("")).alias("status"), F.coalesce("end.output_text", F.lit("")).alias("output_text"), "end.output_hash")
+
+
+def llm_attribution(events: DataFrame) -> DataFrame:
+    """Completed model calls with the agent they belong to: the node stack first, else the open agent."""
+    et = F.col("event_type")
+    nid, name = nz(F.col("source_node.node_id")), F.coalesce(nz(F.col("payload.agent_role")), nz(F.col("source_node.node_name")))
+    e = events.filter(et.isin("agent.task_start", "agent.task_end", "llm.call_end"))
+    e = e.withColumn("_open", F.when(et == "agent.task_start", F.coalesce(nid, name, F.lit("agent"))).when(et == "agent.task_end", F.lit("")))
+    e = scan(e, RUN, "timestamp_ns", {"open_agent": ("nearest", F.col("_open"))}, tie=["event_id"]).filter("event_type = 'llm.call_end'")
+    known = events.filter((et == "agent.task_start") & nid.isNotNull()).groupBy(*RUN, nid.alias("node_id")).agg(F.min("timestamp_ns").alias("since"))
+    stack = e.select(*RUN, "event_id", "timestamp_ns", F.posexplode("payload.active_node_stack").alias("pos", "node_id")).join(known, [*RUN, "node_id"]).filter("since <= timestamp_ns")
+    top = stack.groupBy(*RUN, "event_id").agg(F.min_by("node_id", "pos").alias("stack_agent"))
+    return e.join(top, [*RUN, "event_id"], "left").select(*RUN, "event_id", F.coalesce("stack_agent", nz(F.col("open_agent")), F.lit("")).alias("agent_key"),
+                                                      F.coalesce("payload.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("payload.output_tokens", F.lit(0)).alias("output_tokens"))
+
+
+def first_wins(docs: DataFrame, key: str, order: str) -> DataFrame:
+    """Keep the document of the earliest source for each key."""
+    first = docs.groupBy(key).agg(F.min(order).alias(order))
+    return docs.join(first, [key, order], "left_semi")
+
+
+def repo_full_name(url: Column) -> Column:
+    parts = F.split(F.regexp_replace(url, "/+$", ""), "/")
+    return F.concat_ws("/", F.try_element_at(parts, F.lit(-2)), F.element_at(parts, -1))
+
+
+# ---- corpus reports ----------------------------------------------------------------
+def score_distribution(scores: DataFrame, names: list[str]) -> DataFrame:
+    """scores(repo_id, <names>): mean, upper median, min, max, sample sd and n of each score."""
+    from spoor.functions.ordered import element_at_rank
+
+    long = scores.select(F.expr(f"stack({len(names)}, {', '.join(f'{n!r}, CAST({n} AS DOUBLE)' for n in names)}) AS (score, value)")).filter("value IS NOT NULL")
+    med = element_at_rank(long, ["score"], "value", F.floor(F.col("_total") / 2), "median")
+    agg = long.groupBy("score").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n"))
+    return agg.join(med, "score")
+
+
+def prevalence(modes: DataFrame, by: str = "finding_id", manifested: str = "manifestation_observed") -> DataFrame:
+    """Repositories that show each mode over repositories that list it."""
+    per = modes.groupBy("repo_id", by).agg(F.max(manifested).alias("m"))
+    return per.groupBy(by).agg(F.count(F.lit(1)).alias("repos_seen"), count_if(F.col("m")).alias("repos_manifested")).withColumn("prevalence", F.col("repos_manifested") / F.col("repos_seen"))
+
+
+def multi_run_stats(events: DataFrame) -> DataFrame:
+    """Repositories with a first run, repositories with more runs, runs in total."""
+    per = events.select(*RUN).distinct().groupBy("repo_id").agg(F.count(F.lit(1)).alias("runs"))
+    return per.agg(F.count(F.lit(1)).alias("repos"), count_if(F.col("runs") > 1).alias("repos_multi_run"), F.sum("runs").alias("runs_total"))
+
+
+def topology_by_tier(topology: DataFrame, tiers: DataFrame) -> DataFrame:
+    """topology(repo_id, topology) x tiers(repo_id, tier): counts with one column per tier."""
+    j = topology.join(tiers.select("repo_id", F.coalesce("tier", F.lit(1)).alias("tier")), "repo_id")
+    return j.groupBy("topology").agg(count_if(F.col("tier") == 1).alias("tier_1"), count_if(F.col("tier") == 2).alias("tier_2"), F.count(F.lit(1)).alias("total"))
+
+
+def threshold_summary(df: DataFrame, tests: dict[str, Column], means: list[str]) -> DataFrame:
+    """One row: mean of some columns and how many rows pass each test."""
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in means], *[count_if(t).alias(n) for n, t in tests.items()])
