@@ -132,7 +132,7 @@ def correlations(metrics: DataFrame) -> DataFrame:
     """Pearson r and p per metric pair with a verbal strength; null where a metric does not vary."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for x, y in CORRELATIONS:
-        aggs.append(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias(f"{x}_vs_{y}"))
+        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"{x}_vs_{y}"))
     one = metrics.agg(*aggs).filter("n >= 3")
     long = one.select("n", F.expr(f"stack({len(CORRELATIONS)}, {', '.join(f'{x + chr(95) + chr(118) + chr(115) + chr(95) + y!r}, {x}_vs_{y}' for x, y in CORRELATIONS)}) AS (pair, correlation)"))
     r = F.abs("correlation")

@@ -6,7 +6,7 @@ import importlib
 
 from spoor.plans.corpus import Query
 
-MODULES = ["q_rollup", "q_validation", "q_overlay", "q_edges", "q_failure", "q_knowledge"]
+MODULES = ["q_rollup", "q_validation", "q_overlay", "q_edges", "q_failure", "q_knowledge", "q_scores"]
 
 
 def catalog() -> list[Query]:
