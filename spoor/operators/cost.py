@@ -66,4 +66,5 @@ def cost_risk(events: DataFrame) -> DataFrame:
     j = events.select("repo_id").distinct().join(amp, "repo_id", "left").join(den, "repo_id", "left").join(ret, "repo_id", "left").fillna(0)
     one = F.lit(1.0)
     score = F.least(one, F.col("max_amplification_ratio") / 50) * 0.4 + F.least(one, ratio(F.col("high_density_nodes"), F.col("dn"))) * 0.3 + F.least(one, F.col("corpus_retry_rate") * 5) * 0.3
-    return j.withColumn("cost_risk_score", score).drop("dn").withColumn("finding_triggered", score > 0.4).withColumn("monthly_cost_multiplier", F.col("max_amplification_ratio") * (1 + F.col("corpus_retry_rate")))
+    j = j.withColumn("cost_risk_score", score).drop("dn")
+    return j.withColumn("finding_triggered", F.col("cost_risk_score") > 0.4).withColumn("monthly_cost_multiplier", F.col("max_amplification_ratio") * (1 + F.col("corpus_retry_rate")))
