@@ -120,7 +120,7 @@ def stream_of(c: Corpus):
 
 def streamed(c: Corpus, stream):
     base = f"{_checkpoint_dir(c.spark)}/streams/{uuid.uuid4().hex}"
-    return S.run_to_table(stream, f"{base}/out", f"{base}/state")
+    return S.run_to_table(stream, f"{base}/out", f"{base}/state", partitions=c.spark.sparkContext.defaultParallelism)
 
 
 def _record(c: Corpus):
@@ -195,7 +195,7 @@ QUERIES = [
     Query("p5_sliding_latency", lambda c: r6(S.windowed_latency(S.with_event_time(c.events), "1 hour", "1 hour").select(F.unix_seconds("window_start").alias("start_s"), "mean_latency_ms", "calls")), W(
         "SELECT CAST(floor(us / 3600000000) AS BIGINT) * 3600 AS start_s, round(avg(latency_ms), 6) AS mean_latency_ms, count(*) AS calls FROM ev WHERE event_type = 'llm.call_end' GROUP BY 1", "ev")),
     Query("p6_run_sessions", lambda c: S.run_sessions(S.with_event_time(c.events), "6 hours").select("repo_id", "run_id", "events", "errors", "start_ns", "end_ns"), W(
-        "WITH g AS (SELECT *, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w < 21600000000000 THEN 0 ELSE 1 END AS n FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY timestamp_ns)), s AS (SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY timestamp_ns) AS sess FROM g) "
+        "WITH g AS (SELECT *, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w < 21600000000000 THEN 0 ELSE 1 END AS brk FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY timestamp_ns)), s AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY timestamp_ns) AS sess FROM g) "
         "SELECT repo_id, run_id, count(*) AS events, count(*) FILTER (event_type LIKE 'error.%') AS errors, min(timestamp_ns) AS start_ns, max(timestamp_ns) AS end_ns FROM s GROUP BY repo_id, run_id, sess", "ev")),
     Query("p7_threshold_alerts", lambda c: r6(S.threshold_alerts(S.with_event_time(c.events), B.baselines(B.run_metrics(c.events)), "1 day").select("repo_id", F.unix_seconds("window_start").alias("start_s"), "tool_call_failure_rate", "calls"))),
 ]

@@ -89,9 +89,20 @@ def running_depth(events: DataFrame) -> DataFrame:
     return steps.groupBy("repo_id", "run_id").applyInPandasWithState(_depth, out, "current long, top long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """Process what is there, write Parquet, stop, and read the result back."""
-    q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(target)
-    q.awaitTermination()
+def run_to_table(stream: DataFrame, target: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
+    """Process what is there, write Parquet, stop, and read the result back.
+
+    A stream keeps its number of state partitions for life; `partitions` sets it for this one
+    (for a backfill, the cluster's cores), otherwise the session's shuffle setting holds.
+    """
     spark = stream.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        if partitions:
+            spark.conf.set(key, str(partitions))
+        q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(target)
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(target)
