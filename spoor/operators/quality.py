@@ -12,7 +12,7 @@ MIN_EVENTS = 10
 DEPENDENCY_TEXT = ["modulenotfounderror", "no module named", "importerror", "pkg_resources", "could not find a version", "pip install"]
 ENTRY_TEXT = ["filenotfounderror", "no such file or directory", "syntaxerror", "indentationerror"]
 MODEL_TEXT = ["openai", "api_key", "rate limit", "connection refused", "httpconnectionpool", "connection error"]
-INSTRUMENTATION_TEXT = ["stratum_patcher", "sitecustomize", "instrumentation"]
+INSTRUMENTATION_TEXT = ["_patcher", "sitecustomize", "instrumentation"]
 
 
 def status(runs: DataFrame | None = None) -> Column:

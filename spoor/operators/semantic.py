@@ -76,17 +76,23 @@ def chain_text(chain: DataFrame) -> DataFrame:
     return chain.groupBy(*RUN).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"), F.max("links").alias("links")).filter(F.length("text") >= 50)
 
 
-def output_pairs(events: DataFrame, run_rank: DataFrame, first: int = 1, from_rank: int = 4) -> DataFrame:
-    """Outputs of the first run against later repeats per node, at least 20 characters, 500 at most."""
-    o = node_outputs(events).join(run_rank, RUN).filter(F.length("preview") >= 20)
-    cut = F.substring("preview", 1, 500)
-    a = o.filter(F.col("rank") == first).select("repo_id", "node", cut.alias("first_output"))
-    b = o.filter(F.col("rank") >= from_rank).select("repo_id", "node", "run_id", cut.alias("other_output"))
-    return b.join(a, ["repo_id", "node"])
+def leading_runs(events: DataFrame, k: int) -> DataFrame:
+    """(repo_id, run_id, rank): the first k runs of each repository; the rank limit runs before the shuffle."""
+    r = events.select(*RUN).distinct().withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy("run_id")))
+    return r.filter(F.col("rank") <= k)
+
 
+def output_pairs(events: DataFrame, from_rank: int = 4) -> DataFrame:
+    """Outputs of the first run against the repeats per node, at least 20 characters, 500 at most.
 
-def run_ranks(events: DataFrame) -> DataFrame:
-    return events.select(*RUN).distinct().withColumn("rank", F.dense_rank().over(W.partitionBy("repo_id").orderBy("run_id")))
+    Repeats are all runs after the first `from_rank` - 1.
+    """
+    lead = leading_runs(events, from_rank - 1)
+    o = node_outputs(events).filter(F.length("preview") >= 20)
+    cut = F.substring("preview", 1, 500)
+    a = o.join(lead.filter("rank = 1"), RUN, "left_semi").select("repo_id", "node", cut.alias("first_output"))
+    b = o.join(lead, RUN, "left_anti").select("repo_id", "node", "run_id", cut.alias("other_output"))
+    return b.join(a, ["repo_id", "node"])
 
 
 def escalation_calls(events: DataFrame, k: int = 5) -> DataFrame:

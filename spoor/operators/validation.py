@@ -19,7 +19,7 @@ KNOWN_TYPES = [
     "execution.start", "execution.end", "edge.traversed", "message.received", "reply.generated", "data.read", "data.write", "external.call", "guardrail.triggered",
 ]
 LIFECYCLE = ["execution.start", "execution.end", "error.occurred", "error.propagated"]
-GENERIC_NAMES = ["stratum_runner", "unhandled_exception"]
+GENERIC_NAME = r"(_runner|^unhandled_exception)$"  # names of the harness itself, not of agents
 
 
 def compare_ids(structural: DataFrame, behavioral: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def trace_profile(events: DataFrame) -> DataFrame:
         bool_or(nz(p("output_preview")).isNotNull()).alias("has_output"), bool_or((p("input_tokens") > 0) | (p("output_tokens") > 0)).alias("has_tokens"),
         bool_or(et.isin("edge.traversed", "routing.decision")).alias("has_edge_events"), bool_or(et.isin("delegation.initiated", "delegation.completed")).alias("has_delegation_events"))
     ids = events.filter(nz(F.col("source_node.node_id")).isNotNull()).select("repo_id", "source_node.node_id").distinct().groupBy("repo_id").agg(F.count(F.lit(1)).alias("unique_source_nodes"))
-    agents = events.filter(nz(name).isNotNull() & ~name.isin(GENERIC_NAMES)).select("repo_id", name.alias("n")).distinct().groupBy("repo_id").agg(F.count(F.lit(1)).alias("unique_agents"))
+    agents = events.filter(nz(name).isNotNull() & ~name.rlike(GENERIC_NAME)).select("repo_id", name.alias("n")).distinct().groupBy("repo_id").agg(F.count(F.lit(1)).alias("unique_agents"))
     out = flags.join(ids, "repo_id", "left").join(agents, "repo_id", "left").fillna(0)
     io = (F.col("sp").cast("int") + F.col("um").cast("int") + F.col("has_output").cast("int") + F.col("has_tokens").cast("int")) / 4
     return out.withColumn("io_completeness", io).drop("sp", "um")

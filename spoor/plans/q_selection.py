@@ -158,7 +158,8 @@ QUERIES = [
     Query("n20_n30_best_per_fingerprint", lambda c: N.best_per_key(repos(c).filter(~N.telemetry_only(F.col("finding_ids"))).select("repo_id", "framework", "agent_count", "finding_ids", "estimated_runnability"), N.structural_fingerprint(), "estimated_runnability").select("repo_id", "framework", "agent_count"), (
         "WITH " + _RP.rstrip(", ") + " SELECT arg_max(repo_id, lpad(CAST(CAST(round(estimated_runnability * 100) AS INT) AS VARCHAR), 5, '0') || repo_id) AS repo_id, framework, agent_count FROM rp WHERE len(list_filter(finding_ids, lambda f: NOT starts_with(f, 'TELEMETRY'))) > 0 GROUP BY framework, agent_count, finding_ids")),
     Query("n22_rule_rarity", lambda c: r6(N.rule_rarity(repos(c))), "WITH " + _RP + "f AS (SELECT repo_id, unnest(finding_ids) AS f FROM rp), n AS (SELECT f, count(*) AS n FROM f GROUP BY 1) SELECT repo_id, round(sum((SELECT count(*) FROM rp) / n), 6) AS rarity FROM f JOIN n USING (f) GROUP BY 1"),
-    Query("n25_ab_split", lambda c: N.split_ab(N.scored(repos(c), 400), "selection_score").select("repo_id", "split"), "WITH " + _SC.rstrip(", ") + " SELECT repo_id, CASE WHEN (row_number() OVER (PARTITION BY framework ORDER BY selection_score DESC, repo_id) - 1) % 2 = 0 THEN 'A' ELSE 'B' END AS split FROM s2"),
+    Query("n25_ab_split", lambda c: N.split_ab(_selected(c), "selection_score").select("repo_id", "split"), (
+        "WITH " + _SEL.rstrip(", ") + " SELECT repo_id, CASE WHEN (row_number() OVER (PARTITION BY framework ORDER BY selection_score DESC, repo_id) - 1) % 2 = 0 THEN 'A' ELSE 'B' END AS split FROM s2 WHERE repo_id IN (SELECT repo_id FROM ct UNION ALL SELECT repo_id FROM mu UNION ALL SELECT repo_id FROM fi)")),
     Query("n26_finding_prefixes", lambda c: repos(c).select("repo_id", F.array_join(F.sort_array(N.finding_prefixes(F.col("finding_ids"))), ",").alias("prefixes"), N.telemetry_only(F.col("finding_ids")).alias("telemetry_only")), (
         "WITH " + _RP.rstrip(", ") + " SELECT repo_id, array_to_string(list_sort(list_distinct(list_transform(finding_ids, lambda f: regexp_replace(f, '-[^-]*$', '')))), ',') AS prefixes, len(list_filter(finding_ids, lambda f: NOT starts_with(f, 'TELEMETRY'))) = 0 AS telemetry_only FROM rp")),
     Query("n34_diverse_order", lambda c: N.diverse_order(repos(c), "estimated_runnability").select("repo_id", "repeats"), "WITH " + _RP.rstrip(", ") + " SELECT repo_id, row_number() OVER (PARTITION BY topology_hash ORDER BY estimated_runnability DESC, repo_id DESC) > 1 AS repeats FROM rp"),

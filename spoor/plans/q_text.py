@@ -170,7 +170,7 @@ QUERIES = [
         "WITH f AS (SELECT repo_id, run_id, source_id AS node, arg_min(preview, timestamp_ns) AS pv, min(timestamp_ns) AS ts FROM ev WHERE event_type = 'agent.task_end' AND preview IS NOT NULL AND source_id <> '' GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts) - 1 AS position, count(*) OVER (PARTITION BY run_id) AS links FROM f) "
         "SELECT repo_id, run_id, position, links, node, pv AS output FROM g WHERE links >= 2", "ev")),
     Query("l8_chain_texts", lambda c: L.chain_text(L.delegation_chain(c.events))),
-    Query("l7_output_pairs", lambda c: L.output_pairs(c.events, L.run_ranks(c.events), from_rank=3), W(
+    Query("l7_output_pairs", lambda c: L.output_pairs(c.events, from_rank=3), W(
         "WITH o AS (SELECT repo_id, run_id, source_id AS node, arg_max(preview, timestamp_ns) AS pv FROM ev WHERE preview IS NOT NULL AND source_id <> '' GROUP BY ALL), r AS (SELECT repo_id, run_id, row_number() OVER (PARTITION BY repo_id ORDER BY run_id) AS k FROM (SELECT DISTINCT repo_id, run_id FROM ev)) "
         "SELECT b.repo_id, b.node, b.run_id, b.pv AS other_output, a.pv AS first_output FROM o b JOIN r rb ON rb.run_id = b.run_id AND rb.k >= 3 JOIN r ra ON ra.repo_id = b.repo_id AND ra.k = 1 JOIN o a ON a.run_id = ra.run_id AND a.node = b.node WHERE length(a.pv) >= 20 AND length(b.pv) >= 20", "ev")),
     Query("l9_escalation_calls", lambda c: L.escalation_calls(c.events), W(
