@@ -10,20 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spoor.functions.text import agent_id, data_store_id, external_id, normalize_name, nz
+from spoor.functions.text import data_store_id, external_id, normalize_name, nz
 
 GRAM = 3
 
 
 def grams(text: Column) -> Column:
-    """All distinct substrings of one to three characters."""
+    """All substrings of one to three characters. Repeats stay: dropping them in the row costs more
+    than the joins, whose results are made distinct anyway."""
     def of(n: int) -> Column:
         return F.when(
             F.length(text) >= n,
             F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))),
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+    return F.concat(*[of(n) for n in range(1, GRAM + 1)])
 
 
 def _key(priority: int, kind: str, key: Column, check: Column | None = None, gate: Column | None = None) -> Column:
@@ -47,16 +48,14 @@ def node_keys(nodes: DataFrame) -> DataFrame:
         F.transform(grams(F.col("node_id")), lambda g: _key(0, "gram", g, F.col("node_id"))),
     )
     return (
-        nodes.select("repo_id", "node_id", "node_ord", F.explode(F.array_distinct(F.array_compact(keys))).alias("k"))
+        nodes.select("repo_id", "node_id", "node_ord", F.explode(F.array_compact(keys)).alias("k"))
         .select("repo_id", "node_id", "node_ord", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"), F.col("k.check").alias("held"))
     )
 
 
-def _runtime_keys(rid: Column, start: int) -> list[Column]:
+def _runtime_keys(parts: Column, cls: Column, start: int) -> list[Column]:
     """Strategies for ids of the form framework:Class:file:line."""
-    parts = F.split(rid, ":")
     gate = F.size(parts) >= 4
-    cls = normalize_name(F.get(parts, 1))
     base = F.concat(F.lit("agent_"), cls)
     suffixed = [
         _key(start + 1 + i, "id", F.concat(base, F.lit(sfx)), gate=gate & ~F.endswith(cls, F.lit(sfx)))
@@ -64,7 +63,7 @@ def _runtime_keys(rid: Column, start: int) -> list[Column]:
     ]
     return [
         _key(start, "id", base, gate=gate), *suffixed,
-        _key(start + 4, "line", F.get(parts, 3), F.get(parts, 2), gate=gate),
+        _key(start + 4, "line", F.get(parts, F.lit(3)), F.get(parts, F.lit(2)), gate=gate),
         _key(start + 5, "gram", F.left(cls, F.lit(GRAM)), cls, gate=gate),
     ]
 
@@ -76,13 +75,19 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, *, names_and_types: bool = T
     ids; without it only agent ids and containment are tried on names.
     """
     rid, name = nz(F.col("ref_id")), nz(F.col("ref_name"))
-    norm = normalize_name(name)
-    keys = [_key(1, "id", rid), *_runtime_keys(rid, 2), _key(10, "id", agent_id(name))]
-    if names_and_types:
-        keys += [_key(11, "norm", norm), _key(12, "id", data_store_id(name)), _key(13, "id", external_id(name))]
-    keys += [_key(14, "gram", F.left(norm, F.lit(GRAM)), norm)]
+    parts = F.split(rid, ":")
+    # the normalised forms are bound once per row; the lambda below only reads them
+    forms = F.struct(rid.alias("rid"), name.alias("name"), normalize_name(name).alias("norm"), parts.alias("parts"), normalize_name(F.get(parts, 1)).alias("cls"))
+
+    def keys_of(f: Column) -> Column:
+        keys = [_key(1, "id", f["rid"]), *_runtime_keys(f["parts"], f["cls"], 2), _key(10, "id", F.concat(F.lit("agent_"), f["norm"]))]
+        if names_and_types:
+            keys += [_key(11, "norm", f["norm"]), _key(12, "id", data_store_id(f["name"])), _key(13, "id", external_id(f["name"]))]
+        keys += [_key(14, "gram", F.left(f["norm"], F.lit(GRAM)), f["norm"])]
+        return F.array_compact(F.array(*keys))
+
     wanted = (
-        refs.select("repo_id", "ref_id", "ref_name", F.explode(F.array_compact(F.array(*keys))).alias("k"))
+        refs.select("repo_id", "ref_id", "ref_name", F.explode(F.flatten(F.transform(F.array(forms), keys_of))).alias("k"))
         .select("repo_id", "ref_id", "ref_name", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"), F.col("k.priority").alias("priority"), F.col("k.check").alias("needle"))
     )
     hits = wanted.join(node_keys(nodes), ["repo_id", "kind", "key"]).filter(
@@ -144,7 +149,7 @@ def containing(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str)
     """
     def one(inner: DataFrame, x: str, outer: DataFrame, y: str) -> DataFrame:
         i = inner.withColumn("_g", F.left(F.col(x), F.lit(GRAM)))
-        o = outer.withColumn("_g", F.explode(F.array_union(grams(F.col(y)), F.array(F.lit("")))))
+        o = outer.withColumn("_g", F.explode(F.concat(grams(F.col(y)), F.array(F.lit("")))))
         return i.join(o, [*on, "_g"]).filter(F.contains(F.col(y), F.col(x))).drop("_g")
 
     cols = [*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on]]

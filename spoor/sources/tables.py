@@ -252,10 +252,8 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges(repo_id, edge_ord, edge_id, source, target, edge_type, condition)."""
-    nodes = _node_table(spark)
-    s = nodes.select(F.col("node_ord").alias("s"), F.col("node_id").alias("source"), F.col("node_type").alias("st"))
-    t = nodes.select(F.col("node_ord").alias("t"), F.col("node_id").alias("target"), F.col("node_type").alias("tt"))
-    slots = s.crossJoin(t)  # the 81 possible slots of one graph, a fixed-size table
+    pairs = [(i, a[0], a[1], j, b[0], b[1]) for i, a in enumerate(NODES) for j, b in enumerate(NODES) if i != j]
+    slots = values(spark, pairs, ["s", "source", "st", "t", "target", "tt"])  # the 72 possible slots of one graph
     return (
         users(spark, sf_dir).join(F.broadcast(slots), F.expr(EDGE_RULE)).select(
             F.expr("concat('repo_', user_id)").alias("repo_id"), F.expr("9 * s + t").alias("edge_ord"),
