@@ -66,7 +66,8 @@ def threshold_alerts(events: DataFrame, baselines: DataFrame, width: str = "1 ho
 
 
 def _depth(key: tuple, batches, state: GroupState):
-    """Running delegation depth of one run; the state is two integers."""
+    """Running delegation depth of one run; the state is two integers, dropped ten minutes of
+    event time after the run's last event."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -76,7 +77,7 @@ def _depth(key: tuple, batches, state: GroupState):
         current = max(0, current + int(up))
         top = max(top, current)
     state.update((current, top))
-    state.setTimeoutDuration(600_000)
+    state.setTimeoutTimestamp(max(int(rows["timestamp_ns"].max()) // 1_000_000, state.getCurrentWatermarkMs()) + 600_000)
     yield pd.DataFrame({"repo_id": [key[0]], "run_id": [key[1]], "depth": [current], "max_depth": [top]})
 
 
@@ -84,9 +85,9 @@ def running_depth(events: DataFrame) -> DataFrame:
     """Delegation depth per run as events arrive (update mode)."""
     et = F.col("event_type")
     up = (et == "delegation.initiated") | ((et == "agent.task_start") & F.col("payload.parent_node_id").isNotNull())
-    steps = events.select("repo_id", "run_id", "event_id", "timestamp_ns", F.when(up, 1).when(et == "agent.task_end", -1).alias("step")).filter("step IS NOT NULL")
+    steps = events.select("repo_id", "run_id", "event_id", "timestamp_ns", "event_time", F.when(up, 1).when(et == "agent.task_end", -1).alias("step")).filter("step IS NOT NULL")
     out = "repo_id string, run_id string, depth long, max_depth long"
-    return steps.groupBy("repo_id", "run_id").applyInPandasWithState(_depth, out, "current long, top long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return steps.groupBy("repo_id", "run_id").applyInPandasWithState(_depth, out, "current long, top long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, target: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
