@@ -144,8 +144,8 @@ QUERIES = [
     Query("k11_call_density", lambda c: r6(C.call_density(c.events)), W("WITH " + _DEN.rstrip(", ") + " SELECT repo_id, node_id, round(ml, 6) AS mean_llm_calls, round(mt, 6) AS mean_tool_calls, round(md, 6) AS mean_delegations, round(cd, 6) AS call_density FROM de", "ev")),
     Query("k12_retry_waste", lambda c: r6(C.retry_waste(c.events).drop("errors", "calls", "prompt")), W("WITH " + _DEN.rstrip(", ") + " SELECT repo_id, node_id, round(me, 6) AS mean_error_count, round(mc, 6) AS mean_total_calls, round(rr, 6) AS retry_rate, wt AS estimated_wasted_tokens FROM rw", "ev")),
     Query("k13_latency_profile", lambda c: r6(C.latency_profile(c.events)), W(
-        "WITH p AS (SELECT repo_id, run_id, max(timestamp_ns) - min(timestamp_ns) AS s, coalesce(sum(latency_ms) FILTER (event_type = 'llm.call_end'), 0) AS m FROM ev GROUP BY ALL), a AS (SELECT repo_id, avg(s) / 1e9 AS s, avg(m) AS m FROM p GROUP BY 1), n AS (SELECT repo_id, source_id, avg(latency_ms) AS l FROM ev WHERE event_type = 'llm.call_end' GROUP BY ALL), "
-        "b AS (SELECT repo_id, arg_max(source_id, l) AS bn, max(l) AS bl FROM n GROUP BY 1) SELECT repo_id, round(s, 6) AS mean_run_duration_seconds, round(least(1, greatest(0, (m / 1000) / greatest(s, 0.001))), 6) AS mean_llm_fraction, coalesce(bn, '') AS bottleneck_node, round(coalesce(bl, 0), 6) AS bottleneck_latency_ms FROM a LEFT JOIN b USING (repo_id)", "ev")),
+        "WITH p AS (SELECT repo_id, run_id, max(timestamp_ns) - min(timestamp_ns) AS s, coalesce(sum(latency_ms) FILTER (event_type = 'llm.call_end'), 0) AS m FROM ev GROUP BY ALL), a AS (SELECT repo_id, avg(s) / 1e9 AS s, avg(m) AS m FROM p GROUP BY 1), n AS (SELECT repo_id, source_id, avg(latency_ms) AS l, min(timestamp_ns) AS f FROM ev WHERE event_type = 'llm.call_end' GROUP BY ALL), "
+        "b AS (SELECT repo_id, source_id AS bn, l AS bl FROM n QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY l DESC, f) = 1) SELECT repo_id, round(s, 6) AS mean_run_duration_seconds, round(least(1, greatest(0, (m / 1000) / greatest(s, 0.001))), 6) AS mean_llm_fraction, coalesce(bn, '') AS bottleneck_node, round(coalesce(bl, 0), 6) AS bottleneck_latency_ms FROM a LEFT JOIN b USING (repo_id)", "ev")),
     Query("k14_cost_risk", lambda c: r6(C.cost_risk(c.events)), W(
         "WITH " + _CHAIN + _DEN + "a AS (SELECT repo_id, max(ratio) AS mx, count(*) FILTER (ratio > 20) AS hc FROM ar GROUP BY 1), d AS (SELECT repo_id, count(*) FILTER (cd > 5) AS h, count(*) AS n FROM de GROUP BY 1), r AS (SELECT repo_id, sum(er) / greatest(sum(ca), 1) AS rr, sum(wt) AS w FROM rw GROUP BY 1), "
         "z AS (SELECT i.repo_id, coalesce(mx, 0) AS mx, coalesce(hc, 0) AS hc, coalesce(h, 0) AS h, coalesce(rr, 0) AS rr, CAST(coalesce(w, 0) AS BIGINT) AS w, least(1, coalesce(mx, 0) / 50) * 0.4 + least(1, coalesce(h, 0) / greatest(coalesce(n, 0), 1)) * 0.3 + least(1, coalesce(rr, 0) * 5) * 0.3 AS s FROM (SELECT DISTINCT repo_id FROM ev) i LEFT JOIN a USING (repo_id) LEFT JOIN d USING (repo_id) LEFT JOIN r USING (repo_id)) "
