@@ -4,13 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Functions that run in Python workers are pickled by reference to the package, which a worker
+    outside the repository cannot import otherwise.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_spoor_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._spoor_shipped = True
+
+
 def local_session(cpus: int | str = "*", app: str = "spoor") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -18,8 +38,11 @@ def local_session(cpus: int | str = "*", app: str = "spoor") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
