@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 HEADER = struct.Struct("<4sBBIQII")
 MAGIC, VERSION = b"SPLN", 1
 BLOCK, SEGMENT = 1 << 16, 1 << 20
-# Around a cut both neighbours are ordinary characters, so the space opens a new word for the tokenizer.
-UNUSUAL = r"\x01|^ | $| [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+# Around a cut both neighbours are ordinary characters, so a space opens a new word for the tokenizer and a
+# line end stands alone. \x01 marks words without a space before them.
+UNUSUAL = r"\x01|^[ \n]|[ \n]$|[ \n][\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
     """Ids of texts by a byte-level BPE tokenizer; each distinct space-led word is encoded once and remembered.
 
-    Such a tokenizer never merges across a space that stands between two other characters, so the ids of
-    the pieces, joined, are those of the whole text. Texts with any other spacing are encoded whole.
+    Such a tokenizer never merges across a space or line end that stands between two other characters, so the
+    ids of the pieces, joined, are those of the whole text. Texts with any other spacing are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -57,37 +58,31 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many to a call, with a line end between them that is one id of its own."""
         line = int(self.whole("\n")[0])
-        if len(self.known) + len(pieces) > self.most:
-            self.known.clear()
-        safe = [p for p in pieces if p[:1] != "\x01" and not p[-1:].isspace() and "\n" not in p and "\r" not in p]
-        for p in set(pieces).difference(safe):
-            self.known[p] = self.whole(p[1:] if p[:1] == "\x01" else " " + p)
-        for at in range(0, len(safe), 4096):
-            part = safe[at : at + 4096]
-            ids = self.whole("".join(f"\n {p}" for p in part))
-            ends = np.flatnonzero(ids == line)
-            if len(ends) == len(part):
-                self.known.update(zip(part, np.split(ids, ends[1:])))
-                for p in part:
-                    self.known[p] = self.known[p][1:]
+        self.known["\x01"], self.known["\n"] = np.zeros(0, np.uint32), np.array([line], np.uint32)
+        bare = [p[1:] if p[0] == "\x01" else f" {p}" for p in pieces]
+        for at in range(0, len(pieces), 4096):
+            keys, part = pieces[at : at + 4096], bare[at : at + 4096]
+            ids = self.whole("\n" + "\n".join(part))
+            starts = np.flatnonzero(ids == line)
+            if len(starts) == len(part):
+                self.known.update((k, ids[a + 1 : e]) for k, a, e in zip(keys, starts.tolist(), [*starts[1:].tolist(), len(ids)]))
             else:
-                self.known.update((p, self.whole(" " + p)) for p in part)
+                self.known.update((k, self.whole(p)) for k, p in zip(keys, part))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """One id array per text; null is the empty text."""
         empty, mark = pa.scalar("", pa.large_string()), pa.scalar("\x01", pa.large_string())
         texts = pc.fill_null(texts.cast(pa.large_string()), empty)
         odd = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False)
-        plain = pc.binary_join_element_wise(mark, pc.if_else(pa.array(odd), empty, texts), empty)
-        pieces = pc.split_pattern(plain, " ")
+        plain = pc.replace_substring(pc.if_else(pa.array(odd), empty, texts), "\n", " \n \x01")
+        pieces = pc.split_pattern(pc.binary_join_element_wise(mark, plain, empty), " ")
         coded = pc.dictionary_encode(pieces.values)
-        words, new = coded.dictionary.to_pylist(), []
+        words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = words
-            self._learn(new)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = words
+        self._learn([w for w in new if w not in ("\x01", "\n")])
         known = self.known
         ids = [known[w] for w in words]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -158,7 +153,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [None if x else int(k) for k, x in zip(keys, null)], counts, ids
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: bool = False, slice_rows: int = 1000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: bool = False, slice_rows: int = 2500) -> None:
     """Tokenise every text, append `end_id` to each and write segments in ascending id order below `path`.
 
     Null and empty texts have the end id alone. Null ids come first; rows with equal ids follow each other
