@@ -17,7 +17,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """XXH64 of a word, remembered for the words met last; memory stays bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000):
+    def __init__(self, seed: int = 0, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 

@@ -93,8 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect() if r["y"] in (0, 1)}
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, min(1.0, sample_rows / 2 / max(1, counts.get(1, 0)))).when(F.col("y") == 0, min(1.0, sample_rows / 2 / max(1, counts.get(0, 0)))).otherwise(0.0)
-    known = known.filter(draw < share)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id").orderBy("id", F.xxhash64("text")).select("text", "y").collect()
+    known = known.filter(draw < share)  # about sample_rows rows, so small enough to broadcast
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").orderBy("id", F.xxhash64("text")).select("text", "y").collect()
     return fit((sentences(r["text"]) for r in rows), np.array([r["y"] for r in rows]))
 
 
@@ -113,7 +113,7 @@ def score(rows: DataFrame, text_col: str, model: tuple[np.ndarray, float], out:
 
     class Known(dict):
         def __missing__(self, word):
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             x = self[word] = sum(sparse.get(f, 0.0) for f in features(word))
             return x
