@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spoor.session import land
 
 WEIGHTS = (5.0, 2.0, 1.0)
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 4000
 UNIT = 1_000_000
 
 
