@@ -25,7 +25,7 @@ PART_ROWS = 5000
 REPLICAS = 4
 BOUNDARY = 1.03
 RATIO = 1.25
-BEAM = 96
+BEAM = 96  # at least; half of the lists if there are more
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -121,6 +121,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     x = np.array(sample["vec"].tolist(), float)
     x = np.hstack([x, np.sqrt(np.maximum(longest**2 - sample["norm"].to_numpy() ** 2, 0.0))[:, None]])
     centres = balanced_centroids(x, max(1, min(MAX_LISTS, n // list_rows)))
+    beam = max(beam, len(centres) // 2)
 
     def assign(batches):
         for b in batches:

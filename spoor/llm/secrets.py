@@ -24,6 +24,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-.
 KINDS = ("assign", "access", "hex", "model")
 SPAN = "array<struct<start:int,no:int,end:int,value:string>>"
 SAMPLE_DOCS = 20_000
+SMOOTH = 0.1
 
 
 def spans(text: Column, pattern: str, no: int, value_group: int = 0) -> Column:
@@ -63,14 +64,14 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of characters, `(a * (n + 1) + b)`; 0 stands for any other character.
 
-    Add-one smoothing; without samples of a label all ratios come from smoothing alone. The counts that
+    Each pair starts at SMOOTH; without samples of a label all its pairs are equally likely. The counts that
     reach the driver are at most 2 * (n + 1)**2.
     """
     n = len(ALPHABET) + 1
     place = lambda i: F.position(F.substring(F.col("token"), i, F.lit(1)), F.lit(ALPHABET))
     steps = samples.filter(F.length("token") > 1).select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
     counts = steps.groupBy("random", place(F.col("i")).alias("a"), place(F.col("i") + 1).alias("b")).count().collect()
-    table = [[1.0] * (n * n), [1.0] * (n * n)]
+    table = [[SMOOTH] * (n * n), [SMOOTH] * (n * n)]
     for r in counts:
         table[r["random"]][r["a"] * n + r["b"]] += r["count"]
     rows = [[sum(t[a * n : a * n + n]) for a in range(n)] for t in table]

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from spoor.llm.common import fresh
 
-RANGES_PER_SHARD = 32
-SAMPLE_PER_RANGE = 16
+RANGES_PER_SHARD = 64
+SAMPLE_PER_RANGE = 12
 
 
 def _splitters(sample: pd.DataFrame, ranges: int) -> np.ndarray:
