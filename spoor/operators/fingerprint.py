@@ -20,7 +20,7 @@ FEATURES = [
     "observability_coverage_ratio", "shared_state_writer_count", "trust_boundary_crossing_count", "feedback_loop_count", "hub_spoke_ratio", "betweenness_max", "betweenness_mean",
     "error_propagation_path_count", "irreversible_capability_count", "agent_to_capability_ratio", "has_human_checkpoint",
 ]
-MAX_QUERIES = 1000
+BLOCK_QUERIES = 1000
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -129,17 +129,19 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, base: DataFrame, *, k: int, floor: float | None = None) -> DataFrame:
     """Exact top-k of base(id, vec) for each of queries(query_id, qvec) by cosine.
 
-    The query side is a bounded set: its size is checked and larger sets must come in slices.
-    The base is read once, scores stay on the map side, and each task keeps only its own best k
+    The query side is counted and taken in blocks of about BLOCK_QUERIES, each one broadcast row.
+    The base is read once per block, scores stay on the map side, and each task keeps only its own best k
     per query before the shuffle (rank limit below the exchange).
     """
-    q = queries.select("query_id", "qvec").limit(MAX_QUERIES + 1)
-    if q.count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors per call; pass them in slices")
-    pack = q.agg(F.collect_list(F.struct("query_id", "qvec")).alias("_q"))  # one row of at most MAX_QUERIES vectors
-    scored = base.join(F.broadcast(pack)).select("id", "vec", F.explode("_q").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("vec"), F.col("q.qvec")).alias("similarity"))
-    if floor is not None:
-        scored = scored.filter(F.col("similarity") >= floor)
+    q = queries.select("query_id", "qvec")
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    scored = None
+    for block in range(blocks):
+        some = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pack = some.agg(F.collect_list(F.struct("query_id", "qvec")).alias("_q"))  # one row of about BLOCK_QUERIES vectors
+        part = base.join(F.broadcast(pack)).select("id", "vec", F.explode("_q").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", cosine(F.col("vec"), F.col("q.qvec")).alias("similarity"))
+        part = part if floor is None else part.filter(F.col("similarity") >= floor)
+        scored = part if scored is None else scored.unionByName(part)
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

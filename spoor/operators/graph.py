@@ -7,6 +7,8 @@ checkpointed and the loop stops when the frontier is empty.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spoor.session import cut
@@ -69,14 +71,14 @@ def breadth_first(edges: DataFrame) -> DataFrame:
     return seen
 
 
-def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: list[str] | None = None, max_nodes: int = 12, closing: bool = False) -> DataFrame:
+def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: list[str] | None = None, closing: bool = False) -> DataFrame:
     """(repo_id, nodes): node count of the longest simple path from the roots (all sources if none given).
 
     With `closing`, a last step back into a visited node counts as one more node.
 
     Longest simple path is exponential in general. States are (last node, set of visited nodes):
     different orders of one visited set are merged at every level, which keeps the frontier far
-    smaller than path enumeration and the result exact up to `max_nodes`.
+    smaller than path enumeration; the result is exact for graphs of any size.
     """
     step = cut(arcs(edges, types))
     begin = step.select("repo_id", F.col("source").alias("node")).distinct() if roots is None else roots.select("repo_id", "node")
@@ -90,7 +92,7 @@ def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: lis
         return front.select("repo_id", F.lit(size).alias("nodes")).unionByName(on).distinct()
 
     best = score(frontier, 1)
-    for size in range(2, max_nodes + 1):
+    for size in count(2):  # ends when no path grows: a simple path cannot outgrow its graph
         grown = (
             frontier.join(step, (frontier["repo_id"] == step["repo_id"]) & (frontier["node"] == step["source"]))
             .filter(~F.array_contains("visited", F.col("target")))
@@ -104,7 +106,7 @@ def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: lis
     return best.groupBy("repo_id").agg(F.max("nodes").alias("nodes"))
 
 
-def simple_cycles(edges: DataFrame, *, types: list[str] | None = None, max_nodes: int = 8) -> DataFrame:
+def simple_cycles(edges: DataFrame, *, types: list[str] | None = None) -> DataFrame:
     """(repo_id, cycle): simple cycles as node arrays that start at their smallest node.
 
     Walks only visit nodes greater than the root, so every cycle appears once; nodes outside
@@ -116,7 +118,7 @@ def simple_cycles(edges: DataFrame, *, types: list[str] | None = None, max_nodes
     step = cut(step.filter("source <> target").join(back, ["repo_id", "source", "target"], "left_semi"))
     frontier = cut(step.filter("source < target").select("repo_id", F.array("source", "target").alias("path")))
     found = None
-    for _ in range(2, max_nodes + 1):
+    while True:
         f = frontier.withColumn("source", F.element_at("path", -1))
         moved = f.join(step, ["repo_id", "source"]).withColumn("root", F.get("path", F.lit(0)))
         closed = moved.filter("target = root").select("repo_id", F.col("path").alias("cycle"))
@@ -128,7 +130,7 @@ def simple_cycles(edges: DataFrame, *, types: list[str] | None = None, max_nodes
     return found
 
 
-def chain_walk(next_of: DataFrame, roots: DataFrame, *, keys: list[str], max_nodes: int = 64) -> DataFrame:
+def chain_walk(next_of: DataFrame, roots: DataFrame, *, keys: list[str]) -> DataFrame:
     """Follow the first unvisited successor of each node from the roots.
 
     next_of(keys, source, target, ord) lists successors in order; result (keys, root, path).
@@ -137,7 +139,7 @@ def chain_walk(next_of: DataFrame, roots: DataFrame, *, keys: list[str], max_nod
     step = cut(next_of.groupBy(*keys, "source", "target").agg(F.min("ord").alias("ord")))
     alive = cut(roots.select(*keys, F.col("node").alias("root"), F.array("node").alias("path")))
     done = None
-    for _ in range(max_nodes):
+    while True:
         at = alive.withColumn("source", F.element_at("path", -1))
         onward = (
             at.join(step, [*keys, "source"]).filter(~F.array_contains("path", F.col("target")))
@@ -150,7 +152,7 @@ def chain_walk(next_of: DataFrame, roots: DataFrame, *, keys: list[str], max_nod
         alive = onward
         if alive.isEmpty():
             break
-    return done if alive.isEmpty() else done.unionByName(alive)
+    return done
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

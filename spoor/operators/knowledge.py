@@ -120,9 +120,9 @@ def delegation_roots(edges: DataFrame) -> DataFrame:
     return true.unionByName(src.join(true.select("repo_id").distinct(), "repo_id", "left_anti"))
 
 
-def delegation_depth(edges: DataFrame, max_nodes: int = 12) -> DataFrame:
+def delegation_depth(edges: DataFrame) -> DataFrame:
     """(repo_id, delegation_depth): nodes on the longest simple delegation path from the roots."""
-    return G.longest_path(edges, delegation_roots(edges), types=["delegates_to"], max_nodes=max_nodes).withColumnRenamed("nodes", "delegation_depth")
+    return G.longest_path(edges, delegation_roots(edges), types=["delegates_to"]).withColumnRenamed("nodes", "delegation_depth")
 
 
 CORRELATIONS = [("betweenness_proxy", "cascade_failures"), ("control_coverage", "avg_propagation_rate"), ("delegation_depth", "total_errors"), ("node_count", "total_errors"), ("edge_count", "cascade_failures")]

@@ -27,13 +27,13 @@ def shared_state(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _rows(hit.select("repo_id", "store", "writer").unionByName(own), MOTIFS[0], F.col("store"), F.col("writer")).distinct()
 
 
-def linear_chains(edges: DataFrame, min_nodes: int = 3, max_nodes: int = 64) -> DataFrame:
+def linear_chains(edges: DataFrame, min_nodes: int = 3) -> DataFrame:
     """From roots of the delegation graph, follow the only unvisited successor."""
     d = cut(edges.filter("edge_type = 'delegates_to' AND source <> '' AND target <> ''").select("repo_id", "source", "target"))
     roots = d.select("repo_id", F.col("source").alias("node")).distinct().join(d.select("repo_id", F.col("target").alias("node")), ["repo_id", "node"], "left_anti")
     alive = cut(roots.select("repo_id", F.col("node").alias("root"), F.array("node").alias("path")))
     done = alive.limit(0)
-    for _ in range(max_nodes):
+    while True:
         nxt = (
             alive.withColumn("source", F.element_at("path", -1)).join(d, ["repo_id", "source"]).filter(~F.array_contains("path", F.col("target")))
             .groupBy("repo_id", "root").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"), F.first("path").alias("path"))

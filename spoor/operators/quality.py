@@ -12,20 +12,20 @@ MIN_EVENTS = 10
 DEPENDENCY_TEXT = ["modulenotfounderror", "no module named", "importerror", "pkg_resources", "could not find a version", "pip install"]
 ENTRY_TEXT = ["filenotfounderror", "no such file or directory", "syntaxerror", "indentationerror"]
 MODEL_TEXT = ["openai", "api_key", "rate limit", "connection refused", "httpconnectionpool", "connection error"]
-INSTRUMENTATION_TEXT = ["_patcher", "sitecustomize", "instrumentation"]
+INSTRUMENTATION_TEXT = ["sitecustomize", "instrumentation"]  # add the names of your own instrumentation modules by parameter
 
 
-def status(runs: DataFrame | None = None) -> Column:
+def status(runs: DataFrame | None = None, instrumentation: list[str] = INSTRUMENTATION_TEXT) -> Column:
     """Status of a run row (status, exit_code, stderr, events, has_interaction), first rule wins."""
     text = F.lower(F.coalesce("stderr", F.lit("")))
     return (
         F.when(F.col("status") == "TIMEOUT", "TIMEOUT").when(contains_any(text, DEPENDENCY_TEXT), "DEPENDENCY_FAILURE").when(contains_any(text, ENTRY_TEXT), "ENTRY_POINT_FAILURE")
-        .when(contains_any(text, MODEL_TEXT), "MODEL_FAILURE").when(contains_any(text, INSTRUMENTATION_TEXT), "INSTRUMENTATION_FAILURE")
+        .when(contains_any(text, MODEL_TEXT), "MODEL_FAILURE").when(contains_any(text, instrumentation), "INSTRUMENTATION_FAILURE")
         .when((F.col("exit_code") == 0) & (F.col("events") >= MIN_EVENTS) & F.col("has_interaction"), "SUCCESS").when((F.col("exit_code") == 0) | (F.col("events") > 0), "PARTIAL_SUCCESS").otherwise("CRASH"))
 
 
-def classify(runs: DataFrame) -> DataFrame:
-    out = runs.withColumn("classified", status(runs))
+def classify(runs: DataFrame, instrumentation: list[str] = INSTRUMENTATION_TEXT) -> DataFrame:
+    out = runs.withColumn("classified", status(runs, instrumentation))
     return out.withColumn("usable_for_dataset", F.col("classified").isin("SUCCESS", "PARTIAL_SUCCESS") & (F.col("events") >= 5))
 
 

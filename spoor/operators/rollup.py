@@ -234,8 +234,3 @@ def topology_by_tier(topology: DataFrame, tiers: DataFrame) -> DataFrame:
     """topology(repo_id, topology) x tiers(repo_id, tier): counts with one column per tier."""
     j = topology.join(tiers.select("repo_id", F.coalesce("tier", F.lit(1)).alias("tier")), "repo_id")
     return j.groupBy("topology").agg(count_if(F.col("tier") == 1).alias("tier_1"), count_if(F.col("tier") == 2).alias("tier_2"), F.count(F.lit(1)).alias("total"))
-
-
-def threshold_summary(df: DataFrame, tests: dict[str, Column], means: list[str]) -> DataFrame:
-    """One row: mean of some columns and how many rows pass each test."""
-    return df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in means], *[count_if(t).alias(n) for n, t in tests.items()])

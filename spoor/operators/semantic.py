@@ -152,14 +152,3 @@ def edge_semantics(p1: DataFrame) -> DataFrame:
     a = p1.groupBy("repo_id", "source", "target").agg(F.avg(F.coalesce("hedging_preserved", F.lit(False)).cast("int")).alias("hedging_preservation_rate"), F.avg(F.coalesce("factual_additions_detected", F.lit(False)).cast("int")).alias("factual_addition_rate"),
                                                      F.avg((~F.coalesce("hedging_preserved", F.lit(False)) & F.coalesce("factual_additions_detected", F.lit(False))).cast("int")).alias("drift_rate"), F.count(F.lit(1)).alias("evaluation_count"))
     return a.join(top, ["repo_id", "source", "target"])
-
-
-def semantic_findings(edges: DataFrame, chains: DataFrame, escalations: DataFrame, stability: DataFrame, vulnerable: DataFrame) -> DataFrame:
-    """(repo_id, finding_id, severity, subject): the five semantic findings by their thresholds."""
-    f = lambda df, fid, sev, subject: df.select("repo_id", F.lit(fid).alias("finding_id"), F.lit(sev).alias("severity"), subject.alias("subject"))
-    out = f(edges.filter("evaluation_count >= 2 AND drift_rate > 0.5"), "STRAT-SD-001", "high", F.concat_ws("->", "source", "target"))
-    for df in (f(chains.filter("information_accretion AND chain_fidelity < 0.5"), "STRAT-HC-001", "critical", F.col("run_id")),
-               f(escalations.filter("compensatory_assertion AND fabrication_risk = 'high' AND had_preceding_errors"), "STRAT-CE-001", "high", F.col("node")),
-               f(stability.filter("stability_score < 0.5"), "STRAT-SC-001", "medium", F.col("node")), f(vulnerable.filter("vulnerability_score > 0.7 AND defense_count = 0"), "STRAT-TV-001", "high", F.col("node_id"))):
-        out = out.unionByName(df)
-    return out

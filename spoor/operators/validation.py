@@ -116,17 +116,6 @@ def first_payloads(events: DataFrame) -> DataFrame:
     return events.groupBy("repo_id", "event_type").agg(F.min_by(F.struct("event_id", F.to_json("payload").alias("payload")), F.struct("timestamp_ns", "event_id")).alias("f")).select("repo_id", "event_type", "f.event_id", "f.payload")
 
 
-def export_violations(docs: DataFrame) -> DataFrame:
-    """docs(line, repo_id, agents array<string>, delegations array<struct<upstream,downstream>>, outputs long): rule breaks."""
-    bad = lambda cond, rule: docs.filter(cond).select("line", "repo_id", F.lit(rule).alias("rule"))
-    dup = docs.groupBy("repo_id").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = docs.join(dup, "repo_id").filter("line > first").select("line", "repo_id", F.lit("duplicate_repo_id").alias("rule"))
-    ghost = F.exists("delegations", lambda d: ~F.array_contains("agents", d["upstream"]) | ~F.array_contains("agents", d["downstream"]))
-    return (
-        bad(F.col("repo_id").isNull(), "missing_repo_id").unionByName(bad(~F.col("repo_id").startswith("https://github.com/"), "not_a_repository_url"))
-        .unionByName(again).unionByName(bad(F.size("agents") == 0, "no_agents")).unionByName(bad(ghost, "delegation_to_unknown_agent")).unionByName(bad(F.col("outputs") == 0, "no_output_text")))
-
-
 def coverage(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Field coverage per row: a field counts when neither null nor empty; ready flags per group."""
     types = dict(df.dtypes)
@@ -148,15 +137,6 @@ def coverage(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return out
 
 
-def record_errors(records: DataFrame) -> DataFrame:
-    """records(repo_id, sections..., error_propagation array<struct>): missing sections and broken traces."""
-    need = ["execution_metadata", "edge_validation", "emergent_edges", "node_activation", "error_propagation", "failure_modes", "monitoring_baselines"]
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in need if c in records.columns], *[F.lit(f"missing {c}") for c in need if c not in records.columns]))
-    traces = F.flatten(F.transform(F.coalesce(F.col("error_propagation"), F.array().cast(records.schema["error_propagation"].dataType)), lambda t: F.array_compact(F.array(
-        F.when(t["error_source_node"].isNull(), F.lit("trace without error_source_node")), F.when(t["stop_mechanism"].isNull(), F.lit("trace without stop_mechanism")), F.when(t["nodes_affected"].isNull(), F.lit("trace without nodes_affected"))))))
-    return records.select("repo_id", F.explode(F.concat(missing, traces)).alias("error"))
-
-
 def grade_trace(events: DataFrame) -> DataFrame:
     """RICH / BASIC / EMPTY per run: agents, hashed outputs and content flow, else any completed call."""
     et, p = F.col("event_type"), lambda n: F.col(f"payload.{n}")
