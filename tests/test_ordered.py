@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.functions.ordered import element_at_rank, percentiles, scan
+from spoor.functions.ordered import element_at_rank, order_ranges, percentiles, scan
 
 
 def rows(n=400, seed=3):
@@ -55,3 +55,14 @@ def test_percentiles(spark, limit):
     for k, m in mid.items():
         xs = sorted(x for g, x in data if g == k)
         assert m == xs[len(xs) // 2]
+
+
+def test_ranges_stay_near_the_limit_in_a_burst(spark):
+    r = random.Random(2)
+    # nearly all rows fall into ten time values, half of them into one
+    data = [("hot", 10**9 if i < 10 else 500 if i % 2 else 490 + r.randint(0, 9), f"e{i:05d}") for i in range(5000)]
+    df = spark.createDataFrame(data, "k string, t long, id string")
+    sizes = [x["count"] for x in order_ranges(df, ["k"], "t", ["id"], 5000, 100).groupBy("k", "_b").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 200
+    got = {x["id"]: x["n"] for x in scan(df, ["k"], "t", {"n": ("sum", F.lit(1))}, tie=["id"], rows_per_bucket=100).collect()}
+    assert got == {i: n for n, (_, _, i) in enumerate(sorted(data, key=lambda d: (d[1], d[2])))}
