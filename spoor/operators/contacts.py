@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# fixed values: address patterns, personal mail domains and role words
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 NO_REPLY = r"(?i)(noreply|no-reply|users\.noreply\.github\.com)"
 PERSONAL = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "live.com", "aol.com", "icloud.com", "me.com", "mail.com", "protonmail.com", "proton.me", "yandex.com", "gmx.com", "zoho.com",

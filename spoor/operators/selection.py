@@ -8,6 +8,7 @@ from spoor.functions.stats import count_if, ratio
 from spoor.functions.text import nz
 from spoor.session import cut
 
+# fixed values: number of archetypes and framework lists
 ARCHETYPES = 12
 SUPPORTED = ["crewai", "langgraph", "autogen", "langchain", "custom"]
 STANDARD = ["crewai", "langgraph", "autogen", "langchain"]
@@ -252,6 +253,7 @@ def demote_copies(df: DataFrame) -> DataFrame:
     return df.join(first, "topology_hash").withColumn("is_copy", F.col("repo_id") != F.col("first_repo"))
 
 
+# fixed values: rare preconditions
 RARE = ["circular_delegation", "capability_overlap_no_priority", "data_store_no_schema_enforcement", "classification_without_validation"]
 
 
