@@ -84,7 +84,7 @@ def fingerprints(nodes: DataFrame, edges: DataFrame, far: DataFrame) -> DataFram
     ac = nodes.filter(F.col("node_type").isin("agent", "capability")).join(seen, ["repo_id", "node_id"], "left").groupBy("repo_id").agg(F.avg(F.col("_o").isNotNull().cast("int")).alias("observability_coverage_ratio"))
     depth = delegation_depths(edges).groupBy("repo_id").agg(F.max("depth").alias("delegation_depth_max"), F.avg("depth").alias("delegation_depth_mean"))
     cross = M.crossings(nodes, edges).groupBy("repo_id").agg(F.count(F.lit(1)).alias("trust_boundary_crossing_count"))
-    loops = M.dfs_cycles(edges).groupBy("repo_id").agg(F.count(F.lit(1)).alias("feedback_loop_count"))
+    loops = G.shortest_cycles(edges).groupBy("repo_id").agg(F.count(F.lit(1)).alias("feedback_loop_count"))
     deg = G.degrees(nodes, edges).withColumn("d", F.col("out_degree") + F.col("in_degree")).groupBy("repo_id").agg(F.max("d").alias("_dmax"), F.avg("d").alias("_davg"))
     bc = G.betweenness(nodes, edges).groupBy("repo_id").agg(F.max("betweenness").alias("betweenness_max"), F.avg("betweenness").alias("betweenness_mean"))
     out = type_counts(nodes)

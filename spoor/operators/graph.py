@@ -130,6 +130,34 @@ def simple_cycles(edges: DataFrame, *, types: list[str] | None = None) -> DataFr
     return found
 
 
+def shortest_cycles(edges: DataFrame, *, types: list[str] | None = None) -> DataFrame:
+    """(repo_id, cycle): for every edge that lies on a cycle, the shortest cycle through it.
+
+    Among equally short ones the smallest node sequence after the edge's target is taken. Cycles start
+    at their smallest node and are distinct, so there are at most as many as edges: a cycle basis in
+    polynomial work, where `simple_cycles` may list exponentially many. An edge from a node to itself is
+    the cycle of that node. All graphs and origins advance together, one level per join.
+    """
+    step = cut(arcs(edges, types))
+    own = step.filter("source = target").select("repo_id", F.array("source").alias("cycle"))
+    far = reach(step).select("repo_id", F.col("origin").alias("target"), F.col("node").alias("source"))
+    ring = cut(step.filter("source <> target").join(far, ["repo_id", "source", "target"], "left_semi"))
+    frontier = ring.select("repo_id", F.col("target").alias("origin"), F.col("target").alias("node"), F.array("target").alias("path")).distinct()
+    frontier = cut(frontier)
+    seen = frontier
+    while not frontier.isEmpty():
+        moved = (
+            frontier.select("repo_id", "origin", F.col("node").alias("source"), "path").join(ring, ["repo_id", "source"])
+            .groupBy("repo_id", "origin", F.col("target").alias("node")).agg(F.min(F.array_append("path", F.col("target"))).alias("path"))
+        )
+        frontier = cut(moved.join(seen.select("repo_id", "origin", "node"), ["repo_id", "origin", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    back = ring.join(seen.select("repo_id", F.col("origin").alias("target"), F.col("node").alias("source"), "path"), ["repo_id", "source", "target"])
+    low = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", low, F.size("path")), F.slice("path", F.lit(1), low - 1))
+    return back.select("repo_id", turned.alias("cycle")).unionByName(own).distinct()
+
+
 def chain_walk(next_of: DataFrame, roots: DataFrame, *, keys: list[str]) -> DataFrame:
     """Follow the first unvisited successor of each node from the roots.
 

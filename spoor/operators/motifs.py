@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from spoor.operators.graph import shortest_cycles
 from spoor.session import cut
 
 OUT = ["repo_id", "motif", "instance", "node_id"]
@@ -55,54 +55,8 @@ def hubs(edges: DataFrame, spokes: int = 3) -> DataFrame:
     return _rows(arms.unionByName(big.select("repo_id", "source", F.col("source").alias("target"))), MOTIFS[2], F.col("source"), F.col("target")).distinct()
 
 
-def _dfs_cycles(pairs: list[tuple[str, str]]) -> set[tuple[str, ...]]:
-    """Cycles closed by the back edges of one depth-first search in sorted node order, iteratively."""
-    out: dict[str, list[str]] = {}
-    for s, t in pairs:
-        out.setdefault(s, []).append(t)
-    found, seen = set(), set()
-    for start in sorted({n for p in pairs for n in p}):
-        if start in seen:
-            continue
-        seen.add(start)
-        path, at, walk = [start], {start: 0}, [iter(out.get(start, ()))]
-        while walk:
-            nxt = next(walk[-1], None)
-            if nxt is None:
-                walk.pop()
-                at.pop(path.pop())
-            elif nxt in at:
-                ring = path[at[nxt]:]
-                low = ring.index(min(ring))
-                found.add(tuple(ring[low:] + ring[:low]))
-            elif nxt not in seen:
-                seen.add(nxt)
-                at[nxt] = len(path)
-                path.append(nxt)
-                walk.append(iter(out.get(nxt, ())))
-    return found
-
-
-def dfs_cycles(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """(repo_id, cycle): cycles a depth-first search closes.
-
-    Lexicographic depth-first search has no parallel form, so each graph document is searched
-    by itself. The unit is one graph document, which already arrives as a single input row;
-    `graph.simple_cycles` is the join-based alternative that lists every simple cycle.
-    """
-    e = edges if types is None else edges.filter(F.col("edge_type").isin(types))
-    e = e.filter("source <> '' AND target <> ''").select("repo_id", "edge_ord", "source", "target")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("edge_ord")
-        rings = sorted(_dfs_cycles(list(zip(pdf["source"], pdf["target"]))))
-        return pd.DataFrame({"repo_id": [pdf["repo_id"].iloc[0]] * len(rings), "cycle": [list(r) for r in rings]})
-
-    return e.groupBy("repo_id").applyInPandas(search, "repo_id string, cycle array<string>")
-
-
 def feedback_loops(edges: DataFrame) -> DataFrame:
-    rings = dfs_cycles(edges, ["delegates_to", "feeds_into"])
+    rings = shortest_cycles(edges, types=["delegates_to", "feeds_into"])
     return _rows(rings.withColumn("node", F.explode("cycle")), MOTIFS[3], F.array_join("cycle", "->"), F.col("node"))
 
 

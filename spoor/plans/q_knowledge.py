@@ -79,6 +79,17 @@ _SS = (
 )
 _IR = s_in(I.IRREVERSIBLE_EDGES)
 
+
+def _loops(which: str) -> str:
+    """Shortest cycle through every edge: all simple paths onward from its target, the best that ends at its source."""
+    return (
+        f"la AS (SELECT DISTINCT repo_id, source, target FROM edges WHERE {which}), lw AS (SELECT DISTINCT repo_id, [target] AS path FROM la UNION ALL SELECT w.repo_id, list_append(w.path, a.target) FROM lw w JOIN la a ON a.repo_id = w.repo_id AND a.source = w.path[-1] AND NOT list_contains(w.path, a.target)), "
+        "lr AS (SELECT a.repo_id, a.source, a.target, path, list_position(path, list_min(path)) AS low FROM la a JOIN lw ON lw.repo_id = a.repo_id AND path[1] = a.target AND path[-1] = a.source QUALIFY row_number() OVER (PARTITION BY a.repo_id, a.source, a.target ORDER BY len(path), path) = 1), "
+        "lp AS (SELECT DISTINCT repo_id, array_to_string(path[low:] || path[1:low - 1], '->') AS cycle FROM lr)"
+    )
+
+
+
 QUERIES = [
     Query("h3_shared_state", lambda c: M.shared_state(c.nodes, c.edges), W("WITH " + _SS.rstrip(", ") + " SELECT repo_id, 'shared_state_without_arbitration' AS motif, store AS instance, unnest(list_append(list(writer), store)) AS node_id FROM ssw JOIN sss USING (repo_id, store) GROUP BY repo_id, store", "edges")),
     Query("h4_linear_chains", lambda c: M.linear_chains(c.edges), W(
@@ -88,7 +99,8 @@ QUERIES = [
         "lg AS (SELECT repo_id, root, arg_max(path, len(path)) AS path FROM ch GROUP BY ALL) SELECT repo_id, 'linear_delegation_chain' AS motif, root AS instance, unnest(path) AS node_id FROM lg WHERE len(path) >= 3", "edges", recursive=True)),
     Query("h6_hub_and_spoke", lambda c: M.hubs(c.edges), W(
         "WITH d AS (SELECT repo_id, source, list(target) AS t FROM edges WHERE edge_type = 'delegates_to' GROUP BY ALL HAVING count(*) >= 3) SELECT repo_id, 'hub_and_spoke' AS motif, source AS instance, unnest(list_append(t, source)) AS node_id FROM d", "edges")),
-    Query("h7_feedback_loops", lambda c: M.dfs_cycles(c.edges, ["delegates_to", "feeds_into"]).select("repo_id", F.array_join("cycle", "->").alias("cycle"))),
+    Query("h7_feedback_loops", lambda c: G.shortest_cycles(c.edges, types=["delegates_to", "feeds_into"]).select("repo_id", F.array_join("cycle", "->").alias("cycle")), W(
+        "WITH " + _loops("edge_type IN ('delegates_to', 'feeds_into')") + " SELECT repo_id, cycle FROM lp", "edges", recursive=True)),
     Query("h7_simple_cycles", lambda c: G.simple_cycles(c.edges, types=["delegates_to"]).select("repo_id", F.array_join("cycle", "->").alias("cycle")), W(
         "WITH d AS (SELECT DISTINCT repo_id, source, target FROM edges WHERE edge_type = 'delegates_to'), w AS (SELECT repo_id, [source, target] AS path FROM d WHERE target > source UNION ALL SELECT w.repo_id, list_append(w.path, d.target) FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.path[-1] AND d.target > w.path[1] AND NOT list_contains(w.path, d.target)) "
         "SELECT w.repo_id, array_to_string(path, '->') AS cycle FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.path[-1] AND d.target = w.path[1]", "edges", recursive=True)),
