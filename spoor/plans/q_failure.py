@@ -97,6 +97,17 @@ _HREACH = _HO + (
 _FMAP = "fm AS (SELECT DISTINCT repo_id, finding_id FROM pre JOIN (VALUES " + ", ".join(f"('{p}', '{f}')" for p, f in PRECONDITION_FINDING.items()) + ") AS q(precondition, finding_id) USING (precondition)), "
 _RF = "rf AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{FINDING_NAMES[f]}', '{t}')" for f, t in RUNTIME_FINDINGS.items()) + ") AS z(finding_id, finding_name, failure_type)), "
 
+_PAY = (
+    "WITH " + _DEPTH + "q AS (SELECT run_id, list_sort(list(latency_ms))[least(CAST(floor(count(*) * 0.95) AS BIGINT) + 1, count(*))] AS v FROM ev WHERE event_type = 'delegation.initiated' AND latency_ms IS NOT NULL GROUP BY run_id), "
+    "sw AS (SELECT run_id, state_key, count(DISTINCT accessor) AS w, count(*) AS n FROM ev WHERE access_type = 'write' GROUP BY ALL), s2 AS (SELECT run_id, count(*) FILTER (w > 1) / sum(n) AS r FROM sw GROUP BY run_id), "
+    "eo AS (SELECT run_id, timestamp_ns, event_id FROM ev WHERE event_type = 'error.occurred'), "
+    f"e2 AS (SELECT o.run_id, o.event_id, count(*) FILTER (b.event_type IN ('error.occurred', 'error.propagated') OR (b.event_type IN ('agent.task_end', 'tool.completed') AND b.status = 'error')) AS le, count(*) FILTER (b.event_type = 'agent.task_end' AND b.status = 'success') AS lo FROM eo o LEFT JOIN ev b ON b.run_id = o.run_id AND b.timestamp_ns > o.timestamp_ns GROUP BY ALL), "
+    "e3 AS (SELECT run_id, count(*) FILTER (le = 0 AND lo > 0) / count(*) AS r FROM e2 GROUP BY run_id), "
+    "b AS (SELECT repo_id, run_id, count(*) FILTER (event_type IN ('llm.call_start', 'llm.call_end')) AS lb, count(*) FILTER (event_type = 'llm.call_end') AS le FROM ev GROUP BY ALL) "
+    "SELECT b.repo_id, b.run_id, CAST(CASE WHEN lb // 2 > 0 THEN lb // 2 ELSE le END AS DOUBLE) AS total_llm_calls_per_run, CAST(0 AS DOUBLE) AS tool_call_failure_rate, CAST(0 AS DOUBLE) AS schema_mismatch_rate, CAST(coalesce(max_depth, 0) AS DOUBLE) AS max_delegation_depth, "
+    "round(coalesce(e3.r, 0), 6) AS error_swallow_rate, round(coalesce(s2.r, 0), 6) AS concurrent_state_write_rate, round(q.v, 6) AS delegation_latency_p95_ms FROM b LEFT JOIN mx USING (run_id) LEFT JOIN q USING (run_id) LEFT JOIN s2 USING (run_id) LEFT JOIN e3 USING (run_id)"
+)
+
 QUERIES = [
     Query("g1_error_traces", lambda c: traces(c).select("repo_id", "run_id", "event_id", "error_source_node", "error_type", "nodes_affected", "downstream_errors", "downstream_tasks_failed", "swallowed", F.size("predicted_path").alias("predicted_nodes")), W(
         "WITH " + REACH + _TR + "SELECT s.repo_id, s.run_id, s.eid AS event_id, s.wh AS error_source_node, coalesce(s.error_type, 'unknown') AS error_type, CAST(coalesce(n1.n, 0) + coalesce(n2.n, 0) AS BIGINT) AS nodes_affected, coalesce(de, 0) AS downstream_errors, "
@@ -133,22 +144,19 @@ QUERIES = [
         "round(CASE WHEN any_value(cap) THEN least(avg(v) + 2 * stddev_pop(v), 1) ELSE avg(v) + 2 * stddev_pop(v) END, 4) AS suggested_threshold, CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS sample_size "
         "FROM lg JOIN sp USING (metric) GROUP BY repo_id, metric, finding_id, scanner_metric, unit", "evl")),
     Query("g45_run_metrics_payload", lambda c: r6(B.run_metrics_payload(c.events)), W(
-        "WITH " + _DEPTH + "q AS (SELECT run_id, list_sort(list(latency_ms))[least(CAST(floor(count(*) * 0.95) AS BIGINT) + 1, count(*))] AS v FROM ev WHERE event_type = 'delegation.initiated' AND latency_ms IS NOT NULL GROUP BY run_id), "
-        "sw AS (SELECT run_id, state_key, count(DISTINCT accessor) AS w, count(*) AS n FROM ev WHERE access_type = 'write' GROUP BY ALL), s2 AS (SELECT run_id, count(*) FILTER (w > 1) / sum(n) AS r FROM sw GROUP BY run_id), "
-        "eo AS (SELECT run_id, timestamp_ns, event_id FROM ev WHERE event_type = 'error.occurred'), "
-        f"e2 AS (SELECT o.run_id, o.event_id, count(*) FILTER (b.event_type IN ('error.occurred', 'error.propagated') OR (b.event_type IN ('agent.task_end', 'tool.completed') AND b.status = 'error')) AS le, count(*) FILTER (b.event_type = 'agent.task_end' AND b.status = 'success') AS lo FROM eo o LEFT JOIN ev b ON b.run_id = o.run_id AND b.timestamp_ns > o.timestamp_ns GROUP BY ALL), "
-        "e3 AS (SELECT run_id, count(*) FILTER (le = 0 AND lo > 0) / count(*) AS r FROM e2 GROUP BY run_id), "
-        "b AS (SELECT repo_id, run_id, count(*) FILTER (event_type IN ('llm.call_start', 'llm.call_end')) AS lb, count(*) FILTER (event_type = 'llm.call_end') AS le FROM ev GROUP BY ALL) "
-        "SELECT b.repo_id, b.run_id, CAST(CASE WHEN lb // 2 > 0 THEN lb // 2 ELSE le END AS DOUBLE) AS total_llm_calls_per_run, CAST(0 AS DOUBLE) AS tool_call_failure_rate, CAST(0 AS DOUBLE) AS schema_mismatch_rate, CAST(coalesce(max_depth, 0) AS DOUBLE) AS max_delegation_depth, "
-        "round(coalesce(e3.r, 0), 6) AS error_swallow_rate, round(coalesce(s2.r, 0), 6) AS concurrent_state_write_rate, round(q.v, 6) AS delegation_latency_p95_ms FROM b LEFT JOIN mx USING (run_id) LEFT JOIN q USING (run_id) LEFT JOIN s2 USING (run_id) LEFT JOIN e3 USING (run_id)", "ev")),
-    Query("g44_baselines_uncapped", lambda c: B.baselines(B.run_metrics_payload(c.events), capped=False)),
+        _PAY, "ev")),
+    Query("g44_baselines_uncapped", lambda c: r6(B.baselines(B.run_metrics_payload(c.events), capped=False), 4), W(
+        "WITH met AS (" + _PAY + "), " + _UNPIV + _SPEC + "SELECT repo_id, metric, finding_id, scanner_metric, unit, round(avg(v), 4) AS observed_baseline, round(stddev_pop(v), 4) AS observed_stddev, round(avg(v) + 2 * stddev_pop(v), 4) AS suggested_threshold, "
+        "CASE WHEN count(v) >= 3 THEN 'medium' ELSE 'low' END AS confidence, count(v) AS sample_size FROM lg JOIN sp USING (metric) WHERE v IS NOT NULL GROUP BY repo_id, metric, finding_id, scanner_metric, unit", "ev")),
     Query("g46_handoffs", lambda c: handoffs(c), W("WITH " + _HO.rstrip(", ") + " SELECT repo_id, run_id, CAST(event_id AS VARCHAR) AS event_id, source, target, content_hash, cd AS has_classification_dependency, validated FROM ho", "evl", "nodes", "edges")),
     Query("g48_blast_radius", lambda c: L.blast_radius(handoffs(c)), W("WITH " + _HREACH + "SELECT repo_id, origin AS node, blast_radius FROM br", "evl", "nodes", "edges", recursive=True)),
     Query("g46_lineage_summary", lambda c: r6(L.lineage_summary(handoffs(c), resolved(c)).drop("semantic_chain_depth")), W(
         "WITH " + _HREACH.rstrip() + ", a AS (SELECT repo_id, count(*) AS t, count(*) FILTER (NOT validated) AS u FROM ho GROUP BY ALL), m AS (SELECT repo_id, max(blast_radius) AS b FROM br GROUP BY ALL), k AS (SELECT repo_id, count(DISTINCT rs) AS n FROM ou WHERE classified IS NOT NULL GROUP BY ALL) "
         "SELECT r.repo_id, coalesce(t, 0) AS total_handoffs, coalesce(u, 0) AS unvalidated_count, coalesce(b, 0) AS max_blast_radius, coalesce(k.n, 0) AS classification_injection_count, round(coalesce(u, 0) / greatest(coalesce(t, 0), 1), 6) AS unvalidated_fraction "
         "FROM (SELECT DISTINCT repo_id FROM ev) r LEFT JOIN a USING (repo_id) LEFT JOIN m USING (repo_id) LEFT JOIN k USING (repo_id)", "evl", "nodes", "edges", recursive=True)),
-    Query("g49_chain_depth", lambda c: L.lineage_summary(handoffs(c), resolved(c)).select("repo_id", "semantic_chain_depth")),
+    Query("g49_chain_depth", lambda c: L.lineage_summary(handoffs(c), resolved(c)).select("repo_id", "semantic_chain_depth"), W(
+        "WITH " + _HO + "ha AS MATERIALIZED (SELECT DISTINCT repo_id, source, target FROM ho WHERE source <> '' AND target <> ''), lw AS (SELECT DISTINCT repo_id, source AS node, [source] AS seen FROM ha UNION SELECT w.repo_id, a.target, list_sort(list_append(w.seen, a.target)) FROM lw w JOIN ha a ON a.repo_id = w.repo_id AND a.source = w.node AND NOT list_contains(w.seen, a.target)), "
+        "ld AS (SELECT lw.repo_id, max(len(seen) - CASE WHEN EXISTS (SELECT 1 FROM ha a WHERE a.repo_id = lw.repo_id AND a.source = lw.node) THEN 0 ELSE 1 END) AS d FROM lw GROUP BY 1) SELECT repo_id, coalesce(d, 0) AS semantic_chain_depth FROM (SELECT DISTINCT repo_id FROM ev) r LEFT JOIN ld USING (repo_id)", "evl", "nodes", "edges", recursive=True)),
     Query("g50_output_determinism", lambda c: r6(L.output_determinism(resolved(c))), W(
         "WITH " + REFMAP + EVR + "rz AS (SELECT *, coalesce(src, source_id) AS rs FROM evr), gi AS (SELECT run_id, arg_max(input_hash, timestamp_ns) AS ih FROM ev WHERE event_type = 'execution.start' GROUP BY run_id) "
         "SELECT repo_id, rs AS node, ih AS input_hash, count(*) AS same_input_outputs, count(DISTINCT output_hash) AS unique_outputs, count(DISTINCT output_hash) = 1 AS deterministic, round(1 - (count(DISTINCT output_hash) - 1) / (count(*) - 1), 6) AS consistency "

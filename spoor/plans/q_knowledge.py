@@ -90,6 +90,34 @@ def _loops(which: str) -> str:
 
 
 
+_CH = (
+    "cd AS (SELECT repo_id, source, target FROM edges WHERE edge_type = 'delegates_to'), cr AS (SELECT DISTINCT repo_id, source AS root FROM cd WHERE NOT EXISTS (SELECT 1 FROM cd x WHERE x.repo_id = cd.repo_id AND x.target = cd.source)), "
+    "cw AS (SELECT repo_id, root, [root] AS path FROM cr UNION ALL SELECT c.repo_id, c.root, list_append(c.path, d.target) FROM cw c JOIN cd d ON d.repo_id = c.repo_id AND d.source = c.path[-1] AND NOT list_contains(c.path, d.target) "
+    "WHERE (SELECT count(*) FROM cd y WHERE y.repo_id = c.repo_id AND y.source = c.path[-1] AND NOT list_contains(c.path, y.target)) = 1), cl AS (SELECT repo_id, root, arg_max(path, len(path)) AS path FROM cw GROUP BY ALL), "
+)
+_MO = _SS + _CH + _loops("edge_type IN ('delegates_to', 'feeds_into')") + (
+    ", hb AS (SELECT repo_id, source, list(target) AS t FROM cd GROUP BY ALL HAVING count(*) >= 3), tc AS (SELECT repo_id, source, target FROM edges WHERE (source = 'ext_web_api') <> (target = 'ext_web_api')), "
+    "mo AS (SELECT DISTINCT * FROM (SELECT repo_id, 'shared_state_without_arbitration' AS motif, store AS instance, unnest(list_append(list(writer), store)) AS node_id FROM ssw JOIN sss USING (repo_id, store) GROUP BY repo_id, store "
+    "UNION ALL SELECT repo_id, 'linear_delegation_chain', root, unnest(path) FROM cl WHERE len(path) >= 3 UNION ALL SELECT repo_id, 'hub_and_spoke', source, unnest(list_append(t, source)) FROM hb "
+    "UNION ALL SELECT repo_id, 'feedback_loop', cycle, unnest(string_split(cycle, '->')) FROM lp UNION ALL SELECT repo_id, 'trust_boundary_crossing', 'all', unnest([source, target]) FROM tc)), mr AS (SELECT DISTINCT repo_id, motif FROM mo), "
+)
+_ARC = _MO + (
+    "ms AS (SELECT r.repo_id, coalesce(list(motif) FILTER (motif IS NOT NULL), []) AS m, any_value(agents) AS agents FROM (SELECT repo_id, count(*) FILTER (node_type = 'agent') AS agents FROM nodes GROUP BY 1) r LEFT JOIN mr USING (repo_id) GROUP BY 1), "
+    "ar AS (SELECT repo_id, CASE WHEN list_contains(m, 'linear_delegation_chain') AND list_contains(m, 'shared_state_without_arbitration') THEN 'hierarchical_delegation' WHEN list_contains(m, 'hub_and_spoke') AND list_contains(m, 'shared_state_without_arbitration') THEN 'hub_and_spoke_shared_state' "
+    "WHEN list_contains(m, 'hub_and_spoke') THEN 'hub_and_spoke' WHEN list_contains(m, 'linear_delegation_chain') THEN 'linear_pipeline' WHEN list_contains(m, 'feedback_loop') THEN 'feedback_loop_system' WHEN list_contains(m, 'shared_state_without_arbitration') THEN 'shared_state_system' "
+    "WHEN list_contains(m, 'trust_boundary_crossing') THEN 'trust_boundary_system' WHEN agents <= 1 THEN 'simple_agent' ELSE 'generic' END AS archetype FROM ms), "
+)
+_FRAG = _ROLE + (
+    "de AS (SELECT repo_id, node_id, -sum(k / t * log2(k / t)) AS ent FROM (SELECT repo_id, node_id, count(*) AS k, sum(count(*)) OVER (PARTITION BY repo_id, node_id) AS t FROM ne WHERE event_type = 'decision.made' AND option_hash IS NOT NULL GROUP BY repo_id, node_id, option_hash) GROUP BY ALL), "
+    "fn AS (SELECT be.*, role, tr > 0.1 OR rt > 0 AS qd, least(1, least(tr, 1) * 0.4 + CAST(tr > 0.1 OR rt > 0 AS INT) * 0.3 + least(rt / 10, 1) * 0.2 + least(coalesce(ent, 0) / 4, 1) * 0.1) AS sens FROM be JOIN rl USING (repo_id, node_id) LEFT JOIN de USING (repo_id, node_id) WHERE tf > 0 OR tr > 0.1 OR rt > 0 OR ac > 0), "
+)
+_RISK = _MAN + _FRAG + (
+    "fp AS (SELECT DISTINCT precondition FROM (VALUES " + ", ".join(f"('{p}', '{r}')" for p, roles in P.PRECONDITION_ROLES.items() for r in roles) + ") AS z(precondition, role) WHERE role IN (SELECT role FROM fn GROUP BY role HAVING avg(sens) > 0.3)), "
+    "rk AS (SELECT DISTINCT repo_id, precondition, probability, severity_label, precondition IN (SELECT precondition FROM fp) AS flag, probability * CASE severity_label WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 WHEN 'none' THEN 0 ELSE 1 END AS pw FROM pre JOIN mn USING (precondition) WHERE sample_size > 0), "
+    "os AS (SELECT repo_id, sum(pw * CASE WHEN flag THEN 1.5::DOUBLE ELSE 1 END) / (count(*) * 4.5::DOUBLE) * 100 AS score, count(*) AS n FROM rk GROUP BY 1), "
+    "ov AS (SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 15 THEN 'LOW' ELSE 'MINIMAL' END AS risk_level FROM os), "
+)
+
 QUERIES = [
     Query("h3_shared_state", lambda c: M.shared_state(c.nodes, c.edges), W("WITH " + _SS.rstrip(", ") + " SELECT repo_id, 'shared_state_without_arbitration' AS motif, store AS instance, unnest(list_append(list(writer), store)) AS node_id FROM ssw JOIN sss USING (repo_id, store) GROUP BY repo_id, store", "edges")),
     Query("h4_linear_chains", lambda c: M.linear_chains(c.edges), W(
@@ -106,13 +134,14 @@ QUERIES = [
         "SELECT w.repo_id, array_to_string(path, '->') AS cycle FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.path[-1] AND d.target = w.path[1]", "edges", recursive=True)),
     Query("h8_trust_crossings", lambda c: M.crossings(c.nodes, c.edges).select("repo_id", "edge_id"), W("SELECT repo_id, edge_id FROM edges WHERE (source = 'ext_web_api') <> (target = 'ext_web_api')", "edges")),
     Query("h1_patterns", lambda c: r6(patterns(c))),
-    Query("h9_failure_modes_by_motif", lambda c: H.failure_mode_counts(motif_nodes(c), behavior(c))),
+    Query("h9_failure_modes_by_motif", lambda c: H.failure_mode_counts(motif_nodes(c), behavior(c)), W(
+        "WITH " + _BEH + _MO + "hm AS (SELECT DISTINCT repo_id, node_id, error_handling AS mode FROM ne WHERE error_handling IS NOT NULL), hn AS (SELECT repo_id, mode, count(*) AS n FROM hm JOIN be USING (repo_id, node_id) WHERE er > 0 GROUP BY ALL) SELECT motif, mode, CAST(sum(n) AS BIGINT) AS n FROM mr JOIN hn USING (repo_id) GROUP BY ALL", "evl", "nodes", "edges", recursive=True)),
     Query("h11_novel_patterns", lambda c: r6(H.novel_patterns(repos(c)))),
-    Query("h12_framework_comparison", lambda c: r6(H.framework_comparison(motif_nodes(c).filter("motif IN ('shared_state_without_arbitration', 'trust_boundary_crossing')"), c.nodes.select("repo_id", "framework").distinct(), repos(c)).drop("avg_error_rate", "avg_latency_p50_ms")), W(
-        "WITH " + _BEH + _SS + "mo AS (SELECT repo_id, 'shared_state_without_arbitration' AS motif FROM sss UNION ALL SELECT DISTINCT repo_id, 'trust_boundary_crossing' FROM edges WHERE (source = 'ext_web_api') <> (target = 'ext_web_api')), fw AS (SELECT DISTINCT repo_id, framework FROM nodes), "
-        "d AS (SELECT motif, framework, count(*) AS n, count(*) FILTER (failed) AS k FROM mo JOIN fw USING (repo_id) JOIN rp USING (repo_id) GROUP BY ALL), w AS (SELECT *, k / n AS p, 1.959964 AS z FROM d) "
+    Query("h12_framework_comparison", lambda c: r6(H.framework_comparison(motif_nodes(c), c.nodes.select("repo_id", "framework").distinct(), repos(c)).drop("avg_error_rate", "avg_latency_p50_ms")), W(
+        "WITH " + _BEH + _MO + "fw AS (SELECT DISTINCT repo_id, framework FROM nodes), "
+        "d AS (SELECT motif, framework, count(*) AS n, count(*) FILTER (failed) AS k FROM mr JOIN fw USING (repo_id) JOIN rp USING (repo_id) GROUP BY ALL), w AS (SELECT *, k / n AS p, 1.959964 AS z FROM d) "
         "SELECT motif, framework, n AS sample_size, k AS repos_with_failure, round(p, 6) AS failure_rate, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n)), 6) AS ci_low, "
-        "round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n)), 6) AS ci_high FROM w WHERE motif IN (SELECT motif FROM d GROUP BY motif HAVING count(*) >= 2)", "evl", "nodes", "edges")),
+        "round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n)), 6) AS ci_high FROM w WHERE motif IN (SELECT motif FROM d GROUP BY motif HAVING count(*) >= 2)", "evl", "nodes", "edges", recursive=True)),
     Query("h15_h16_manifestations", lambda c: r6(probs(c).drop("ci_low", "ci_high")), W(
         "WITH " + _MAN.rstrip(", ") + " SELECT precondition, sample_size, manifested, round(probability, 6) AS probability, round(CASE WHEN hn > 0 THEN coalesce(ae, 0) END, 6) AS avg_errors, severity_label, round(control, 6) AS control_failure_rate, round(probability / greatest(control, 0.01), 6) AS relative_risk FROM mn", "evl", "nodes", "pre")),
     Query("h17_repo_failures", lambda c: repos(c).select("repo_id", "failed", "had_runtime_failures", "total_errors", "cascade_failures"), W("WITH " + _BEH.rstrip(", ") + " SELECT repo_id, failed, hrf AS had_runtime_failures, te AS total_errors, cf AS cascade_failures FROM rp", "evl", "nodes")),
@@ -128,7 +157,8 @@ QUERIES = [
     Query("h24_fragility_map", lambda c: r6(H.fragility_map(fragile(c)).drop("sensitivity_score", "max_sensitivity_score")), W(
         "WITH " + _BEH + _ROLE + "f AS (SELECT be.*, role, tr > 0.1 OR rt > 0 AS qd FROM be JOIN rl USING (repo_id, node_id) WHERE tf > 0 OR tr > 0.1 OR rt > 0 OR ac > 0) SELECT role AS structural_position, round(avg(tr), 6) AS avg_tool_call_failure_rate, round(max(tr), 6) AS max_tool_call_failure_rate, count(DISTINCT repo_id) AS affected_repos_count, "
         "count(*) AS total_nodes_analyzed, round(avg(CAST(qd AS INT)), 6) AS quality_dependent_rate, round(avg(rt), 6) AS avg_retry_activations FROM f GROUP BY 1", "evl", "nodes", "edges")),
-    Query("h24_top_fragile", lambda c: r6(H.top_fragile(fragile(c)))),
+    Query("h24_top_fragile", lambda c: r6(H.top_fragile(fragile(c))), W(
+        "WITH " + _BEH + _FRAG + "t AS (SELECT role, repo_id, node_id, sens, CAST(row_number() OVER (PARTITION BY role ORDER BY round(sens, 4) DESC, repo_id, node_id) AS INTEGER) AS rank FROM fn) SELECT role, rank, repo_id, node_id, round(sens, 6) AS sensitivity_score FROM t WHERE rank <= 5", "evl", "nodes", "edges")),
     Query("h25_interactions", lambda c: r6(H.interactions(c.preconditions, repos(c))), W(
         "WITH " + _BEH + "ids AS (SELECT DISTINCT precondition FROM pre), pf AS (SELECT repo_id, precondition, failed FROM pre JOIN rp USING (repo_id)), "
         "g AS (SELECT a.precondition AS a, b.precondition AS b, rp.failed, EXISTS (SELECT 1 FROM pre p WHERE p.repo_id = rp.repo_id AND p.precondition = a.precondition) AS ha, EXISTS (SELECT 1 FROM pre p WHERE p.repo_id = rp.repo_id AND p.precondition = b.precondition) AS hb FROM ids a JOIN ids b ON a.precondition < b.precondition, rp), "
@@ -140,7 +170,9 @@ QUERIES = [
     Query("i5_edge_type_shares", lambda c: r6(I.distribution(c.edges, "edge_type")), W("WITH n AS (SELECT repo_id, edge_type, count(*) AS n FROM edges GROUP BY ALL) SELECT repo_id, edge_type, n, round(n / sum(n) OVER (PARTITION BY repo_id), 6) AS share FROM n", "edges")),
     Query("i6_shared_writers", lambda c: I.shared_writers(c.nodes, c.edges), W("SELECT repo_id, count(DISTINCT source) AS shared_state_writer_count FROM edges WHERE edge_type = 'writes_to' AND target = 'ds_vector_store' GROUP BY 1 HAVING count(DISTINCT source) >= 2", "edges")),
     Query("i8_irreversible", lambda c: I.irreversible(c.nodes, c.edges), W(f"SELECT repo_id, count(DISTINCT source) AS irreversible_capability_count FROM edges WHERE edge_type IN {_IR} AND source LIKE 'cap_%' GROUP BY 1", "edges")),
-    Query("i11_delegation_levels", lambda c: I.delegation_depths(c.edges)),
+    Query("i11_delegation_levels", lambda c: I.delegation_depths(c.edges), W(
+        "WITH d AS (SELECT DISTINCT repo_id, source, target FROM edges WHERE edge_type = 'delegates_to'), r0 AS (SELECT DISTINCT repo_id, source FROM d WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.repo_id = d.repo_id AND x.target = d.source)), r AS (SELECT * FROM r0 UNION SELECT repo_id, source FROM d WHERE repo_id NOT IN (SELECT repo_id FROM r0)), "
+        "w AS (SELECT repo_id, source AS root, source AS node, 0 AS depth FROM r UNION SELECT w.repo_id, root, d.target, depth + 1 FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.node WHERE depth < 9), b AS (SELECT repo_id, root, node, min(depth) AS depth FROM w GROUP BY ALL) SELECT repo_id, root, max(depth) + 1 AS depth FROM b GROUP BY ALL", "edges", recursive=True)),
     Query("i12_degrees", lambda c: G.degrees(c.nodes, c.edges), W("SELECT repo_id, node_id, (SELECT count(*) FROM edges e WHERE e.repo_id = n.repo_id AND e.source = n.node_id) AS out_degree, (SELECT count(*) FROM edges e WHERE e.repo_id = n.repo_id AND e.target = n.node_id) AS in_degree FROM nodes n", "nodes", "edges")),
     Query("i14_betweenness", lambda c: r6(G.betweenness(c.nodes, c.edges)), W(
         "WITH " + REACH + "sp AS (SELECT DISTINCT repo_id, source AS origin, source AS node, 0 AS depth FROM edges UNION ALL SELECT * FROM far), "
@@ -159,21 +191,28 @@ QUERIES = [
     Query("i17_i23_nearest_vectors", lambda c: _nearest(c), (
         "WITH q AS (SELECT label AS query_id, pos, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL), b AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), "
         "s AS (SELECT query_id, vec_id AS id, sum(q.v * b.v) / (sqrt(sum(q.v * q.v)) * sqrt(sum(b.v * b.v))) AS sim FROM q JOIN b USING (pos) GROUP BY ALL) SELECT query_id, id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 10")),
-    Query("i21_archetypes", lambda c: r6(I.archetype_prevalence(classified(c)))),
+    Query("i21_archetypes", lambda c: r6(I.archetype_prevalence(classified(c))), W(
+        "WITH " + _ARC + "n AS (SELECT archetype, count(*) AS repos FROM ar GROUP BY 1) SELECT archetype, repos, round(repos / sum(repos) OVER (), 6) AS prevalence FROM n", "nodes", "edges", recursive=True)),
     Query("i22_i24_matches", lambda c: r6(P.best_matches(P.exact_matches(I.repo_motifs(motif_nodes(c), c.nodes), patterns(c)), P.archetype_matches(classified(c), I.archetype_prevalence(classified(c)), patterns(c))))),
     Query("i26_i28_match_context", lambda c: r6(P.match_context(P.exact_matches(I.repo_motifs(motif_nodes(c), c.nodes), patterns(c)), H.fragility_map(fragile(c)), c.preconditions, probs(c)))),
-    Query("i29_overall_risk", lambda c: r6(P.overall_risk(risks(c)))),
+    Query("i29_overall_risk", lambda c: r6(P.overall_risk(risks(c))), W(
+        "WITH " + _RISK.rstrip(", ") + " SELECT repo_id, round(score, 6) AS overall_risk_score, n AS predicted_risks, risk_level FROM ov", "evl", "nodes", "pre", "edges")),
     Query("i29_structural_only", lambda c: P.structural_only(c.preconditions, probs(c)), W("WITH " + _MAN.rstrip(", ") + " SELECT DISTINCT repo_id, precondition FROM pre JOIN mn USING (precondition) WHERE sample_size = 0", "evl", "nodes", "pre")),
     Query("i33_semantic_risk", lambda c: r6(P.semantic_risk(L.lineage_summary(handoffs(c), resolved(c))))),
     Query("i35_positive_signals", lambda c: P.positive_signals(c.nodes, c.edges, fps(c)).drop("shallow_delegation"), W(
         "SELECT repo_id, true AS guardrails, false AS human_checkpoint, coalesce((SELECT bool_or(edge_type = 'feeds_into') FROM edges e WHERE e.repo_id = r.repo_id), false) AS observability, coalesce((SELECT count(DISTINCT source) < 2 FROM edges e WHERE e.repo_id = r.repo_id AND edge_type = 'writes_to'), true) AS no_shared_state, true AS single_framework, "
         "EXISTS (SELECT 1 FROM edges e JOIN nodes n ON n.repo_id = e.repo_id AND n.node_id = e.source WHERE e.repo_id = r.repo_id AND e.target = 'ext_web_api' AND n.strategy IS NOT NULL) AS externals_guarded, (SELECT count(*) FROM edges e WHERE e.repo_id = r.repo_id) <= 18 AS low_complexity FROM (SELECT DISTINCT repo_id FROM nodes) r", "nodes", "edges")),
     Query("i37_behavior_texts", lambda c: risks(c).select("repo_id", "precondition", P.behavior_text().alias("text"))),
-    Query("i39_similar_outcomes", lambda c: r6(P.similar_outcomes(motif_nodes(c), patterns(c)))),
+    Query("i39_similar_outcomes", lambda c: r6(P.similar_outcomes(motif_nodes(c), patterns(c))), W(
+        "WITH " + _BEH + _MO + "rel AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}')" for p, ms in P.PRECONDITION_MOTIFS.items() for m in ms) + ") AS z(precondition, motif)), fr AS (SELECT motif, avg(CAST(failed AS INT)) AS failure_rate FROM mr JOIN rp USING (repo_id) GROUP BY 1), "
+        "x AS (SELECT *, row_number() OVER (PARTITION BY motif ORDER BY repo_id) AS r FROM mr QUALIFY r <= 5) SELECT precondition, motif, repo_id, round(failure_rate, 6) AS failure_rate FROM rel JOIN x USING (motif) JOIN fr USING (motif) QUALIFY row_number() OVER (PARTITION BY precondition ORDER BY motif, r) <= 10", "evl", "nodes", "edges", recursive=True)),
     Query("i42_dataset_coverage", lambda c: P.dataset_coverage(c.preconditions, probs(c)), W("WITH " + _MAN.rstrip(", ") + " SELECT repo_id, count(*) AS preconditions_queried, count(*) FILTER (sample_size > 0) AS preconditions_with_data, CAST(sum(sample_size) AS BIGINT) AS total_sample_size FROM pre JOIN mn USING (precondition) GROUP BY 1", "evl", "nodes", "pre")),
-    Query("i43_top_risks", lambda c: r6(P.top_risks(risks(c)))),
-    Query("i46_i47_risk_distribution", lambda c: r6(P.risk_distribution(scored(c)))),
-    Query("i47_score_quantiles", lambda c: r6(P.score_quantiles(scored(c)))),
+    Query("i43_top_risks", lambda c: r6(P.top_risks(risks(c))), W(
+        "WITH " + _RISK + "t AS (SELECT repo_id, precondition, round(pw, 9) AS w, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY round(pw, 9) DESC, precondition) AS INTEGER) AS rank FROM rk) SELECT repo_id, rank, precondition, round(w, 6) AS weight FROM t WHERE rank <= 3", "evl", "nodes", "pre", "edges")),
+    Query("i46_i47_risk_distribution", lambda c: r6(P.risk_distribution(scored(c))), W(
+        "WITH " + _RISK + _ARC + "z AS (SELECT risk_level, archetype, count(*) AS repos, round(avg(score), 6) AS mean_score FROM ov JOIN ar USING (repo_id) GROUP BY ALL) SELECT * FROM z", "evl", "nodes", "pre", "edges", recursive=True)),
+    Query("i47_score_quantiles", lambda c: r6(P.score_quantiles(scored(c))), W(
+        "WITH " + _RISK + "l AS (SELECT list_sort(list(score)) AS v, count(*) AS repos, avg(score) AS mean FROM ov) SELECT repos, round(mean, 6) AS mean, round(v[least(CAST(floor(repos * 0.5) AS BIGINT) + 1, repos)], 6) AS p50, round(v[least(CAST(floor(repos * 0.9) AS BIGINT) + 1, repos)], 6) AS p90 FROM l", "evl", "nodes", "pre", "edges")),
 ]
 
 

@@ -148,8 +148,11 @@ def modes(c):
 QUERIES = [
     Query("n6_n11_scores", lambda c: r6(N.scored(repos(c), 400).select("repo_id", "structural_value", "archetype_rarity", "runnability_score", "selection_score", "complexity")), "WITH " + _SC.rstrip(", ") + " SELECT repo_id, structural_value, CAST(30 AS DOUBLE) AS archetype_rarity, runnability_score, selection_score, complexity FROM s2"),
     Query("n12_selection", lambda c: _selected(c).select("repo_id", "selection_group"), "WITH " + _SEL.rstrip(", ") + " SELECT repo_id, 'control' AS selection_group FROM ct UNION ALL SELECT repo_id, 'treatment' FROM mu UNION ALL SELECT repo_id, 'treatment' FROM fi"),
-    Query("n13_rescored_selection", lambda c: r6(N.scored(repos(c), 400, N.archetype_counts(_selected(c))).join(_selected(c).select("repo_id"), "repo_id", "left_semi").select("repo_id", "archetype_rarity", "selection_score"))),
-    Query("n14_selection_summary", lambda c: r6(N.selection_summary(_selected(c)))),
+    Query("n13_rescored_selection", lambda c: r6(N.scored(repos(c), 400, N.archetype_counts(_selected(c))).join(_selected(c).select("repo_id"), "repo_id", "left_semi").select("repo_id", "archetype_rarity", "selection_score")), (
+        "WITH " + _SEL + "g AS (SELECT repo_id FROM ct UNION ALL SELECT repo_id FROM mu UNION ALL SELECT repo_id FROM fi), k AS (SELECT archetype_id, count(*) AS k FROM g JOIN s2 USING (repo_id) GROUP BY 1), "
+        f"z AS (SELECT repo_id, greatest(0, 30 * (1 - k / (400 / {N.ARCHETYPES}))) AS rar, structural_value + runnability_score AS rest FROM g JOIN s2 USING (repo_id) JOIN k USING (archetype_id)) SELECT repo_id, round(rar, 6) AS archetype_rarity, round(rest + rar, 6) AS selection_score FROM z")),
+    Query("n14_selection_summary", lambda c: r6(N.selection_summary(_selected(c))), (
+        "WITH " + _SEL + "g AS (SELECT repo_id, 'control' AS selection_group FROM ct UNION ALL SELECT repo_id, 'treatment' FROM mu UNION ALL SELECT repo_id, 'treatment' FROM fi) SELECT selection_group, framework, count(*) AS repos, round(avg(selection_score), 6) AS mean_score FROM g JOIN s2 USING (repo_id) GROUP BY ALL")),
     Query("n15_discovery_values", lambda c: r6(repos(c).withColumn("_seen", F.lit(False)).select("repo_id", N.discovery_value({}).alias("value"))), (
         "WITH " + _RP.rstrip(", ") + " SELECT repo_id, round((15 + 10 + CASE WHEN agent_count BETWEEN 1 AND 999 THEN 8 ELSE 0 END + 6 * (CAST(list_contains(finding_ids, 'STRAT-DC-001') AS INT) + CAST(list_contains(finding_ids, 'STRAT-SI-001') AS INT) + CAST(list_contains(finding_ids, 'STRAT-OC-002') AS INT)) + 12 * CAST(list_contains(finding_ids, 'STRAT-XCOMP-001') AS INT) + 24) "
         "* (0.5::DOUBLE + 0.5::DOUBLE * estimated_runnability) + CASE WHEN is_xcomp THEN 8 ELSE 0 END, 6) AS value FROM rp")),
