@@ -25,6 +25,7 @@ PART_ROWS = 5000
 REPLICAS = 4
 BOUNDARY = 1.03
 RATIO = 1.25
+BANDS = 32  # groups of lists that meet the queries together
 BEAM = 96  # at least; half of the lists if there are more
 
 
@@ -137,7 +138,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     posts = land(rows.select("vec_id", "vec", "norm").mapInArrow(assign, "list long, vec_id long, vec array<double>"), "postings")
     parts = land(posts.groupBy("list").count().select("list", F.ceil(F.col("count") / PART_ROWS).cast("long").alias("parts")), "list_parts")
-    posts = posts.join(parts, "list").select("list", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"))
+    band = F.pmod(F.col("list"), F.lit(BANDS))
+    posts = posts.join(parts, "list").select(band.alias("band"), "list", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"))
 
     def route(all_lists: bool):
         def run(batches):
@@ -162,17 +164,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not asks.num_rows or not held.num_rows:
             return empty
-        ids = held.column("vec_id").to_numpy()
+        ids, lists = held.column("vec_id").to_numpy(), held.column("list").to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], _matrix(held.column("vec").combine_chunks(), width)[order]
+        ids, lists, v = ids[order], lists[order], _matrix(held.column("vec").combine_chunks(), width)[order]
         out = [[], [], []]
         for at in range(0, asks.num_rows, 512):
             p = asks.slice(at, 512)
             scores = np.einsum("qd,vd->qv", _matrix(p.column("query").combine_chunks(), width), v)
-            for q, s in zip(p.column("query_id").to_pylist(), scores):
-                s = np.where(ids == q, -np.inf, s)
-                best = np.argsort(-s, kind="stable")[:k]
+            for q, wanted, s in zip(p.column("query_id").to_pylist(), p.column("lists").to_pylist(), scores):
+                s = np.where((ids == q) | ~np.isin(lists, wanted), -np.inf, s)
+                best = np.argsort(-s, kind="stable")[: k * REPLICAS]  # a vector is at most in so many lists
                 best = best[s[best] > -np.inf]
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]
                 out[0].extend([q] * len(best))
                 out[1].extend(ids[best].tolist())
                 out[2].extend(s[best].tolist())
@@ -180,8 +183,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def ask(some: DataFrame, all_lists: bool) -> DataFrame:
         routed = some.mapInArrow(route(all_lists), "list long, query_id long, query array<double>").join(parts, "list")
-        routed = routed.select("list", "query_id", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        found = routed.groupBy("list", "part").cogroup(posts.groupBy("list", "part")).applyInArrow(meet, schema)
+        routed = routed.select(band.alias("band"), "list", "query_id", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        # A query meets all its lists of a band at once, so each band gives k rows a query however many lists there are.
+        routed = routed.groupBy("band", "part", "query_id").agg(F.collect_list("list").alias("lists"), F.first("query").alias("query"))
+        found = routed.groupBy("band", "part").cogroup(posts.groupBy("band", "part")).applyInArrow(meet, schema)
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return land(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "neighbours")
