@@ -1,21 +1,20 @@
-"""Benchmark decontamination: seeds that are rare for their item, then Smith-Waterman alignment.
+"""Benchmark decontamination: shared word sequences, then Smith-Waterman alignment.
 
-All n-word sequences of the test items are looked up in every document in one pass; documents with a hit
-are kept aside and each seed's document frequency is counted. A seed is rare if it is no more frequent
-than the median seed of its item: a passage that leaked into a third of all documents makes all its seeds
-equally frequent, so it keeps them. A document and an item are aligned where at least two seeds, one of
-them rare, fall near one diagonal. The alignment is local, over words, with gaps, so edited, cut and
-paraphrased copies score by what they share.
+All n-word sequences of the test items (seeds) are looked up in every document in one pass; documents with
+a hit are kept aside. A document and an item are aligned around every seed they share, however frequent it
+is, so an alignment with `least` of a full match that runs through a seed is always found. A region is left
+out only if it has too few of the item's words to score that much. The alignment is local, over words, with
+gaps, so edited, cut and paraphrased copies score by what they share.
 
 Test items are processed in blocks of bounded size; only one block's items are in memory at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,20 +127,29 @@ def _hits(rows: DataFrame, text_col: str, seeds: np.ndarray, n: int) -> DataFram
     return rows.mapInArrow(run, "row_key long, words string, at array<long>, seeds array<long>")
 
 
-def _regions(diagonals: list[tuple[int, bool]], length: int) -> list[tuple[int, int]]:
-    """Diagonal ranges with at least two seeds, one of them rare (one is enough for an item of few seeds)."""
+def _regions(diagonals: list[int], length: int, least: float) -> list[tuple[int, int]]:
+    """Text ranges around the seeds; each holds all alignments through its seeds that have `least` of a full match.
+
+    Such an alignment has at most MATCH * length * (1 - least) / GAP gaps, which shift it by as many words.
+    """
     out, slack = [], length // 4 + 2
+    reach = max(slack, math.ceil(MATCH * length * (1 - least) / GAP))
     diagonals = sorted(diagonals)
     start = 0
     for i in range(1, len(diagonals) + 1):
-        if i == len(diagonals) or diagonals[i][0] - diagonals[i - 1][0] > slack:
-            part = diagonals[start:i]
-            if any(r for _, r in part) and len(part) >= min(2, max(1, length // 8)):
-                out.append((part[0][0] - slack, part[-1][0] + length + slack))
+        if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > slack:
+            out.append((diagonals[start] - reach, diagonals[i - 1] + length + reach))
             start = i
     return out
 
 
+def _shared(item: np.ndarray, text: np.ndarray) -> int:
+    """How many words of the item a text can match at most: repeated words count as often as both have them."""
+    (a, n), (b, m) = np.unique(item, return_counts=True), np.unique(text, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def _aligned(hits: DataFrame, items: dict, places: dict, least: float) -> DataFrame:
     def run(batches):
         seen = WordHash()
@@ -150,17 +158,17 @@ def _aligned(hits: DataFrame, items: dict, places: dict, least: float) -> DataFr
             for key, text, at, found in zip(*(b.column(i).to_pylist() for i in range(4))):
                 near = defaultdict(list)
                 for pos, seed in zip(at, found):
-                    for item, place, rare in places.get(seed, ()):
-                        near[item].append((pos - place, rare))
-                near = {i: d for i, d in near.items() if len(d) > 1 or len(items[i]) < 16}
+                    for item, place in places.get(seed, ()):
+                        near[item].append(pos - place)
                 if not near:
                     continue
                 ids = word_ids(text.encode("utf-8", "surrogatepass").split(), seen)
                 for item, diagonals in near.items():
-                    for a, e in _regions(diagonals, len(items[item])):
+                    for a, e in _regions(diagonals, len(items[item]), least):
                         a = max(a, 0)
-                        pairs.append((items[item], ids[a:e]))
-                        about.append((key, item, a))
+                        if _shared(items[item], ids[a:e]) >= least * len(items[item]):
+                            pairs.append((items[item], ids[a:e]))
+                            about.append((key, item, a))
             best = {}
             for (key, item, a), (score, first, last) in zip(about, _align(pairs)):
                 if score >= least and score > best.get((key, item), (0.0,))[0]:
@@ -176,7 +184,7 @@ def find_leaks(rows: DataFrame, benchmark: DataFrame, row_key: str, text_col: st
     """(row_key, item_id, score, first_word, end_word): documents that hold a test item or an edited copy of it.
 
     `score` is the local alignment's share of a full match of the item, at least `least`; word positions count
-    words without punctuation. One row per document and item (of equal items, each is reported). `row_key`
+    words without punctuation. Copies that share no n words in a row with the item are not found. One row per document and item (of equal items, each is reported). `row_key`
     names a unique long. Null and empty texts match nothing, and neither do items of fewer than n words, which
     are too short to tell a leak from chance. Other columns are ignored; an empty side gives an empty result.
     """
@@ -197,13 +205,10 @@ def find_leaks(rows: DataFrame, benchmark: DataFrame, row_key: str, text_col: st
         seeds = {k: grams(v, n).view(np.int64) for k, v in items.items()}
         every = np.unique(np.concatenate(list(seeds.values())).view(np.uint64))
         hits = land(_hits(docs, "text", every, n), "benchmark_hits")
-        counts = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").count().toPandas()  # at most one row per seed of the block
-        frequency = pd.Series(counts["count"].to_numpy(), counts["seed"].to_numpy())
         places = defaultdict(list)
         for item, s in seeds.items():
-            often = frequency.reindex(s).fillna(0).to_numpy()
-            for place, (seed, rare) in enumerate(zip(s.tolist(), often <= np.median(often))):
-                places[seed].append((item, place, bool(rare)))
+            for place, seed in enumerate(s.tolist()):
+                places[seed].append((item, place))
         out = out.unionByName(_aligned(hits, items, dict(places), least))
     return out.join(tests.select("item_no", "item_id"), "item_no").select("row_key", "item_id", "score", "first_word", "end_word")
 

@@ -70,6 +70,29 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.leaks(none, tests).count() == decontaminate.leaks(odd, tests.limit(0)).count() == 0
 
 
+def test_edited_copies(spark, none):
+    """Every edited copy that shares a seed is found with the score of brute force, whether its seeds are rare or not."""
+    rng = np.random.default_rng(3)
+    items = {i: [f"i{i}w{j}" for j in range(int(rng.integers(15, 60)))] for i in range(1, 41)}
+    rows, want = [], {}
+    for doc, share, times in [(1000, 0.10, 1), (2000, 0.15, 1), (3000, 0.20, 3), (4000, 0.25, 1)]:
+        for i, words in items.items():
+            copy = [f"e{doc}{i}x{j}" if rng.random() < share else w for j, w in enumerate(words)]
+            copy = copy[: len(copy) // 2] + ["inserted"] * int(rng.integers(0, 9)) + copy[len(copy) // 2 :]
+            for t in range(times):
+                key = doc + 100 * t + i
+                text = ["before"] * 30 + copy + [f"after{key}"] * 30
+                rows.append((key, " ".join(text), "a"))
+                numbers = {w: n for n, w in enumerate(dict.fromkeys(words))}
+                best, _ = decontaminate.smith_waterman(np.arange(len(words))[None], np.array([[numbers.get(w, -2) for w in text]]))
+                seeds = {tuple(words[j : j + 4]) for j in range(len(words) - 3)}
+                if best[0] >= len(words) and any(tuple(text[j : j + 4]) in seeds for j in range(len(text) - 3)):
+                    want[key, i] = best[0] / (2 * len(words))
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs(spark, rows), tests).collect()}
+    assert len(want) > 150 and got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=9), st.lists(st.integers(0, 4), min_size=1, max_size=12))
 def test_smith_waterman(a, b):
