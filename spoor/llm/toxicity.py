@@ -5,6 +5,9 @@ words' weights), a document 1 - prod(1 - p) (noisy-or), and the weights are fitt
 through that formula, so they fall on the sentences that explain the label. A word's weight is the sum of
 those of the word and its first 4, 5 and 6 letters, which covers inflected and compound forms; a penalty
 on absolute weights keeps few of them. The fit uses a bounded sample of labelled rows; scoring is a map.
+
+The bias alone gives every sentence a small p, which would add up in long texts. A score counts only what a
+sentence has beyond it, 1 - (1 - p) / (1 - sigmoid(b)), and a repeated sentence once.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 6000
 BITS = 18
+ONE_LABEL = 12.0  # bias of a model that knows one label only
 # Sentence ends become line ends; other ASCII characters but letters and digits become spaces.
 TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x0A if chr(c) in ".!?\n" else 0x20 for c in range(256))
 
@@ -62,7 +66,7 @@ def fit(docs: Iterable[list[list[bytes]]], labels: np.ndarray, rounds: int = 150
     y, sizes = labels[sizes > 0], sizes[sizes > 0]
     weights = np.zeros((1 << BITS) + 1)
     if not len(y) or y.min() == y.max():
-        return weights, -12.0 if not len(y) or y.max() == 0 else 12.0
+        return weights, -ONE_LABEL if not len(y) or y.max() == 0 else ONE_LABEL
     sentence_size = np.frombuffer(sentence_size, np.int32)
     s_start, d_start = np.cumsum(sentence_size, dtype=np.int64) - sentence_size, np.cumsum(sizes, dtype=np.int64) - sizes
     balance = np.where(y == 1, (1 - clean) / max(1, (y == 1).sum()), clean / max(1, (y == 0).sum()))
@@ -83,6 +87,20 @@ def fit(docs: Iterable[list[list[bytes]]], labels: np.ndarray, rounds: int = 150
     return weights, float(bias)
 
 
+def evidence(sums: np.ndarray, bias: float) -> np.ndarray:
+    """Log of the share of 1 - p that a sentence's words take away; 0 for words that weigh nothing or less."""
+    clean = lambda x: np.log1p(-np.clip(_sigmoid(x), 0.0, 1 - 1e-12))
+    return np.minimum(clean(bias + sums) - clean(bias), 0.0)
+
+
+def document_score(counted: list[list[bytes]], sums: np.ndarray, bias: float) -> float:
+    """Noisy-or of the different sentences. A model of one label has no weights: its bias is the answer."""
+    if abs(bias) == ONE_LABEL:
+        return float(bias > 0 and len(counted) > 0)
+    first = list({frozenset(s): i for i, s in enumerate(counted)}.values())
+    return float(-np.expm1(evidence(sums[first], bias).sum())) if first else 0.0
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Model from at most about `sample_rows` labelled rows, drawn by a hash of the id, half of either label where there are enough.
 
@@ -123,9 +141,10 @@ def score(rows: DataFrame, text_col: str, model: tuple[np.ndarray, float], out:
         for b in batches:
             scores, found = [], []
             for text in b.column(at).to_pylist():
-                sums = np.array([sum([known[w] for w in s]) for s in sentences(text)])
+                parts = sentences(text)
+                sums = np.array([sum([known[w] for w in s]) for s in parts])
                 p = np.clip(_sigmoid(bias + sums), 0.0, 1 - 1e-12)
-                scores.append(float(-np.expm1(np.log1p(-p).sum())))
+                scores.append(document_score(parts, sums, bias))
                 found.append([{"sentence": int(i), "score": float(p[i])} for i in np.flatnonzero(p >= 0.5)])
             arrays, names = [*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out]
             if spans:

@@ -197,6 +197,17 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, "text", toxicity.train(none, labels)).count() == 0
 
 
+def test_long_clean_text(spark):
+    """Length alone makes no text toxic, and one telling line among many still does."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 200)], "doc_id long, toxic int")
+    texts = docs(spark, [(i, "Fine words here. " + ("You zorgle! " if i % 2 else "You there. ") + "More words follow.", "a") for i in range(100, 200)])
+    model = toxicity.train(texts, labels)
+    lines = [f"{i}" for i in range(50_000)]
+    long = docs(spark, [(1, "\n".join(lines), "a"), (2, "\n".join(["fine words"] * 50_000), "a"), (3, "\n".join([*lines, "you zorgle"]), "a")])
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(long, "text", model).collect()}
+    assert scores[1] < 0.05 and scores[2] < 0.05 and scores[3] >= 0.5
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "<p>x</p>", 1), (2, "http://b\r\nX: y", "<p>x</p>", 1), (3, None, None, 1), (4, "http://d", "", 1), (None, "http://e", "é\r\n\r\nWARC/1.1\r\n", 1), (5, "u", "dup", 1), (5, "u", "dup", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
