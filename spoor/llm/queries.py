@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import decontaminate, mixing, neighbours, secrets, sharding, simhash, substring_dedup, token_store, toxicity, warc
+from spoor.llm import content_sort, decontaminate, mixing, neighbours, runs, secrets, sharding, simhash, substring_dedup, token_store, toxicity, warc, whitening
 from spoor.llm.common import word_count
 from spoor.session import land, ship
 
@@ -88,7 +88,19 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_decontamination, op4_sharding, op5_token_planes, op6_mixing, op7_simhash, op8_nearest_vectors, op9_toxicity, op10_warc_revisits)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_decontamination, op4_sharding, op5_token_planes, op6_mixing, op7_simhash, op8_nearest_vectors, op9_toxicity, op10_warc_revisits, op11_periodic_runs, op12_exact_dedup, op13_whitening)}
 
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 SQL = {
@@ -110,4 +122,8 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> best THEN best END AS refers_to
 FROM h""",
+    "op12_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
+g AS (SELECT doc_id, x, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM g""",
 }

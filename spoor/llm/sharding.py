@@ -58,7 +58,7 @@ def shard(rows: DataFrame, size: str, key: str, tie: str, shards: int = 24, rang
     def range_of(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, keys.to_numpy(np.int64), side="right").astype(np.int32))
 
-    part, piece = fresh(rows, "range_no"), fresh(rows, "piece_no")
+    part, piece, first, count, home, slot0, slot1 = (fresh(rows, c) for c in ("range_no", "piece_no", "first_piece", "piece_count", "shard_no", "first_slot", "slot_no"))
     dealt = rows.withColumn(part, range_of(F.col(key)))
     limit = max(1, 2 * total // ranges)
     base = 0
@@ -67,12 +67,12 @@ def shard(rows: DataFrame, size: str, key: str, tie: str, shards: int = 24, rang
         n = max(1, -(-r["b"] // limit))
         plan.append((r[part], base, n))
         base += n
-    wide = spark.createDataFrame(plan or [(0, 0, 1)], f"`{part}` int, first_piece int, piece_count int")
-    dealt = dealt.join(F.broadcast(wide), part).withColumn(piece, F.col("first_piece") + F.pmod(F.xxhash64(tie, F.lit("piece")), F.col("piece_count")).cast("int")).drop(part, "first_piece", "piece_count")
+    wide = spark.createDataFrame(plan or [(0, 0, 1)], f"`{part}` int, `{first}` int, `{count}` int")
+    dealt = dealt.join(F.broadcast(wide), part).withColumn(piece, F.col(first) + F.pmod(F.xxhash64(tie, F.lit("piece")), F.col(count)).cast("int")).drop(part, first, count)
     measured = dealt.groupBy(piece).agg(F.sum(size).alias("b"), F.count("*").alias("n")).collect()  # at most 1.5 times `ranges` rows
     homes = place([(r[piece], r["b"], r["n"]) for r in measured], shards)
-    homes_df = spark.createDataFrame(homes or [(0, 0, 0)], f"`{piece}` int, shard_no int, first_slot long")
+    homes_df = spark.createDataFrame(homes or [(0, 0, 0)], f"`{piece}` int, `{home}` int, `{slot0}` long")
     order = Window.partitionBy(piece).orderBy(key, tie)
-    out = dealt.withColumn("slot_no", F.row_number().over(order) - 1).join(F.broadcast(homes_df), piece)
+    out = dealt.withColumn(slot1, F.row_number().over(order) - 1).join(F.broadcast(homes_df), piece)
     keep = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
-    return out.select(*keep, F.col("shard_no").alias("shard"), (F.col("first_slot") + F.col("slot_no")).cast("long").alias("slot"))
+    return out.select(*keep, F.col(home).alias("shard"), (F.col(slot0) + F.col(slot1)).cast("long").alias("slot"))
