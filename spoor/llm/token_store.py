@@ -14,6 +14,7 @@ one at a time without a shuffle. Id positions over all documents come from sums
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -44,7 +45,8 @@ class PieceEncoder:
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), most, {}, {}
 
     @classmethod
     def loaded(cls, path: str) -> PieceEncoder:
@@ -53,21 +55,35 @@ class PieceEncoder:
         return _LOADED[path]
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many to a call, with a line end between them that is one id of its own."""
         line = int(self.whole("\n")[0])
-        self.known["\x01"], self.known["\n"] = np.zeros(0, np.uint32), np.array([line], np.uint32)
+        self.known["\x01"], self.known["\n"] = b"", np.array([line], np.uint32).tobytes()
         bare = [p[1:] if p[0] == "\x01" else f" {p}" for p in pieces]
         for at in range(0, len(pieces), 4096):
             keys, part = pieces[at : at + 4096], bare[at : at + 4096]
             ids = self.whole("\n" + "\n".join(part))
             starts = np.flatnonzero(ids == line)
             if len(starts) == len(part):
-                self.known.update((k, ids[a + 1 : e]) for k, a, e in zip(keys, starts.tolist(), [*starts[1:].tolist(), len(ids)]))
+                raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+                self.known.update((k, raw[a:e]) for k, a, e in zip(keys, (4 * starts + 4).tolist(), ends))
             else:
-                self.known.update((k, self.whole(p)) for k, p in zip(keys, part))
+                self.known.update((k, self.whole(p).tobytes()) for k, p in zip(keys, part))
+
+    def _recall(self, words: list[str]) -> list[bytes]:
+        """Ids of every word as bytes. When memory is full, words not met since the time before are forgotten."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.most:
+            self.older, self.known = known, {}
+            known, new = self.known, words
+        if self.older:
+            known.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in known]
+        self._learn([w for w in new if w not in ("\x01", "\n")])
+        return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """One id array per text; null is the empty text."""
@@ -78,16 +94,10 @@ class PieceEncoder:
         pieces = pc.split_pattern(pc.binary_join_element_wise(mark, plain, empty), " ")
         coded = pc.dictionary_encode(pieces.values)
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = words
-        self._learn([w for w in new if w not in ("\x01", "\n")])
-        known = self.known
-        ids = [known[w] for w in words]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = self._recall(words)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(lengths) - lengths
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         which = coded.indices.to_numpy()
         n = lengths[which]
         ends = np.cumsum(n)
