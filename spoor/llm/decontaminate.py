@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.common import WordHash, fresh
+from spoor.llm.common import WordHash, fresh, thrifty
 from spoor.session import land
 
 MATCH, MISS, GAP = 2, 1, 1
@@ -124,7 +124,7 @@ def _hits(rows: DataFrame, text_col: str, seeds: np.ndarray, n: int) -> DataFram
                         found.append(g[hit].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(at, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["row_key", "words", "at", "seeds"])
 
-    return rows.mapInArrow(run, "row_key long, words string, at array<long>, seeds array<long>")
+    return rows.mapInArrow(thrifty(run), "row_key long, words string, at array<long>, seeds array<long>")
 
 
 def _regions(diagonals: list[int], length: int, least: float) -> list[tuple[int, int]]:
@@ -177,7 +177,7 @@ def _aligned(hits: DataFrame, items: dict, places: dict, least: float) -> DataFr
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["row_key", "item_no", "score", "first_word", "end_word"])
 
-    return hits.mapInArrow(run, "row_key long, item_no long, score double, first_word long, end_word long")
+    return hits.mapInArrow(thrifty(run), "row_key long, item_no long, score double, first_word long, end_word long")
 
 
 def find_leaks(rows: DataFrame, benchmark: DataFrame, row_key: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, least: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoor.llm.common import thrifty
 from spoor.llm.components import connected_components
 from spoor.session import land
 
@@ -53,7 +54,7 @@ def add_fingerprints(rows: DataFrame, text_col: str, out: str, k: int = 4) -> Da
             fps = np.array([fingerprint(t, k) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, out])
 
-    return rows.mapInArrow(run, rows.withColumn(out, F.lit(0).cast("long")).schema)
+    return rows.mapInArrow(thrifty(run), rows.withColumn(out, F.lit(0).cast("long")).schema)
 
 
 def block_masks(n: int, bits: int) -> list[int]:

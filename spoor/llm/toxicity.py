@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoor.llm.common import thrifty
+
 SAMPLE_ROWS = 6000
 BITS = 18
 ONE_LABEL = 12.0  # bias of a model that knows one label only
@@ -152,4 +154,4 @@ def score(rows: DataFrame, text_col: str, model: tuple[np.ndarray, float], out:
                 names.append(spans)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
