@@ -12,41 +12,61 @@ from spoor.session import land, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 stay; the model is fitted on the labelled rows of the given documents."""
+    """Documents that score below 0.5 stay; the model is fitted on the labelled rows of the given documents.
+
+    Null and empty texts score low and stay, repeated rows stay or go together, no rows in give none out.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = fresh(docs, "toxicity")
     return toxicity.score(docs, "text", model, out).filter(F.col(out) < 0.5).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
+    """One document of each SimHash group stays, the one with the smallest id (null ids last, ties: the first read).
+
+    Texts without words share one fingerprint and so one group; no rows in give none out.
+    """
     return simhash.keep_one_per_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
+    """Documents that hold no benchmark item stay, null and empty texts among them; repeated rows stay or go together."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """`docs` with a row number in column `row`, stored so that every later read sees the same numbers."""
+    return land(docs.withColumn(row, F.monotonically_increasing_id()), "numbered_rows")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated as often as the mix takes it (0 to 2 times)."""
+    """Each row is repeated as often as the mix takes it (0 to 2 times); no rows in, none out.
+
+    Rows are decided one by one, so rows that repeat in every column keep their sum. A null source is a source;
+    null and empty texts have size 0, are kept once, and take nothing of a target.
+    """
     row, copies = fresh(docs, "row_key"), fresh(docs, "copies")
-    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
-    rows = land(keyed.select("source", F.col(row).alias("key"), word_count(F.col("text")).alias("size")), "mix_rows")
-    plan = mixing.mix(rows, "size", "source", "key").groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
-    # Rows that repeat in every column share their copies evenly, so the sum is kept.
-    plan = plan.select(F.col("key").alias(row), "total", "rows")
-    same = keyed.join(plan, row)
-    each = F.floor(F.col("total") / F.col("rows")).cast("int")
-    return same.withColumn(copies, F.explode(F.array_repeat(F.lit(1), each))).select(*docs.columns)
+    rows = _numbered(docs, row)
+    narrow = land(rows.select(F.col("source"), F.col(row).alias("key"), word_count(F.col("text")).alias("size")), "mix_rows")
+    plan = mixing.mix(narrow, "size", "source", "key").filter("copies > 0").select(F.col("key").alias(row), F.col("copies").cast("int").alias(copies))
+    taken = rows.join(plan, row)
+    return taken.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard (0 to 23) and slot; shard sizes come near equal."""
+    """Documents with shard (0 to 23) and slot (gapless from 0 in its shard); shard sizes come near equal.
+
+    Narrow rows are dealt and numbered, then meet their texts in one join. Null texts have 8 bytes like empty
+    ones; equal texts lie together unless their range is overfull; repeated rows get slots of their own. Columns
+    named shard or slot are replaced. No rows in, none out.
+    """
+    row = fresh(docs, "row_key")
+    rows = _numbered(docs, row)
     text = F.coalesce("text", F.lit(""))
-    size, key, tie = fresh(docs, "shard_size"), fresh(docs, "shard_key"), fresh(docs, "shard_tie")
-    rows = docs.withColumns({size: (F.octet_length(text) + 8).cast("long"), key: F.xxhash64(text)}).withColumn(tie, F.xxhash64(*docs.columns))
-    return sharding.shard(rows, size, key, tie, 24).drop(size, key, tie)
+    narrow = rows.select(F.col(row).alias("row"), (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text).alias("key"), F.xxhash64(row).alias("tie"))
+    placed = sharding.shard(land(narrow, "shard_rows"), "size", "key", "tie", 24).select(F.col("row").alias(row), "shard", "slot")
+    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return rows.select(row, *keep).join(land(placed, "shard_places"), row).select(*keep, "shard", "slot")
 
 
 STAGES = [
