@@ -21,6 +21,11 @@ FEATURES = [
     "error_propagation_path_count", "irreversible_capability_count", "agent_to_capability_ratio", "has_human_checkpoint",
 ]
 BLOCK_QUERIES = 1000
+# fixed values: the dimensions of the short vector that matching compares
+MATCH_FEATURES = [
+    "agent_count", "capability_count", "data_store_count", "external_count", "edge_count", "delegation_depth", "has_shared_state_without_arbitration", "has_linear_delegation_chain",
+    "has_hub_and_spoke", "has_feedback_loop", "has_trust_boundary_crossing", "guardrail_count", "mcp_server_count",
+]
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -146,6 +151,26 @@ def nearest(queries: DataFrame, base: DataFrame, *, k: int, floor: float | None
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def motif_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, motif, size): motifs a graph shows, with the nodes of its largest instance; loops are found without listing them."""
+    out = G.cyclic_repos(edges, ["delegates_to", "feeds_into"]).select("repo_id", F.lit(M.MOTIFS[3]).alias("motif"), F.lit(None).cast("long").alias("size"))
+    for df in (M.shared_state(nodes, edges), M.linear_chains(edges), M.hubs(edges), M.trust_crossings(nodes, edges)):
+        sized = df.groupBy("repo_id", "motif", "instance").agg(F.count(F.lit(1)).alias("size"))
+        out = out.unionByName(sized.groupBy("repo_id", "motif").agg(F.max("size").alias("size")))
+    return out
+
+
+def match_features(nodes: DataFrame, edges: DataFrame, flags: DataFrame) -> DataFrame:
+    """(repo_id, the MATCH_FEATURES, feature_vector): counts by type, longest delegation chain, motif marks."""
+    kinds = ("agent", "capability", "data_store", "external", "guardrail", "mcp_server")
+    counts = nodes.groupBy("repo_id").agg(*[count_if(F.col("node_type") == k).alias(f"{k}_count") for k in kinds])
+    n_edges = edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("edge_count"))
+    marks = flags.groupBy("repo_id").agg(*[F.max((F.col("motif") == m).cast("int")).alias(f"has_{m}") for m in M.MOTIFS], F.max(F.when(F.col("motif") == M.MOTIFS[1], F.col("size"))).alias("delegation_depth"))
+    out = counts.join(n_edges, "repo_id", "left").join(marks, "repo_id", "left").fillna(0)
+    vals = [F.col(f).cast("double").alias(f) for f in MATCH_FEATURES]
+    return out.select("repo_id", *vals, F.array(*vals).alias("feature_vector"))
+
+
 # ---- archetypes -----------------------------------------------------------------
 def repo_motifs(motif_nodes: DataFrame, repos: DataFrame) -> DataFrame:
     """(repo_id, motifs): sorted distinct motif names, empty for plain graphs."""
@@ -162,6 +187,21 @@ def archetype(motifs: Column, agents: Column) -> Column:
         .when(has("shared_state_without_arbitration"), "shared_state_system").when(has("trust_boundary_crossing"), "trust_boundary_system").when(agents <= 1, "simple_agent").otherwise("generic"))
 
 
+def with_nearest_archetype(classified: DataFrame, vectors: DataFrame, known: DataFrame, known_vectors: DataFrame, *, floor: float = 0.5) -> DataFrame:
+    """`classified` where no rule fits ('generic') takes the archetype of the most similar known graph that has one.
+
+    vectors and known_vectors are (repo_id, vec); the similarity must be above `floor`, ties go to the first repo_id.
+    """
+    from spoor.operators.similarity import top_similar
+
+    base = known.filter("archetype <> 'generic'").select("repo_id").join(known_vectors, "repo_id").select(F.col("repo_id").alias("id"), "vec")
+    lost = classified.filter("archetype = 'generic'").select("repo_id").join(vectors, "repo_id").select(F.col("repo_id").alias("query_id"), F.col("vec").alias("qvec"))
+    near = top_similar(lost, base, k=1, floor=floor).filter(F.col("similarity") > floor)
+    near = near.join(known.select(F.col("repo_id").alias("id"), F.col("archetype").alias("nearest")), "id").select(F.col("query_id").alias("repo_id"), "nearest", "similarity")
+    out = classified.join(near, "repo_id", "left")
+    return out.withColumn("archetype", F.coalesce("nearest", "archetype")).withColumn("by_rule", F.col("nearest").isNull()).drop("nearest")
+
+
 def archetype_prevalence(classified: DataFrame) -> DataFrame:
     n = classified.groupBy("archetype").agg(F.count(F.lit(1)).alias("repos"))
     return n.join(F.broadcast(n.agg(F.sum("repos").alias("t")))).select("archetype", "repos", ratio(F.col("repos"), F.col("t")).alias("prevalence"))

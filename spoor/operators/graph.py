@@ -237,3 +237,17 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         base = base.withColumn("raw", F.lit(0.0))
     norm: Column = (F.col("n") - 1) * (F.col("n") - 2)
     return base.select("repo_id", "node_id", F.when(norm > 0, F.coalesce("raw", F.lit(0.0)) / norm).otherwise(0.0).alias("betweenness"))
+
+
+def cyclic_repos(edges: DataFrame, types: list[str]) -> DataFrame:
+    """Repositories whose edges of `types` hold a cycle (repo_id): nodes without a way in or out are peeled off."""
+    left = cut(edges.filter(F.col("edge_type").isin(types) & (F.col("source") != "") & (F.col("target") != "")).select("repo_id", "source", "target").distinct())
+    n = left.count()
+    while n:
+        ways_out = left.select("repo_id", F.col("source").alias("target")).distinct()
+        ways_in = left.select("repo_id", F.col("target").alias("source")).distinct()
+        left = cut(left.join(ways_out, ["repo_id", "target"], "left_semi").join(ways_in, ["repo_id", "source"], "left_semi"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select("repo_id").distinct()

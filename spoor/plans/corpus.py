@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from spoor.session import land
-from spoor.sources import tables
+from spoor.sources import tables, trade
 
 
 class Corpus:
@@ -36,6 +36,14 @@ class Corpus:
     def preconditions(self) -> DataFrame:
         return land(tables.preconditions(self.spark, self.sf_dir), "preconditions")
 
+    @cached_property
+    def trade_edges(self) -> DataFrame:
+        return land(trade.trade_edges(self.spark, self.sf_dir), "trade_edges")
+
+    @cached_property
+    def trade_nodes(self) -> DataFrame:
+        return land(trade.trade_nodes(self.trade_edges), "trade_nodes")
+
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Compute a shared table once per session and data folder (landed as Parquet)."""
         if name not in self._kept:
