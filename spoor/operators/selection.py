@@ -137,45 +137,21 @@ def discovery_value(counts: dict[str, int], seen: DataFrame | None = None) -> Co
     return v + F.when(F.size("xcomp_findings") > 0, 8.0).otherwise(0.0)
 
 
-def coverage_counts(picked: list) -> dict[str, int]:
-    """Coverage counters of one small picked batch."""
-    out: dict[str, int] = {}
-    for r in picked:
-        b = next((n for n, (lo, hi, _) in COMPLEXITY.items() if lo <= r["agent_count"] <= hi), None)
-        keys = [f"fw_{r['framework']}", *([f"cx_{b}"] if b else []), *[f"finding_{f}" for f in r["finding_ids"]], *[f"ctrl_with_{c}" for c in r["present_control_types"]]]
-        for k in keys:
-            out[k] = out.get(k, 0) + 1
-    return out
+def coverage_counts(picked: DataFrame) -> DataFrame:
+    """(key, n): coverage counters of picked rows; frameworks, complexity bands, findings and controls are few."""
+    band = F.concat(F.lit("cx_"), bracket(F.col("agent_count")))
+    keys = F.concat(F.array(F.concat(F.lit("fw_"), "framework"), band), F.transform("finding_ids", lambda f: F.concat(F.lit("finding_"), f)), F.transform("present_control_types", lambda c: F.concat(F.lit("ctrl_with_"), c)))
+    return picked.select(F.explode(F.array_compact(keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def select_for_discovery(repos: DataFrame, target: int = 1000) -> DataFrame:
-    """Greedy pick by marginal value, rescored for each of the first twenty picks, then every fifty.
+def select_for_discovery(repos: DataFrame, target: int = 1000, **lazy) -> DataFrame:
+    """`repos` with pick (from 1): greedy by marginal value, scored again for each of the first twenty picks, then every fifty."""
+    from spoor.operators.greedy import lazy_greedy
 
-    Each round is one scan with the current counters as literals and a top-n; only the picked
-    batch (at most fifty rows) and its counters come back, never the corpus.
-    """
-    spark = repos.sparkSession
-    cols = ["repo_id", "framework", "agent_count", "finding_ids", "present_control_types", "topology_hash"]
-    counts: dict[str, int] = {}
-    picked: list = []
-    seen: set[str] = set()
-    rounds = list(range(20)) + list(range(50, target, 50))
-    for n, start in enumerate(rounds):
-        if start >= target:
-            break
-        stop = min(rounds[n + 1] if n + 1 < len(rounds) else target, target)
-        ids = spark.createDataFrame([(r["repo_id"],) for r in picked], "repo_id string")
-        topo = spark.createDataFrame([(t, True) for t in sorted(seen)], "topology_hash string, _seen boolean")
-        left = repos.join(F.broadcast(ids), "repo_id", "left_anti").join(F.broadcast(topo), "topology_hash", "left").fillna(False, ["_seen"])  # both at most `target` rows
-        batch = left.withColumn("_value", discovery_value(counts)).orderBy(F.desc(F.round("_value", 9)), "repo_id").limit(stop - start).select(*cols).collect()
-        for k, v in coverage_counts(batch).items():
-            counts[k] = counts.get(k, 0) + v
-        seen |= {r["topology_hash"] for r in batch if r["topology_hash"]}
-        picked += batch
-        if len(batch) < stop - start:
-            break
-    order = spark.createDataFrame([(r["repo_id"], i + 1) for i, r in enumerate(picked)], "repo_id string, pick int")
-    return repos.join(F.broadcast(order), "repo_id")
+    cols = ["repo_id", "framework", "agent_count", "finding_ids", "present_control_types", "topology_hash", "estimated_runnability", "xcomp_findings"]
+    pool = repos.select(*cols).withColumn("topology_hash", nz(F.col("topology_hash")))
+    picks = lazy_greedy(pool, target, lambda n: 1 if n < 19 else 50 - n % 50, discovery_value, coverage_counts, "topology_hash", **lazy)
+    return repos.join(picks.withColumn("pick", F.col("pick").cast("int")), "repo_id")
 
 
 def coverage_report(selected: DataFrame, target: int) -> DataFrame:
