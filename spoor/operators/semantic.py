@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from spoor.functions.ordered import scan
 from spoor.functions.text import nz
 from spoor.functions.stats import count_if
+from spoor.session import land
 
 RUN = ["repo_id", "run_id"]
 NID = "source_node.node_id"
@@ -53,6 +54,44 @@ def next_prompts(events: DataFrame, asks: DataFrame) -> DataFrame:
     return s.filter("ask_id IS NOT NULL").select(*RUN, "ask_id", "node", F.col("nxt.event_id").alias("call_id"), F.col("nxt.prompt").alias("prompt"))
 
 
+def delegation_pairs(events: DataFrame, least: int = 20) -> DataFrame:
+    """What a node handed over and what the receiver was asked next, for every delegation of a run; whole texts.
+
+    kind, source_event, target_event, source, target, source_role, target_role, output, input, their lengths, pair_key
+    and first_of_pair. Explicit delegations take the initiator's output; between a task end and the next start of
+    another node a delegation is inferred unless the run has an explicit one of the same two nodes. The input is the
+    receiver's first model call strictly later (of equally late ones the smallest event_id); a receiver without a name
+    takes any node's. Pairs with a text below `least` characters are left out. Pairs of the same texts share pair_key, and one
+    of them (the first by repo_id, run_id, target_event) is marked, so a judge need not see the others. Events are
+    read once; what follows works on a narrow table.
+    """
+    types = ["delegation.initiated", "delegation.completed", "agent.task_start", "agent.task_end", "llm.call_start"]
+    fields = [F.col(f"payload.{f}") for f in ("delegation_id", "output_preview", "last_user_message_preview")]
+    e = land(events.filter(F.col("event_type").isin(types)).select(*RUN, "event_id", "timestamp_ns", "event_type", "source_node", "target_node", F.struct(*fields).alias("payload")), "delegation_events")
+    node = lambda c: F.coalesce(F.col(c), F.lit(""))
+    given = explicit_delegations(e).select(*RUN, F.lit("explicit").alias("kind"), F.col("initiated_id").alias("source_event"), F.col("completed_id").alias("target_event"), node("source").alias("source"), node("target").alias("target"))
+    guess = inferred_delegations(e).select(*RUN, F.lit("inferred").alias("kind"), F.col("end_id").alias("source_event"), F.col("start_id").alias("target_event"), "source", "target")
+    guess = guess.join(given.select(*RUN, "source", "target").distinct(), [*RUN, "source", "target"], "left_anti")
+    both = given.unionByName(guess.select(*given.columns))
+    text = e.select(*RUN, F.col("event_id").alias("source_event"), "timestamp_ns", F.coalesce("payload.output_preview", F.lit("")).alias("output"))
+    both = land(both.join(text, [*RUN, "source_event"]).filter(F.length("output") >= least), "handed_over")
+
+    # Merged pass: calls and questions of a (run, node) in one order, each question takes the nearest call after it.
+    calls = e.filter("event_type = 'llm.call_start'").select(*RUN, F.explode(F.array_distinct(F.array(node(NID), F.lit("")))).alias("node"), "timestamp_ns", F.struct("event_id", F.coalesce("payload.last_user_message_preview", F.lit("")).alias("text")).alias("call"))
+    calls = calls.groupBy(*RUN, "node", "timestamp_ns").agg(F.min("call").alias("call"))
+    asks = both.select(*RUN, F.col("target").alias("node"), "timestamp_ns", F.struct(*[c for c in both.columns if c not in (*RUN, "timestamp_ns")]).alias("pair"))
+    merged = asks.withColumn("call", F.lit(None).cast(calls.schema["call"].dataType)).unionByName(calls.withColumn("pair", F.lit(None).cast(asks.schema["pair"].dataType)))
+    met = scan(merged, [*RUN, "node"], "timestamp_ns", {"next_call": ("nearest", F.col("call"))}, direction="after")
+    role = lambda c: F.coalesce(nz(F.element_at(F.split(c, ":"), -1)), F.lit("agent"))
+    pairs = met.filter("pair IS NOT NULL AND next_call IS NOT NULL").select(*RUN, "pair.*", F.col("next_call.text").alias("input")).filter(F.length("input") >= least)
+    key = F.sha2(F.concat(F.length("output").cast("string"), F.lit(":"), "output", "input"), 256)
+    pairs = pairs.withColumns({"source_role": role("source"), "target_role": role("target"), "output_length": F.length("output"), "input_length": F.length("input"), "pair_key": key})
+    pairs = land(pairs, "delegation_pairs")
+    here = F.struct(*RUN, "target_event", "source_event")
+    first = pairs.groupBy("pair_key").agg(F.min(here).alias("first"))
+    return pairs.join(first, "pair_key").withColumn("first_of_pair", F.col("first") == here).drop("first")
+
+
 def node_outputs(events: DataFrame) -> DataFrame:
     """The last output preview of each node and run."""
     o = events.filter(F.col("event_type").isin("agent.task_end", "llm.call_end") & nz(F.col("payload.output_preview")).isNotNull() & nz(F.col(NID)).isNotNull())

@@ -163,6 +163,13 @@ QUERIES = [
     Query("l1_inferred_delegations", lambda c: L.inferred_delegations(c.events).select("run_id", "end_id", "source", "start_id", "target"), W(
         "WITH " + _W_ON_EV.rstrip(", ") + " SELECT e.run_id, e.eid AS end_id, e.source_id AS source, arg_min(s.eid, s.timestamp_ns) AS start_id, arg_min(s.source_id, s.timestamp_ns) AS target FROM w e JOIN w s ON s.run_id = e.run_id AND s.event_type = 'agent.task_start' AND s.timestamp_ns > e.timestamp_ns AND s.source_id <> e.source_id "
         "WHERE e.event_type = 'agent.task_end' GROUP BY e.run_id, e.eid, e.source_id", "ev")),
+    Query("l6_delegation_pairs", lambda c: L.delegation_pairs(c.events).select("run_id", "kind", "source_event", "target_event", "source", "target", "output", "input", "pair_key", "first_of_pair"), W(
+        "WITH " + _W_ON_EV + "d AS (SELECT run_id, eid, event_type, source_id, target_id, preview, timestamp_ns, lag(eid) OVER q AS pe, lag(event_type) OVER q AS pt, lag(source_id) OVER q AS ps, lag(preview) OVER q AS pp, lag(timestamp_ns) OVER q AS pn FROM w WHERE event_type LIKE 'delegation.%' WINDOW q AS (PARTITION BY run_id, delegation_id ORDER BY timestamp_ns, eid)), "
+        "xp AS (SELECT run_id, 'explicit' AS kind, pe AS source_event, eid AS target_event, coalesce(ps, '') AS source, coalesce(target_id, '') AS target, coalesce(pp, '') AS output, pn AS ts FROM d WHERE event_type = 'delegation.completed' AND pt = 'delegation.initiated'), "
+        "nf AS (SELECT e.run_id, 'inferred' AS kind, e.eid AS source_event, arg_min(s.eid, s.timestamp_ns) AS target_event, e.source_id AS source, arg_min(s.source_id, s.timestamp_ns) AS target, any_value(coalesce(e.preview, '')) AS output, any_value(e.timestamp_ns) AS ts FROM w e JOIN w s ON s.run_id = e.run_id AND s.event_type = 'agent.task_start' AND s.timestamp_ns > e.timestamp_ns AND s.source_id <> e.source_id WHERE e.event_type = 'agent.task_end' GROUP BY e.run_id, e.eid, e.source_id), "
+        "al AS (SELECT * FROM xp UNION ALL SELECT * FROM nf ANTI JOIN xp USING (run_id, source, target)), "
+        "pr AS (SELECT a.run_id, kind, source_event, target_event, source, target, any_value(output) AS output, arg_min(coalesce(user_message, ''), struct_pack(t := s.timestamp_ns, e := s.eid)) AS input FROM al a JOIN w s ON s.run_id = a.run_id AND s.event_type = 'llm.call_start' AND s.timestamp_ns > a.ts AND (a.target = '' OR s.source_id = a.target) WHERE length(output) >= 20 GROUP BY ALL) "
+        "SELECT *, sha256(length(output) || ':' || output || input) AS pair_key, row_number() OVER (PARTITION BY output, input ORDER BY (SELECT any_value(repo_id) FROM w WHERE w.run_id = pr.run_id), run_id, target_event, source_event) = 1 AS first_of_pair FROM pr WHERE length(input) >= 20", "ev")),
     Query("l3_next_prompts", lambda c: L.next_prompts(c.events, c.events.filter("event_type = 'agent.task_end'").select("repo_id", "run_id", F.col("event_id").alias("ask_id"), F.col("source_node.node_id").alias("node"), "timestamp_ns")).select("run_id", "ask_id", "node", "call_id"), W(
         "WITH " + _W_ON_EV.rstrip(", ") + " SELECT e.run_id, e.eid AS ask_id, e.source_id AS node, arg_min(s.eid, s.timestamp_ns) AS call_id FROM w e LEFT JOIN w s ON s.run_id = e.run_id AND s.event_type = 'llm.call_start' AND s.timestamp_ns > e.timestamp_ns AND s.source_id = e.source_id WHERE e.event_type = 'agent.task_end' GROUP BY e.run_id, e.eid, e.source_id", "ev")),
     Query("l4_node_outputs", lambda c: L.node_outputs(c.events), W("SELECT repo_id, run_id, source_id AS node, arg_max(preview, timestamp_ns) AS preview FROM ev WHERE preview IS NOT NULL AND source_id <> '' GROUP BY ALL", "ev")),

@@ -135,6 +135,7 @@ EVENT_LAYERS: list[list[tuple[str, str]]] = [
         ("decision_basis", "CASE WHEN event_type = 'routing.decision' THEN CASE WHEN c % 2 = 0 THEN 'llm_output' ELSE 'static' END END"),
         ("stack_depth", "c % 6"),
         ("preview", "CASE WHEN event_type IN ('agent.task_end', 'llm.call_end') AND c % 3 > 0 THEN concat('output number ', c % 100, ' of a node with findings') END"),
+        ("user_message", "CASE WHEN event_type = 'llm.call_start' AND c % 4 > 0 THEN CASE WHEN c % 4 = 1 THEN 'short' ELSE concat('please work on item ', c % 50, ' with the earlier output') END END"),
         ("origin_node", f"CASE WHEN event_type = 'error.cascade' THEN {pick('n', _IDS)} END"),
         ("terminal_node", f"CASE WHEN event_type = 'error.cascade' THEN {pick('t', _IDS)} END"),
         ("is_propagation", "event_type = 'error.propagated'"),
@@ -162,7 +163,7 @@ _PAYLOAD_FROM = {
     "has_classification_dependency": "class_dependency", "delegation_type": "delegation_type",
     "delegation_id": "delegation_id", "trigger": "trigger", "source_node": "routing_source",
     "target_node": "routing_target", "selected_target": "routing_target",
-    "decision_basis": "decision_basis", "output_preview": "preview",
+    "decision_basis": "decision_basis", "output_preview": "preview", "last_user_message_preview": "user_message",
     "origin_node": "origin_node", "terminal_node": "terminal_node",
     "parent_node_id": "parent_node", "input_source": "input_source", "tool_node_id": "tool_node",
     "accessor_node": "accessor",
