@@ -12,7 +12,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm.common import fresh
@@ -28,6 +28,20 @@ def _splitters(sample: pd.DataFrame, ranges: int) -> np.ndarray:
     return np.unique(sample["key"].to_numpy(np.int64)[np.minimum(at, len(sample) - 1)]) if len(filled) else np.zeros(0, np.int64)
 
 
+def _range_of(key: Column, cuts: list[int]) -> Column:
+    """How many cuts are not above the key, by binary search in a constant array."""
+    if not cuts:
+        return F.lit(0)
+    table, span = F.lit(cuts), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        above, inside = F.get(table, middle) > key, s["lo"] < s["hi"]
+        return F.struct(F.when(inside & ~above, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(inside & above, middle).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), span, halve, lambda s: s["lo"])
+
+
 def place(pieces: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int]]:
     """(piece, shard, first slot) for pieces (piece, bytes, rows): largest first to the emptiest shard."""
     loads = [(0, 0, s) for s in range(shards)]
@@ -54,12 +68,8 @@ def shard(rows: DataFrame, size: str, key: str, tie: str, shards: int = 24, rang
     sample = rows.filter(draw < F.col(size) / step).select(F.col(key).alias("key"), F.greatest(F.col(size).cast("double"), F.lit(step)).alias("weight")).toPandas()
     cuts = _splitters(sample, ranges)
 
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(np.int64), side="right").astype(np.int32))
-
     part, piece, first, count, home, slot0, slot1 = (fresh(rows, c) for c in ("range_no", "piece_no", "first_piece", "piece_count", "shard_no", "first_slot", "slot_no"))
-    dealt = rows.withColumn(part, range_of(F.col(key)))
+    dealt = rows.withColumn(part, _range_of(F.col(key), cuts.tolist()))
     limit = max(1, 2 * total // ranges)
     base = 0
     plan = []
