@@ -34,39 +34,43 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def _numbered(docs: DataFrame, row: str) -> DataFrame:
-    """`docs` with a row number in column `row`, stored so that every later read sees the same numbers."""
-    return land(docs.withColumn(row, F.monotonically_increasing_id()), "numbered_rows")
+def _hashable(docs: DataFrame) -> list:
+    """Every column with its null mark, nested ones as JSON, so that different rows hash apart."""
+    out = []
+    for name, kind in docs.dtypes:
+        col = F.to_json(F.struct(name)) if kind.startswith(("array", "map", "struct")) else F.col(name)
+        out += [F.col(name).isNull(), col]
+    return out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row is repeated as often as the mix takes it (0 to 2 times); no rows in, none out.
 
-    Rows are decided one by one, so rows that repeat in every column keep their sum. A null source is a source;
-    null and empty texts have size 0, are kept once, and take nothing of a target.
+    Narrow rows decide one by one. Rows that are equal in every column are one text with several decisions, so their
+    copies are summed, never rounded again. A null source is a source; null and empty texts have size 0, are kept once,
+    and take nothing of a target. Texts are shuffled once, to meet their decisions.
     """
-    row, copies = fresh(docs, "row_key"), fresh(docs, "copies")
-    rows = _numbered(docs, row)
-    narrow = land(rows.select(F.col("source"), F.col(row).alias("key"), word_count(F.col("text")).alias("size")), "mix_rows")
-    plan = mixing.mix(narrow, "size", "source", "key").filter("copies > 0").select(F.col("key").alias(row), F.col("copies").cast("int").alias(copies))
-    taken = rows.join(plan, row)
-    return taken.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)
+    key, tie, copies, row = (fresh(docs, c) for c in ("row_key", "row_tie", "copies", "whole_row"))
+    marks = _hashable(docs)
+    keyed = docs.withColumns({key: F.xxhash64(*marks), tie: F.xxhash64(F.lit(1), *marks)})
+    narrow = land(keyed.select("source", F.col(key).alias("key"), F.col(tie).alias("tie"), word_count(F.col("text")).alias("size")), "mix_rows")
+    plan = mixing.mix(narrow, "size", "source", "key").filter("copies > 0").select(F.col("key").alias(key), F.col("tie").alias(tie), F.col("copies").cast("int").alias(copies))
+    texts = keyed.groupBy(key, tie).agg(F.first(F.struct(*docs.columns)).alias(row))
+    taken = texts.join(plan.hint("merge"), [key, tie])  # both sides grow with the documents
+    return taken.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(f"{row}.*")
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with shard (0 to 23) and slot (gapless from 0 in its shard); shard sizes come near equal.
 
-    Narrow rows are dealt and numbered, then meet their texts in one join. Null texts have 8 bytes like empty
-    ones; equal texts lie together unless their range is overfull; repeated rows get slots of their own. Columns
+    Ranges are measured on narrow columns; texts are shuffled once, with their range. Null texts have 8 bytes like
+    empty ones; equal texts lie together unless their range is overfull; repeated rows get slots of their own. Columns
     named shard or slot are replaced. No rows in, none out.
     """
-    row = fresh(docs, "row_key")
-    rows = _numbered(docs, row)
     text = F.coalesce("text", F.lit(""))
-    narrow = rows.select(F.col(row).alias("row"), (F.octet_length(text) + 8).cast("long").alias("size"), F.xxhash64(text).alias("key"), F.xxhash64(row).alias("tie"))
-    placed = sharding.shard(land(narrow, "shard_rows"), "size", "key", "tie", 24).select(F.col("row").alias(row), "shard", "slot")
-    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return rows.select(row, *keep).join(land(placed, "shard_places"), row).select(*keep, "shard", "slot")
+    size, key, tie = fresh(docs, "shard_size"), fresh(docs, "shard_key"), fresh(docs, "shard_tie")
+    rows = docs.withColumns({size: (F.octet_length(text) + 8).cast("long"), key: F.xxhash64(text), tie: F.xxhash64(*_hashable(docs))})
+    return sharding.shard(rows, size, key, tie, 24).drop(size, key, tie)
 
 
 STAGES = [
