@@ -16,6 +16,7 @@ from spoor.operators import selection as N
 from spoor.plans.corpus import Corpus, Query, r6
 from spoor.plans.q_failure import _MET, _SPEC, _UNPIV, findings, traces
 from spoor.plans.q_overlay import VAL
+from spoor.plans.q_streams import ALERTS
 from spoor.session import _checkpoint_dir, land
 from spoor.sources.tables import with_ctes as W
 from spoor.streaming import events as S
@@ -201,5 +202,5 @@ QUERIES = [
     Query("p6_run_sessions", lambda c: S.run_sessions(S.with_event_time(c.events), "6 hours").select("repo_id", "run_id", "events", "errors", "start_ns", "end_ns"), W(
         "WITH g AS (SELECT *, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w < 21600000000000 THEN 0 ELSE 1 END AS brk FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY timestamp_ns)), s AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY timestamp_ns) AS sess FROM g) "
         "SELECT repo_id, run_id, count(*) AS events, count(*) FILTER (event_type LIKE 'error.%') AS errors, min(timestamp_ns) AS start_ns, max(timestamp_ns) AS end_ns FROM s GROUP BY repo_id, run_id, sess", "ev")),
-    Query("p7_threshold_alerts", lambda c: r6(S.threshold_alerts(S.with_event_time(c.events), B.baselines(B.run_metrics(c.events)), "1 day").select("repo_id", F.unix_seconds("window_start").alias("start_s"), "tool_call_failure_rate", "calls"))),
+    Query("p7_threshold_alerts", lambda c: r6(S.threshold_alerts(S.with_event_time(c.events), B.baselines(B.run_metrics(c.events)), "1 day").select("repo_id", F.unix_seconds("window_start").alias("start_s"), "tool_call_failure_rate", "calls")), ALERTS),
 ]

@@ -11,24 +11,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spoor.session import land
+
 ROWS_PER_FILE = 1_000_000
 BATCH = "_batch"
 
 
-def write_arrivals(events: DataFrame, order: Column, path: str, slots: int) -> int:
-    """Write `events` in order of arrival as `slots` groups of files, oldest first; returns files per group.
+def write_arrivals(events: DataFrame, slot: Column, slots: int, path: str) -> int:
+    """Write `events` as `slots` groups of files, group 0 (by `slot`) first; returns files per group.
 
-    Groups follow sampled bounds of `order`, so they hold about as many rows each; a reader that takes that many files
-    a trigger sees one group after another.
+    A reader that takes that many files a trigger sees one group after another.
     """
-    numbered = events.withColumn("_order", order)
-    cuts = numbered.stat.approxQuantile("_order", [i / slots for i in range(1, slots)], 0.0005) if slots > 1 else []
-    slot = sum((F.col("_order") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
-    numbered = numbered.withColumn("_slot", slot)
+    numbered = land(events.withColumn("_slot", F.least(F.greatest(slot, F.lit(0)), F.lit(slots - 1)).cast("int")), "arrivals")
     most = numbered.groupBy("_slot").count().agg(F.max("count")).first()[0] or 0
     files = max(1, -(-most // ROWS_PER_FILE))
     for i in range(slots):
-        numbered.filter(F.col("_slot") == i).drop("_order", "_slot").repartition(files).write.mode("append").parquet(path)
+        numbered.filter(F.col("_slot") == i).drop("_slot").repartition(files).write.mode("append").parquet(path)
     return files
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spoor.schema import EVENT
+from spoor.streaming.arrivals import kept
 
 LATENESS = "10 minutes"
 
@@ -34,14 +35,14 @@ def distinct_events(events: DataFrame) -> DataFrame:
 
 def windowed_latency(events: DataFrame, width: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
     """Mean latency of completed model calls over a sliding window."""
-    calls = events.filter((F.col("event_type") == "llm.call_end") & F.col("payload.latency_ms").isNotNull())
+    calls = kept(events, (F.col("event_type") == "llm.call_end") & F.col("payload.latency_ms").isNotNull())
     return calls.groupBy(F.window("event_time", width, slide).alias("w")).agg(F.avg("payload.latency_ms").alias("mean_latency_ms"), F.count(F.lit(1)).alias("calls")).select(
         F.col("w.start").alias("window_start"), "mean_latency_ms", "calls")
 
 
 def run_sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """Per run and burst of activity: events, errors and span, closed after a gap."""
-    return events.groupBy("repo_id", "run_id", F.session_window("event_time", gap).alias("s")).agg(
+    return kept(events, F.col("run_id").isNotNull()).groupBy("repo_id", "run_id", F.session_window("event_time", gap).alias("s")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type").startswith("error.")).alias("errors"), F.min("timestamp_ns").alias("start_ns"), F.max("timestamp_ns").alias("end_ns")
     ).select("repo_id", "run_id", F.col("s.start").alias("session_start"), "events", "errors", "start_ns", "end_ns")
 
@@ -56,13 +57,30 @@ def call_pairs(events: DataFrame, within: str = "INTERVAL 1 HOUR") -> DataFrame:
     return e.join(s, on).select("repo_id", "run_id", "event_id", "event_type", (F.col("timestamp_ns") - F.col("s_ns")).alias("latency_ns"))
 
 
-def threshold_alerts(events: DataFrame, baselines: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Windows whose error share of tool calls exceeds the repository's baseline threshold (stream-static join)."""
+def threshold_windows(events: DataFrame, baselines: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Every window's error share of tool calls beside the repository's baseline threshold (stream-static join).
+
+    Windows without an alert are rows too: a later version of a window must be able to take an alert back.
+    """
     et = F.col("event_type")
-    t = events.filter(et.isin("tool.completed", "tool.call_failure")).groupBy("repo_id", F.window("event_time", width).alias("w")).agg(
+    t = kept(events, et.isin("tool.completed", "tool.call_failure")).groupBy("repo_id", F.window("event_time", width).alias("w")).agg(
         (F.count_if(et == "tool.call_failure") / F.count(F.lit(1))).alias("tool_call_failure_rate"), F.count(F.lit(1)).alias("calls"))
     lim = baselines.filter("metric = 'tool_call_failure_rate'").select("repo_id", "suggested_threshold")
-    return t.join(lim, "repo_id").filter(F.col("tool_call_failure_rate") > F.col("suggested_threshold")).select("repo_id", F.col("w.start").alias("window_start"), "tool_call_failure_rate", "calls", "suggested_threshold")
+    over = F.col("tool_call_failure_rate") > F.col("suggested_threshold")
+    return t.join(lim, "repo_id").select("repo_id", F.col("w.start").alias("window_start"), "tool_call_failure_rate", "calls", "suggested_threshold", over.alias("alert"))
+
+
+def threshold_alerts(events: DataFrame, baselines: DataFrame, width: str = "1 hour") -> DataFrame:
+    """The windows of `threshold_windows` that are above their threshold."""
+    return threshold_windows(events, baselines, width).filter("alert").drop("alert")
+
+
+def reconciled_events(streamed: DataFrame, stored: DataFrame) -> DataFrame:
+    """repo_id, event_id, event_type, from_stream: what the stream let through, and stored events that it dropped as late."""
+    keys = ["repo_id", "event_id"]
+    seen = streamed.select(*keys, "event_type").dropDuplicates(keys).withColumn("from_stream", F.lit(True))
+    missed = stored.select(*keys, "event_type").dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti")
+    return seen.unionByName(missed.withColumn("from_stream", F.lit(False)))
 
 
 def _depth(key: tuple, batches, state: GroupState):

@@ -54,3 +54,25 @@ def test_depth_out_of_order(spark, tmp_path):
     hurt = {r[1] for r in rows if r[2] in want_late}
     assert {u for u, r in final.items() if not r["from_stream"]} == hurt and hurt < set(by_run)
     assert {u: (r["depth"], r["max_depth"]) for u, r in final.items()} == {u: plain_depth(m) for u, m in by_run.items()}
+
+
+def test_replayed_batch_replaces_itself(spark, tmp_path):
+    write = arrivals.to_versions(str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int")
+    write(rows(("a", 1), ("b", 1)), 0)
+    write(rows(("a", 5), ("a", 6)), 1)
+    write(rows(("a", 2)), 1)
+    versions = spark.read.schema("k string, v int, _batch long").option("basePath", str(tmp_path)).parquet(str(tmp_path))
+    assert sorted(map(tuple, arrivals.latest(versions, ["k"]).collect())) == [("a", 2), ("b", 1)]
+    assert sorted(map(tuple, arrivals.compacted(versions, ["k"], str(tmp_path / "whole")).collect())) == [("a", 2), ("b", 1)]
+
+
+def test_heartbeat_closes_the_last_window(spark, tmp_path):
+    rows = [("r", "u", f"e{i}", T0 + i * MIN, "llm.call_end", (None,)) for i in range(30)]
+    like, path = spark.createDataFrame(rows, COLS), str(tmp_path / "in")
+    files = arrivals.write_arrivals(like, F.floor((F.col("timestamp_ns") - F.lit(T0)) / F.lit(10 * MIN)), 3, path)
+    arrivals.heartbeat(spark, like, path, T0 + 1000 * MIN)
+    stream = arrivals.arriving(spark, like, path, files, "1 minute")
+    windows = arrivals.kept(stream, F.col("event_type") == "llm.call_end").groupBy(F.window("event_time", "10 minutes", "5 minutes").alias("w")).count().select("w.start", "count")
+    got = arrivals.run_upserts(windows, str(tmp_path / "out"), str(tmp_path / "ck"), "append")
+    assert sum(r["count"] for r in got.collect()) == 60 and got.count() == 7
