@@ -10,6 +10,7 @@ from spoor.operators import failure as X
 from spoor.operators import graph as G
 from spoor.operators import lineage as L
 from spoor.operators import propagation as P
+from spoor.operators import actual_paths as T
 from spoor.operators import resolve as D
 from spoor.plans.corpus import Corpus, Query, r6
 from spoor.plans.q_overlay import EVR, REACH, REFMAP, ref_map
@@ -21,6 +22,10 @@ def order(c: Corpus):
     return c.keep("breadth_first", lambda: G.breadth_first(c.edges))
 
 
+def actual(c: Corpus):
+    return c.keep("actual_traces", lambda: T.actual_traces(c.events))
+
+
 def traces(c: Corpus):
     return c.keep("error_traces", lambda: P.trace_errors(c.events, c.nodes, order(c)))
 
@@ -108,6 +113,28 @@ _PAY = (
     "round(coalesce(e3.r, 0), 6) AS error_swallow_rate, round(coalesce(s2.r, 0), 6) AS concurrent_state_write_rate, round(q.v, 6) AS delegation_latency_p95_ms FROM b LEFT JOIN mx USING (run_id) LEFT JOIN q USING (run_id) LEFT JOIN s2 USING (run_id) LEFT JOIN e3 USING (run_id)"
 )
 
+_ACTUAL = (
+    "er AS MATERIALIZED (SELECT repo_id, run_id, CAST(event_id AS VARCHAR) AS eid, timestamp_ns, nullif(source_id, '') AS node, row_number() OVER (PARTITION BY run_id ORDER BY timestamp_ns, CAST(event_id AS VARCHAR)) AS place, event_type IN ('error.occurred', 'error.propagated') OR status = 'error' AS seedable FROM ev "
+    "WHERE event_type IN ('error.occurred', 'error.propagated') OR (event_type IN ('agent.task_end', 'tool.completed') AND status IN ('failed', 'error'))), "
+    "sd AS MATERIALIZED (SELECT * FROM er WHERE seedable AND node IS NULL UNION ALL SELECT * FROM er WHERE seedable AND node IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, node ORDER BY place) = 1), "
+    "rc AS (SELECT s.run_id, s.eid, e.node, min(e.place) AS k FROM sd s JOIN er e ON e.run_id = s.run_id AND e.place > s.place AND e.node IS NOT NULL AND (s.node IS NULL OR e.node <> s.node) GROUP BY ALL), "
+    "pa AS MATERIALIZED (SELECT sd.repo_id, sd.run_id, sd.eid, sd.timestamp_ns, sd.node AS source, CASE WHEN any_value(sd.node) IS NULL THEN [] ELSE [any_value(sd.node)] END || coalesce(list(rc.node ORDER BY k) FILTER (rc.node IS NOT NULL), []) AS path FROM sd LEFT JOIN rc USING (run_id, eid) GROUP BY ALL), "
+    "la AS (SELECT p.run_id, p.eid, count(*) FILTER (event_type = 'agent.task_end' AND status = 'success') AS oks, arg_min(coalesce(event_type = 'agent.task_end' AND status = 'success', false), struct_pack(t := e.timestamp_ns, e := CAST(e.event_id AS VARCHAR))) AS first_ok FROM pa p JOIN ev e ON e.run_id = p.run_id AND e.source_id = p.path[-1] AND (e.timestamp_ns, CAST(e.event_id AS VARCHAR)) > (p.timestamp_ns, p.eid) GROUP BY ALL), "
+    "atr AS (SELECT pa.*, CASE WHEN len(path) = 0 THEN 'no_propagation' WHEN (contains(lower(path[-1]), 'guard') OR contains(lower(path[-1]), 'review')) AND first_ok = false THEN 'error_boundary' WHEN coalesce(oks, 0) > 0 THEN 'retry_succeeded' ELSE 'end_of_chain' END AS stop_mechanism FROM pa LEFT JOIN la USING (run_id, eid)), "
+)
+G19 = W(
+    "WITH " + _DEPTH + _SW + "pr AS (SELECT repo_id, run_id, bool_or((contains(lower(source_name), 'guard') OR contains(lower(source_name), 'review') OR contains(lower(source_name), 'human')) AND event_type <> 'error.occurred') AS g FROM ev GROUP BY ALL), "
+    "r AS (SELECT repo_id, count(*) FILTER (NOT g) AS no_human_gate_activation, count(*) AS nr FROM pr GROUP BY ALL), dv AS (SELECT repo_id, count(*) AS k FROM (SELECT repo_id, source_id FROM ev WHERE output_hash IS NOT NULL AND source_id <> '' GROUP BY ALL HAVING count(DISTINCT output_hash) > 1) GROUP BY ALL), "
+    "f1 AS (SELECT repo_id, min(run_id) AS run_id FROM ev GROUP BY repo_id), tu AS (SELECT repo_id, run_id, tool_node FROM ev WHERE tool_node IS NOT NULL), un AS (SELECT t.repo_id, count(*) AS k FROM tu t JOIN f1 USING (repo_id) WHERE t.run_id <> f1.run_id AND NOT EXISTS (SELECT 1 FROM tu u WHERE u.run_id = f1.run_id AND u.tool_node = t.tool_node) GROUP BY ALL), "
+    "sw AS (SELECT repo_id, run_id, state_key, count(DISTINCT accessor) AS w, count(*) AS n FROM ev WHERE access_type = 'write' GROUP BY ALL), ss AS (SELECT repo_id, count(*) FILTER (w > 1) AS c1, count(*) FILTER (n > 1) AS c2 FROM sw GROUP BY ALL), "
+    "dp AS (SELECT repo_id, count(*) FILTER (max_depth >= 3) AS k FROM mx GROUP BY ALL), s1 AS (SELECT repo_id, count(*) FILTER (le = 0 AND lo > 0) AS k FROM sf GROUP BY ALL) "
+    "SELECT repo_id, no_human_gate_activation, CAST(0 AS BIGINT) AS tool_call_failure, CAST(0 AS BIGINT) AS api_timeout, coalesce(dp.k, 0) AS delegation_depth, coalesce(s1.k, 0) AS error_swallowed, CASE WHEN nr >= 2 THEN coalesce(dv.k, 0) ELSE 0 END AS output_divergence, "
+    "coalesce(un.k, 0) AS unexpected_tool_usage, coalesce(c1, 0) AS concurrent_state_writes, coalesce(c2, 0) AS state_overwrite FROM r LEFT JOIN dv USING (repo_id) LEFT JOIN un USING (repo_id) LEFT JOIN ss USING (repo_id) LEFT JOIN dp USING (repo_id) LEFT JOIN s1 USING (repo_id)", "ev")
+_TALL = " UNION ALL ".join(f"SELECT repo_id, '{f}' AS finding_id, '{n}' AS finding_name, '{t}' AS failure_type, {i} AS o, '{g}' AS signal, {'error_swallowed' if g == 'silent_error_handling' else g} AS n FROM sg" for f, (n, t, names) in T.SCRIPT_FINDINGS.items() for i, g in enumerate(names))
+G18 = (
+    f"WITH sg AS MATERIALIZED ({G19}), tl AS ({_TALL}), fs AS (SELECT repo_id, finding_id, finding_name, failure_type, CAST(sum(n) AS BIGINT) AS occurrences, string_agg(signal, ', ' ORDER BY o) FILTER (n > 0) AS seen FROM tl GROUP BY ALL) "
+    "SELECT repo_id, finding_id, finding_name, failure_type, occurrences > 0 AS manifestation_observed, occurrences, occurrences > 0 AS downstream_impact, CASE WHEN occurrences > 0 THEN 'Seen ' || occurrences || ' times: ' || seen END AS failure_description FROM fs")
+
 QUERIES = [
     Query("g1_error_traces", lambda c: traces(c).select("repo_id", "run_id", "event_id", "error_source_node", "error_type", "nodes_affected", "downstream_errors", "downstream_tasks_failed", "swallowed", F.size("predicted_path").alias("predicted_nodes")), W(
         "WITH " + REACH + _TR + "SELECT s.repo_id, s.run_id, s.eid AS event_id, s.wh AS error_source_node, coalesce(s.error_type, 'unknown') AS error_type, CAST(coalesce(n1.n, 0) + coalesce(n2.n, 0) AS BIGINT) AS nodes_affected, coalesce(de, 0) AS downstream_errors, "
@@ -129,14 +156,14 @@ QUERIES = [
     Query("g14_failure_examples", lambda c: X.examples(X.signal_occurrences(c.events, traces(c))).groupBy("repo_id", "finding_id").agg(F.count(F.lit(1)).alias("shown"))),
     Query("g15_suggested_findings", lambda c: X.suggested(c.events), W(
         f"SELECT repo_id, 'STRAT-SI-001' AS finding_id FROM ev GROUP BY repo_id HAVING bool_or(event_type LIKE 'error.%' AND {_SILENT}) UNION ALL SELECT repo_id, 'STRAT-DC-001' FROM ev GROUP BY repo_id HAVING count(*) FILTER (event_type = 'delegation.initiated') >= 3", "ev")),
-    Query("g19_run_signals", lambda c: X.run_signals(c.events), W(
-        "WITH " + _DEPTH + _SW + "pr AS (SELECT repo_id, run_id, bool_or((contains(lower(source_name), 'guard') OR contains(lower(source_name), 'review') OR contains(lower(source_name), 'human')) AND event_type <> 'error.occurred') AS g FROM ev GROUP BY ALL), "
-        "r AS (SELECT repo_id, count(*) FILTER (NOT g) AS no_human_gate_activation, count(*) AS nr FROM pr GROUP BY ALL), dv AS (SELECT repo_id, count(*) AS k FROM (SELECT repo_id, source_id FROM ev WHERE output_hash IS NOT NULL AND source_id <> '' GROUP BY ALL HAVING count(DISTINCT output_hash) > 1) GROUP BY ALL), "
-        "f1 AS (SELECT repo_id, min(run_id) AS run_id FROM ev GROUP BY repo_id), tu AS (SELECT repo_id, run_id, tool_node FROM ev WHERE tool_node IS NOT NULL), un AS (SELECT t.repo_id, count(*) AS k FROM tu t JOIN f1 USING (repo_id) WHERE t.run_id <> f1.run_id AND NOT EXISTS (SELECT 1 FROM tu u WHERE u.run_id = f1.run_id AND u.tool_node = t.tool_node) GROUP BY ALL), "
-        "sw AS (SELECT repo_id, run_id, state_key, count(DISTINCT accessor) AS w, count(*) AS n FROM ev WHERE access_type = 'write' GROUP BY ALL), ss AS (SELECT repo_id, count(*) FILTER (w > 1) AS c1, count(*) FILTER (n > 1) AS c2 FROM sw GROUP BY ALL), "
-        "dp AS (SELECT repo_id, count(*) FILTER (max_depth >= 3) AS k FROM mx GROUP BY ALL), s1 AS (SELECT repo_id, count(*) FILTER (le = 0 AND lo > 0) AS k FROM sf GROUP BY ALL) "
-        "SELECT repo_id, no_human_gate_activation, CAST(0 AS BIGINT) AS tool_call_failure, CAST(0 AS BIGINT) AS api_timeout, coalesce(dp.k, 0) AS delegation_depth, coalesce(s1.k, 0) AS error_swallowed, CASE WHEN nr >= 2 THEN coalesce(dv.k, 0) ELSE 0 END AS output_divergence, "
-        "coalesce(un.k, 0) AS unexpected_tool_usage, coalesce(c1, 0) AS concurrent_state_writes, coalesce(c2, 0) AS state_overwrite FROM r LEFT JOIN dv USING (repo_id) LEFT JOIN un USING (repo_id) LEFT JOIN ss USING (repo_id) LEFT JOIN dp USING (repo_id) LEFT JOIN s1 USING (repo_id)", "ev")),
+    Query("g9_actual_paths", lambda c: actual(c).select("repo_id", "run_id", "event_id", "source", F.array_join("actual_path", "->").alias("path"), "stop_mechanism"), W(
+        "WITH " + _ACTUAL.rstrip(", ") + " SELECT repo_id, run_id, eid AS event_id, source, array_to_string(path, '->') AS path, stop_mechanism FROM atr", "ev")),
+    Query("g9_path_steps", lambda c: T.path_steps(c.events), W(
+        "WITH " + _ACTUAL + "sp AS (SELECT repo_id, run_id, eid AS event_id, source, unnest(path) AS node, generate_subscripts(path, 1) AS i FROM pa) SELECT repo_id, run_id, event_id, CAST(CASE WHEN source IS NULL THEN i ELSE i - 1 END AS INTEGER) AS step, node FROM sp", "ev")),
+    Query("g10_stop_census", lambda c: actual(c).groupBy("repo_id", "stop_mechanism").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("actual_path")).alias("mean_length")).select("repo_id", "stop_mechanism", "n", F.round("mean_length", 6).alias("mean_length")), W(
+        "WITH " + _ACTUAL.rstrip(", ") + " SELECT repo_id, stop_mechanism, count(*) AS n, round(avg(len(path)), 6) AS mean_length FROM atr GROUP BY ALL", "ev")),
+    Query("g18_script_findings", lambda c: T.script_failure_modes(X.run_signals(c.events)), G18),
+    Query("g19_run_signals", lambda c: X.run_signals(c.events), G19),
     Query("g20_running_depth", lambda c: P.running_depth(c.events), W("WITH " + _DEPTH.rstrip(", ") + " SELECT * FROM mx", "ev")),
     Query("g36_run_metrics", lambda c: r6(B.run_metrics(c.events)), W("WITH " + _MET.rstrip(", ") + " SELECT repo_id, run_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in _MCOLS) + " FROM met", "evl")),
     Query("g36_baselines", lambda c: r6(B.baselines(B.run_metrics(c.events).withColumn("delegation_latency_p95_ms", F.col("delegation_latency_p95_ms") / 1e6)), 4), W(
