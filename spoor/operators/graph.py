@@ -7,8 +7,6 @@ checkpointed and the loop stops when the frontier is empty.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spoor.session import cut
@@ -71,39 +69,65 @@ def breadth_first(edges: DataFrame) -> DataFrame:
     return seen
 
 
+def components(arcs_: DataFrame) -> DataFrame:
+    """(repo_id, node, component) for nodes on a cycle; a component is named by its smallest node.
+
+    Nodes without a way in or out are peeled off first, so forward and backward labels are spread among the rest alone.
+    """
+    core = cut(arcs_.filter("source <> target").select("repo_id", "source", "target").distinct())
+    n = core.count()
+    while n:
+        out, into = core.select("repo_id", F.col("source").alias("target")).distinct(), core.select("repo_id", F.col("target").alias("source")).distinct()
+        core = cut(core.join(out, ["repo_id", "target"], "left_semi").join(into, ["repo_id", "source"], "left_semi"))
+        before, n = n, core.count()
+        if n == before:
+            break
+    forward = reach(core).select("repo_id", "origin", "node")
+    backward = forward.select("repo_id", F.col("node").alias("origin"), F.col("origin").alias("node"))
+    mutual = forward.join(backward, ["repo_id", "origin", "node"], "left_semi")
+    return mutual.groupBy("repo_id", F.col("origin").alias("node")).agg(F.least(F.min("node"), F.col("origin")).alias("component"))
+
+
 def longest_path(edges: DataFrame, roots: DataFrame | None = None, *, types: list[str] | None = None, closing: bool = False) -> DataFrame:
     """(repo_id, nodes): node count of the longest simple path from the roots (all sources if none given).
 
     With `closing`, a last step back into a visited node counts as one more node.
 
-    Longest simple path is exponential in general. States are (last node, set of visited nodes):
-    different orders of one visited set are merged at every level, which keeps the frontier far
-    smaller than path enumeration; the result is exact for graphs of any size.
+    A simple path runs through strongly connected components in order, so the components are walked level by level:
+    a node's entry value is the longest path that can end before it. Only inside a component of several nodes are
+    sets of visited nodes kept (last node, set), merged over orders and entries; the problem is exponential in the
+    size of its largest component, not in the size of the graph. The result is exact.
     """
     step = cut(arcs(edges, types))
-    begin = step.select("repo_id", F.col("source").alias("node")).distinct() if roots is None else roots.select("repo_id", "node")
-    frontier = cut(begin.select("repo_id", "node", F.array("node").alias("visited")))
-    leaves_on = step.select("repo_id", F.col("source").alias("node")).distinct()
-
-    def score(front: DataFrame, size: int) -> DataFrame:
-        if not closing:
-            return front.select("repo_id", F.lit(size).alias("nodes")).distinct()
-        on = front.join(leaves_on, ["repo_id", "node"], "left_semi").select("repo_id", F.lit(size + 1).alias("nodes"))
-        return front.select("repo_id", F.lit(size).alias("nodes")).unionByName(on).distinct()
-
-    best = score(frontier, 1)
-    for size in count(2):  # ends when no path grows: a simple path cannot outgrow its graph
-        grown = (
-            frontier.join(step, (frontier["repo_id"] == step["repo_id"]) & (frontier["node"] == step["source"]))
-            .filter(~F.array_contains("visited", F.col("target")))
-            .select(frontier["repo_id"], F.col("target").alias("node"), F.array_sort(F.array_append("visited", F.col("target"))).alias("visited"))
-            .distinct()
-        )
-        frontier = cut(grown)
-        if frontier.isEmpty():
-            break
-        best = best.unionByName(score(frontier, size))
-    return best.groupBy("repo_id").agg(F.max("nodes").alias("nodes"))
+    begin = (step.select("repo_id", F.col("source").alias("node")) if roots is None else roots.select("repo_id", "node")).distinct()
+    nodes = step.select("repo_id", F.explode(F.array("source", "target")).alias("node")).unionByName(begin).distinct()
+    label = cut(nodes.join(components(step), ["repo_id", "node"], "left").select("repo_id", "node", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("many")))
+    at = lambda end: label.select("repo_id", F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    ways = cut(step.join(at("source"), ["repo_id", "source"]).join(at("target"), ["repo_id", "target"]).select("repo_id", "source", "target", "source_in", "target_in"))
+    across, inside = ways.filter("source_in <> target_in"), ways.filter("source_in = target_in AND source <> target").select("repo_id", "source", "target")
+    entry = cut(begin.withColumn("value", F.lit(0)))
+    left, lengths = cut(label.select("repo_id", "component").distinct()), None
+    while not left.isEmpty():
+        held = across.join(left.withColumnRenamed("component", "source_in"), ["repo_id", "source_in"], "left_semi").select("repo_id", F.col("target_in").alias("component")).distinct()
+        left, now = cut(left.join(held, ["repo_id", "component"], "left_semi")), left.join(held, ["repo_id", "component"], "left_anti")
+        open_ = cut(entry.join(label, ["repo_id", "node"]).join(now, ["repo_id", "component"], "left_semi").groupBy("repo_id", "node", "many").agg(F.max("value").alias("value")))
+        ends = open_.select("repo_id", "node", (F.col("value") + 1).alias("nodes"))
+        frontier = open_.filter("many").select("repo_id", "node", F.array("node").alias("visited"), "value")
+        while not frontier.isEmpty():
+            f = frontier.withColumnRenamed("node", "source").join(inside, ["repo_id", "source"]).filter(~F.array_contains("visited", F.col("target")))
+            grown = f.select("repo_id", F.col("target").alias("node"), F.array_sort(F.array_append("visited", F.col("target"))).alias("visited"), "value")
+            frontier = cut(grown.groupBy("repo_id", "node", "visited").agg(F.max("value").alias("value")))
+            ends = ends.unionByName(frontier.select("repo_id", "node", (F.col("value") + F.size("visited")).alias("nodes")))
+        done = cut(ends.groupBy("repo_id", "node").agg(F.max("nodes").alias("nodes")))
+        lengths = done if lengths is None else lengths.unionByName(done)
+        pushed = done.withColumnRenamed("node", "source").join(across, ["repo_id", "source"]).select("repo_id", F.col("target").alias("node"), F.col("nodes").alias("value"))
+        entry = cut(entry.join(open_.select("repo_id", "node"), ["repo_id", "node"], "left_anti").unionByName(pushed))
+    if lengths is None:
+        return begin.select("repo_id", F.lit(1).alias("nodes"))
+    if closing:
+        on = step.select("repo_id", F.col("source").alias("node")).distinct().withColumn("on", F.lit(1))
+        lengths = lengths.join(on, ["repo_id", "node"], "left").withColumn("nodes", F.col("nodes") + F.coalesce("on", F.lit(0)))
+    return lengths.groupBy("repo_id").agg(F.max("nodes").cast("int").alias("nodes"))
 
 
 def simple_cycles(edges: DataFrame, *, types: list[str] | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 """Graph and search operators on inputs beyond the sizes of the test tables."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from spoor.operators import fingerprint, graph, motifs, quality
@@ -43,3 +46,43 @@ def test_own_instrumentation_names(spark):
 def test_written_table_reads_back(spark, tmp_path):
     jsonl.write_table(spark.range(3), f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 3
+
+
+def plain_longest(pairs, roots, closing):
+    ways = {}
+    for a, b in pairs:
+        ways.setdefault(a, set()).add(b)
+    best = 0
+
+    def walk(node, seen):
+        nonlocal best
+        best = max(best, len(seen) + (1 if closing and ways.get(node) else 0))
+        for n in ways.get(node, ()):
+            if n not in seen:
+                walk(n, seen | {n})
+
+    for r in roots if roots is not None else list(ways):
+        walk(r, {r})
+    return best
+
+
+def test_longest_path_of_random_graphs(spark):
+    rng = random.Random(21)
+    graphs = {f"g{i}": sorted({(f"n{rng.randrange(k)}", f"n{rng.randrange(k)}") for _ in range(rng.randrange(1, 14))}) for i, k in enumerate([3, 5, 6, 7, 8] * 8)}
+    rows = [(g, f"e{i}", a, b, "delegates_to") for g, pairs in graphs.items() for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, EDGE)
+    for closing in (False, True):
+        got = {r["repo_id"]: r["nodes"] for r in graph.longest_path(df, closing=closing).collect()}
+        assert got == {g: plain_longest(p, None, closing) for g, p in graphs.items()}
+    roots = {g: rng.sample([f"n{i}" for i in range(8)], 2) for g in graphs}
+    got = graph.longest_path(df, spark.createDataFrame([(g, n) for g, ns in roots.items() for n in ns], "repo_id string, node string"))
+    assert {r["repo_id"]: r["nodes"] for r in got.collect()} == {g: plain_longest(p, roots[g], False) for g, p in graphs.items()}
+
+
+def test_layered_graph_of_two_hundred_nodes(spark):
+    """Paths through ten full layers cannot be listed (20 ** 10), but every node is a component of its own."""
+    layers = [[f"l{i}_{j:02d}" for j in range(20)] for i in range(10)]
+    pairs = [(a, b) for up, down in zip(layers, layers[1:]) for a in up for b in down] + [("l9_00", "l9_01"), ("l9_01", "l9_00")]
+    start = time.time()
+    assert graph.longest_path(edges(spark, pairs)).first()["nodes"] == 11
+    assert time.time() - start < 120
