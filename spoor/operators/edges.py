@@ -137,13 +137,14 @@ def trigger_text() -> Column:
 
 
 def heuristic_text() -> Column:
-    s, t = F.col("s"), F.col("t")
+    """What to watch for, or what edge to add, for an edge found at run time."""
+    s, t, say = F.col("s"), F.col("t"), F.format_string
     return (
-        F.when(F.col("basis").isNotNull(), F.format_string("Routing decision (%s) based on %s: '%s' -> '%s'. Consider adding structural edge.", "routing_type", "basis", s, t))
-        .when(F.col("shared_state_key").isNotNull(), F.format_string("Monitor for agents accessing the same state key '%s' — structural graph should have a shares_with edge between %s and %s", "shared_state_key", s, t))
-        .when(F.col("discovery_type") == "error_triggered_fallback", F.format_string("Monitor for delegation to '%s' when '%s' errors. Structural graph should add a conditional delegates_to edge with error_triggered=True.", t, s))
-        .when(F.col("discovery_type") == "dynamic_delegation", F.format_string("Monitor for LLM-chosen routing from '%s' to '%s'. Consider adding delegates_to edge with dynamic=True in structural graph.", s, t))
-        .otherwise(F.format_string("Framework orchestrator routes from '%s' to '%s'. This is a framework-internal path not visible in user code.", s, t)))
+        F.when(F.col("basis").isNotNull(), say("The router (%s, by %s) sends '%s' to '%s'; no structural edge says so.", "routing_type", "basis", s, t))
+        .when(F.col("shared_state_key").isNotNull(), say("State key '%s' joins %s and %s; a shares_with edge would show it.", "shared_state_key", s, t))
+        .when(F.col("discovery_type") == "error_triggered_fallback", say("Watch for '%s' taking over when '%s' fails; add a conditional delegates_to edge for errors.", t, s))
+        .when(F.col("discovery_type") == "dynamic_delegation", say("Watch what the model routes from '%s' to '%s'; add a dynamic delegates_to edge.", s, t))
+        .otherwise(say("The framework itself routes '%s' to '%s'; user code does not name this path.", s, t)))
 
 
 def implicit_sharing(events: DataFrame, edges: DataFrame) -> DataFrame:

@@ -47,6 +47,10 @@ def _any(line: Column, patterns: list[str]) -> Column:
     return line.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
+def _matching(pattern: str):
+    return lambda line: line.rlike(pattern)
+
+
 def _around(arr: Column, i: Column, before: int, after: int) -> Column:
     """Elements i-before .. i+after of an array (0-based i)."""
     start = F.greatest(i - before, F.lit(0))
@@ -69,58 +73,80 @@ def timeout_class(value: Column) -> Column:
     return F.when(value <= 120, "effective").when(value <= 300, "weak").otherwise("ineffective")
 
 
+LINE_RULES = [(c, k, rx) for c, rules in (("timeout_iteration_guards", TIMEOUTS), ("output_validation", VALIDATION), ("concurrency_controls", CONCURRENCY), ("rate_limiting_backoff", RATE_LIMIT), ("input_sanitization", SANITIZE), ("prompt_constraints", PROMPT)) for k, rx in rules]
+# what a category looks for around its match: (pattern, lines before, lines after)
+NEARBY = {"concurrency_controls": (r"global\s+\w|cls\.\w|self\.\w+\s*=", 10, 9), "rate_limiting_backoff": (r"requests\.|httpx\.|aiohttp\.", 10, 9), "input_sanitization": (r"^\s*def\s+\w+\(", 20, -1), "prompt_constraints": (r"(?i)system_prompt|system_message|SystemMessage", 5, 0)}
+LOGGING = r"logging\.(error|warning|info|exception)|print\("
+_OPEN = "array<struct<at:int,depth:int,kind:string,size:int,logs:boolean>>"
+
+
+def handlers(lines: Column) -> Column:
+    """Exception handlers of a file by one pass over its lines: place, depth, kind, lines in their body, whether these log.
+
+    A stack of indentation holds the lines that may own a handler (neither blank, comment nor handler): the nearest at
+    most as deep must open a try. Open handlers wait beside it until a line at most as deep as they are ends their body.
+    """
+    def look(x, i):
+        clause = F.trim(F.regexp_replace(F.regexp_extract(x, EXCEPT, 1), r"\s+as\s+\w+", ""))
+        names = F.transform(F.split(clause, ","), lambda n: F.trim(n))
+        kind = F.when(clause == "", "bare").when(F.arrays_overlap(names, F.array(F.lit("Exception"), F.lit("BaseException"))), "broad").otherwise("specific")
+        plain = F.ltrim(x)
+        return F.struct(
+            i.cast("int").alias("at"), _indent(x).alias("depth"), (plain == "").alias("blank"), plain.startswith("#").alias("comment"), F.when(x.rlike(EXCEPT), kind).alias("kind"), x.rlike(TRY).alias("opens"), x.rlike(LOGGING).alias("logs"))
+
+    def step(s, x):
+        owner = F.coalesce(F.try_element_at(F.filter(s["stack"], lambda b: b["depth"] <= x["depth"]), F.lit(-1))["opens"], F.lit(False))
+        ended = F.filter(s["open"], lambda h: h["depth"] >= x["depth"])
+        inside = F.transform(F.filter(s["open"], lambda h: h["depth"] < x["depth"]), lambda h: F.struct(h["at"].alias("at"), h["depth"].alias("depth"), h["kind"].alias("kind"), (h["size"] + 1).alias("size"), (h["logs"] | x["logs"]).alias("logs")))
+        new = F.array(F.struct(x["at"].alias("at"), x["depth"].alias("depth"), x["kind"].alias("kind"), F.lit(0).alias("size"), F.lit(False).alias("logs")))
+        open_ = F.when(x["kind"].isNotNull() & owner, F.concat(inside, new)).otherwise(inside)
+        block = F.concat(F.filter(s["stack"], lambda b: b["depth"] < x["depth"]), F.array(F.struct(x["depth"].alias("depth"), x["opens"].alias("opens"))))
+        stack = F.when(x["comment"] | x["kind"].isNotNull(), s["stack"]).otherwise(block)
+        moved = F.struct(stack.alias("stack"), open_.cast(_OPEN).alias("open"), F.when(F.size(ended) > 0, F.concat(s["done"], ended)).otherwise(s["done"]).alias("done"))
+        return F.when(x["blank"], s).otherwise(moved)
+
+    start = F.struct(F.array().cast("array<struct<depth:int,opens:boolean>>").alias("stack"), F.array().cast(_OPEN).alias("open"), F.array().cast(_OPEN).alias("done"))
+    return F.aggregate(F.transform(lines, look), start, step, lambda s: F.concat(s["done"], s["open"]))
+
+
 def scan_patterns(files: DataFrame) -> DataFrame:
     """files(repo_id, path, content) -> one row per defensive pattern found.
 
     `flag` is the category's own context: near shared state, near an API call, exponential,
-    from a function's parameters, or in a system prompt.
+    from a function's parameters, or in a system prompt. `text` is the whole line without its indentation.
+    A rule is first tried on the whole text of a file; the lines are tried only with rules that occur in it.
     """
-    d = files.select("repo_id", "path", lines_of(F.col("content")).alias("L"))
-    d = d.withColumn("D", F.transform("L", lambda x: _any(x, DELEGATION)))
-
-    def row(i, category, kind, flag, line, value=None):
+    whole = [F.col("content").rlike(f"(?m){rx}") for _, _, rx in LINE_RULES]
+    lines = lines_of(F.col("content"))
+    calls = F.when(_any(F.col("content"), DELEGATION), F.transform(lines, lambda x: _any(x, DELEGATION)))
+    seen = F.array(*whole, F.col("content").rlike(f"(?m){EXCEPT}"))
+    # One-element explode: the optimizer would otherwise copy these expressions into every use, once a line.
+    once = F.explode(F.array(F.struct(lines.alias("L"), seen.alias("H"), F.coalesce(calls, F.array().cast("array<boolean>")).alias("D"))))
+    d = files.select("repo_id", "path", once.alias("f")).select("repo_id", "path", "f.*").filter(F.exists("H", lambda h: h))
+
+    def row(i, category, kind, flag, line, value):
         near = F.exists(_around(F.col("D"), i, 10, 10), lambda b: b)
         return F.struct(
-            (i + 1).cast("int").alias("line_number"), F.lit(category).alias("category"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (value if value is not None else F.lit(None)).cast("bigint").alias("value"),
-            near.alias("near_boundary"), flag.alias("flag"), F.substring(F.trim(line), 1, 80).alias("text"))
-
-    no = F.lit(False)
-
-    def line_matches(x, i):
-        near = lambda rx, b, a: F.exists(_around(F.col("L"), i, b, a), lambda y: y.rlike(rx))
-        out = []
-        for k, rx in TIMEOUTS:
-            out.append(F.when(x.rlike(rx), row(i, "timeout_iteration_guards", k, no, x, F.regexp_extract(x, rx, 1).try_cast("bigint"))))
-        for k, rx in VALIDATION:
-            out.append(F.when(x.rlike(rx), row(i, "output_validation", k, no, x)))
-        for k, rx in CONCURRENCY:
-            out.append(F.when(x.rlike(rx), row(i, "concurrency_controls", k, near(r"global\s+\w|cls\.\w|self\.\w+\s*=", 10, 9), x)))
-        for k, rx in RATE_LIMIT:
-            out.append(F.when(x.rlike(rx), row(i, "rate_limiting_backoff", k, near(r"requests\.|httpx\.|aiohttp\.", 10, 9), x)))
-        for k, rx in SANITIZE:
-            out.append(F.when(x.rlike(rx), row(i, "input_sanitization", k, near(r"^\s*def\s+\w+\(", 20, -1), x)))
-        for k, rx in PROMPT:
-            before = F.get(F.split(x, rx, 2), 0)
-            out.append(F.when(x.rlike(rx) & in_string(before), row(i, "prompt_constraints", k, near(r"(?i)system_prompt|system_message|SystemMessage", 5, 0), x)))
-        return F.array_compact(F.array(*out))
-
-    def except_match(x, i):
-        clause = F.trim(F.regexp_replace(F.regexp_extract(x, EXCEPT, 1), r"\s+as\s+\w+", ""))
-        names = F.transform(F.split(clause, ","), lambda n: F.trim(n))
-        kind = F.when(clause == "", "bare").when(F.arrays_overlap(names, F.array(F.lit("Exception"), F.lit("BaseException"))), "broad").otherwise("specific")
-        e = _indent(x)
-        # the closest earlier line at this depth that is neither blank, comment nor another handler must open the try
-        level = F.filter(F.slice("L", 1, i), lambda y: (F.ltrim(y) != "") & (_indent(y) <= e) & ~F.ltrim(y).startswith("#") & ~y.rlike(EXCEPT))
-        owned = F.coalesce(F.element_at(level, -1).rlike(TRY), no)
-        rest = F.slice("L", i + 2, F.size("L"))
-        stop = F.array_min(F.filter(F.transform(rest, lambda y, j: F.when((F.ltrim(y) != "") & (_indent(y) <= e), j)), lambda j: j.isNotNull()))
-        body = F.filter(F.slice(rest, 1, F.coalesce(stop, F.size(rest))), lambda y: F.ltrim(y) != "")
-        logs = F.exists(body, lambda y: y.rlike(r"logging\.(error|warning|info|exception)|print\("))
-        return F.when(x.rlike(EXCEPT) & F.when(i > 0, owned).otherwise(no), row(i, "exception_handling_topology", kind, logs, x, F.size(body)))
-
-    per_line = F.flatten(F.transform("L", line_matches))
-    handlers = F.array_compact(F.transform("L", except_match))
-    return d.select("repo_id", "path", F.explode(F.concat(per_line, handlers)).alias("m")).select("repo_id", "path", "m.*")
+            (i + 1).cast("int").alias("line_number"), F.lit(category).alias("category"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.cast("bigint").alias("value"), near.alias("near_boundary"), flag.alias("flag"), F.trim(line).alias("text"))
+
+    def matches(n: int, category: str, kind: str, rx: str) -> Column:
+        def at(x, i):
+            found, flag, value = x.rlike(rx), F.lit(False), F.lit(None)
+            if category in NEARBY:
+                around, before, after = NEARBY[category]
+                flag = F.exists(_around(F.col("L"), i, before, after), _matching(around))
+            if category == "timeout_iteration_guards":
+                value = F.regexp_extract(x, rx, 1).try_cast("bigint")
+            if category == "prompt_constraints":
+                found = found & in_string(F.get(F.split(x, rx, 2), 0))
+            return F.when(found, row(i, category, kind, flag, x, value))
+
+        return F.when(F.col("H")[n], F.array_compact(F.transform("L", at)))
+
+    per_rule = [matches(n, *rule) for n, rule in enumerate(LINE_RULES)]
+    caught = F.transform(F.when(F.col("H")[len(LINE_RULES)], handlers(F.col("L"))), lambda h: row(h["at"], "exception_handling_topology", h["kind"], h["logs"], F.get("L", h["at"]), h["size"]))
+    none = F.array().cast(f"array<{MATCH}>")
+    return d.select("repo_id", "path", F.explode(F.concat(*[F.coalesce(m, none) for m in (*per_rule, caught)])).alias("m")).select("repo_id", "path", "m.*")
 
 
 def pattern_summary(patterns: DataFrame) -> DataFrame:

@@ -58,11 +58,13 @@ QUERIES = [
         "WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = p.repo_id AND e.source = p.s AND e.target = p.tt)", "ev", "nodes", "edges")),
     Query("f2_emergent_by_discovery", lambda c: r6(E.emergent_by_discovery(c.events, c.edges).drop("trigger_condition", "detection_heuristic")), W(
         "WITH " + _V2 + "SELECT repo_id, s AS source, tt AS target, edge_type, CAST(n AS BIGINT) AS activation_count, round(n / total_runs, 6) AS activation_rate, discovery_type, k AS shared_state_key FROM fin JOIN runs USING (repo_id)", "ev", "edges")),
-    Query("f5_heuristic_texts", lambda c: E.emergent_by_discovery(c.events, c.edges).filter("shared_state_key IS NOT NULL OR discovery_type = 'dynamic_delegation'").filter("trigger_condition NOT LIKE 'routing%'").select("repo_id", "source", "target", "trigger_condition", "detection_heuristic"), W(
-        "WITH " + _V2 + "SELECT repo_id, s AS source, tt AS target, CASE WHEN k IS NOT NULL THEN concat('both agents access state key ''', k, '''') ELSE 'LLM-chosen or dynamic routing decision' END AS trigger_condition, "
-        "CASE WHEN k IS NOT NULL THEN concat('Monitor for agents accessing the same state key ''', k, ''' — structural graph should have a shares_with edge between ', s, ' and ', tt) "
-        "ELSE concat('Monitor for LLM-chosen routing from ''', s, ''' to ''', tt, '''. Consider adding delegates_to edge with dynamic=True in structural graph.') END AS detection_heuristic "
-        "FROM fin WHERE k IS NOT NULL OR (discovery_type = 'dynamic_delegation' AND EXISTS (SELECT 1 FROM ok WHERE basis IS NULL AND ok.repo_id = fin.repo_id AND ok.s = fin.s AND ok.tt = fin.tt))", "ev", "edges")),
+    Query("f5_heuristic_texts", lambda c: E.emergent_by_discovery(c.events, c.edges).select("repo_id", "source", "target", "trigger_condition", "detection_heuristic"), W(
+        "WITH " + _V2 + ", bs AS (SELECT fin.*, (SELECT any_value(coalesce(basis, 'unknown')) FROM ok WHERE fin.k IS NULL AND ok.basis IS NOT NULL AND ok.repo_id = fin.repo_id AND ok.s = fin.s AND ok.tt = fin.tt AND NOT EXISTS (SELECT 1 FROM ok o WHERE o.basis IS NULL AND o.repo_id = fin.repo_id AND o.s = fin.s AND o.tt = fin.tt)) AS basis FROM fin) "
+        "SELECT repo_id, s AS source, tt AS target, CASE WHEN basis IS NOT NULL THEN 'routing decision (unknown) based on ' || basis WHEN k IS NOT NULL THEN concat('both agents access state key ''', k, '''') WHEN discovery_type = 'error_triggered_fallback' THEN 'error in upstream node triggered fallback delegation' "
+        "WHEN discovery_type = 'framework_internal_routing' THEN 'framework orchestrator created routing path' ELSE 'LLM-chosen or dynamic routing decision' END AS trigger_condition, "
+        "CASE WHEN basis IS NOT NULL THEN concat('The router (unknown, by ', basis, ') sends ''', s, ''' to ''', tt, '''; no structural edge says so.') WHEN k IS NOT NULL THEN concat('State key ''', k, ''' joins ', s, ' and ', tt, '; a shares_with edge would show it.') "
+        "WHEN discovery_type = 'error_triggered_fallback' THEN concat('Watch for ''', tt, ''' taking over when ''', s, ''' fails; add a conditional delegates_to edge for errors.') WHEN discovery_type = 'dynamic_delegation' THEN concat('Watch what the model routes from ''', s, ''' to ''', tt, '''; add a dynamic delegates_to edge.') "
+        "ELSE concat('The framework itself routes ''', s, ''' to ''', tt, '''; user code does not name this path.') END AS detection_heuristic FROM bs", "ev", "edges")),
     Query("f3_delegations_near_errors", lambda c: E.near_errors(c.events.filter("event_type = 'delegation.initiated'").select("repo_id", "event_id", "timestamp_ns"), c.events, 3_600_000_000_000), W(
         "SELECT repo_id, CAST(event_id AS VARCHAR) AS event_id, timestamp_ns FROM ev d WHERE event_type = 'delegation.initiated' AND EXISTS (SELECT 1 FROM ev e WHERE e.repo_id = d.repo_id AND e.event_type LIKE 'error.%' AND abs(e.timestamp_ns - d.timestamp_ns) < 3600000000000)", "ev")),
     Query("f7_implicit_sharing", lambda c: E.implicit_sharing(c.events, c.edges), W("WITH " + _IMPL.rstrip(", ") + " SELECT * FROM impl", "ev", "edges")),

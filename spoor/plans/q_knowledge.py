@@ -129,8 +129,8 @@ QUERIES = [
         "WITH d AS (SELECT repo_id, source, list(target) AS t FROM edges WHERE edge_type = 'delegates_to' GROUP BY ALL HAVING count(*) >= 3) SELECT repo_id, 'hub_and_spoke' AS motif, source AS instance, unnest(list_append(t, source)) AS node_id FROM d", "edges")),
     Query("h7_feedback_loops", lambda c: G.shortest_cycles(c.edges, types=["delegates_to", "feeds_into"]).select("repo_id", F.array_join("cycle", "->").alias("cycle")), W(
         "WITH " + _loops("edge_type IN ('delegates_to', 'feeds_into')") + " SELECT repo_id, cycle FROM lp", "edges", recursive=True)),
-    Query("h7_simple_cycles", lambda c: G.simple_cycles(c.edges, types=["delegates_to"]).select("repo_id", F.array_join("cycle", "->").alias("cycle")), W(
-        "WITH d AS (SELECT DISTINCT repo_id, source, target FROM edges WHERE edge_type = 'delegates_to'), w AS (SELECT repo_id, [source, target] AS path FROM d WHERE target > source UNION ALL SELECT w.repo_id, list_append(w.path, d.target) FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.path[-1] AND d.target > w.path[1] AND NOT list_contains(w.path, d.target)) "
+    Query("h7_simple_cycles", lambda c: G.simple_cycles(c.edges, types=["delegates_to", "feeds_into"]).select("repo_id", F.array_join("cycle", "->").alias("cycle")), W(
+        "WITH d AS (SELECT DISTINCT repo_id, source, target FROM edges WHERE edge_type IN ('delegates_to', 'feeds_into')), w AS (SELECT repo_id, [source, target] AS path FROM d WHERE target > source UNION ALL SELECT w.repo_id, list_append(w.path, d.target) FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.path[-1] AND d.target > w.path[1] AND NOT list_contains(w.path, d.target)) "
         "SELECT w.repo_id, array_to_string(path, '->') AS cycle FROM w JOIN d ON d.repo_id = w.repo_id AND d.source = w.path[-1] AND d.target = w.path[1]", "edges", recursive=True)),
     Query("h8_trust_crossings", lambda c: M.crossings(c.nodes, c.edges).select("repo_id", "edge_id"), W("SELECT repo_id, edge_id FROM edges WHERE (source = 'ext_web_api') <> (target = 'ext_web_api')", "edges")),
     Query("h1_patterns", lambda c: r6(patterns(c))),

@@ -14,9 +14,15 @@ from spoor.sources.inline import values
 from spoor.sources.tables import with_ctes as W
 
 
+def spread(c: Corpus, name: str):
+    """A table whose rows cost far more to scan than to read: dealt out where its files give fewer tasks than cores."""
+    t, cores = c.table(name), c.spark.sparkContext.defaultParallelism
+    return t if t.rdd.getNumPartitions() >= cores else t.repartition(cores)
+
+
 def files(c: Corpus, name: str = "pages", key: str = "page_id", text: str = "html"):
     """Pages, documents or conversation turns as source files of a repository."""
-    t = c.table(name)
+    t = spread(c, name)
     return t.select(F.lit(name).alias("repo_id"), F.concat(F.lit(f"{name}/"), F.col(key).cast("string"), F.lit(".py")).alias("path"), F.col(text).alias("content"))
 
 
@@ -37,9 +43,14 @@ _CODE = [
 ]
 
 
+def _framework():
+    """The framework of a row, by its id."""
+    return F.get(F.array(*[F.lit(f) for f in ("crewai", "langgraph", "autogen", "custom")]), (F.col("doc_id") % 4).cast("int"))
+
+
 def code_files(c: Corpus):
     text = F.concat_ws("\n", *[F.expr(t) for t in _CODE])
-    return c.table("part").select(F.concat(F.lit("brand_"), "p_brand").alias("repo_id"), F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
+    return spread(c, "part").select(F.concat(F.lit("brand_"), "p_brand").alias("repo_id"), F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
 
 
 _PT = "concat('brand_', p_brand) AS repo_id, concat('src/', CAST(p_partkey AS VARCHAR), '.py') AS path"
@@ -154,7 +165,10 @@ QUERIES = [
     Query("j32_framework_hits", lambda c: S.framework_hits(code_files(c)), (
         "SELECT concat('brand_', p_brand) AS repo_id, 'crewai' AS framework, CAST(sum(2 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM part GROUP BY 1 UNION ALL SELECT concat('brand_', p_brand), 'langgraph', count(*) FROM part WHERE p_size % 2 = 1 GROUP BY 1")),
     Query("j34_agent_roles", lambda c: code_files(c).select("path", F.array_join(S.agent_roles(F.col("content")), ",").alias("roles")), "SELECT concat('src/', CAST(p_partkey AS VARCHAR), '.py') AS path, p_name AS roles FROM part"),
-    Query("j35_variants", lambda c: files(c, "documents", "doc_id", "text").select("path", S.variant(F.col("content"), F.lit("langgraph")).alias("variant")), "SELECT 'documents/' || doc_id || '.py' AS path, CASE WHEN contains(lower(text), 'conditional') THEN 'conditional' ELSE 'branching' END AS variant FROM documents"),
+    Query("j35_variants", lambda c: spread(c, "documents").select("doc_id", S.variant(F.coalesce("text", F.lit("")), _framework()).alias("variant")), (
+        "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN contains(t, 'allow_delegation') OR contains(lower(t), 'delegation') THEN 'delegation' WHEN contains(lower(t), 'tool') AND (contains(t, '@tool') OR contains(t, 'BaseTool')) THEN 'tooled' WHEN roles >= 3 THEN 'reviewed' ELSE 'delegation' END "
+        "WHEN 1 THEN CASE WHEN contains(lower(t), 'conditional') THEN 'conditional' ELSE 'branching' END WHEN 2 THEN CASE WHEN contains(t, 'GroupChat') THEN 'groupchat' ELSE 'twoway' END ELSE 'delegation' END AS variant "
+        "FROM (SELECT doc_id, coalesce(text, '') AS t, len(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?s)Agent\\s*\\([^)]*role\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), lambda r: trim(r))), lambda r: r <> '')) AS roles FROM documents)")),
     Query("j37_definitions", lambda c: S.definitions(code_files(c), "Agent", ["role", "goal", "backstory"], "role"), f"SELECT {_PT}, p_name AS role, 'sell example' AS goal, '' AS backstory FROM part"),
     # ---- semantic passes
     Query("l1_explicit_delegations", lambda c: L.explicit_delegations(c.events).select("run_id", "initiated_id", "completed_id"), W(

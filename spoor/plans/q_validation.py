@@ -96,8 +96,8 @@ QUERIES = [
         "bool_or(event_type = 'llm.call_end') AS l, bool_or(event_type LIKE 'agent.task_%') AS li, bool_or(event_type NOT IN ('execution.start', 'error.occurred', 'error.propagated')) AS m FROM ev GROUP BY ALL) SELECT repo_id, CASE WHEN ag >= 2 AND h AND f AND r THEN 'RICH' WHEN l AND li THEN 'BASIC' WHEN l THEN 'THIN' WHEN NOT m THEN 'EMPTY' ELSE 'THIN' END AS grade FROM a", "ev")),
     Query("b20_graph_topology", lambda c: A.graph_topology(c.nodes, c.edges), W(
         "SELECT repo_id, CASE WHEN coalesce((SELECT bool_or(edge_type = 'delegates_to') FROM edges e WHERE e.repo_id = n.repo_id), false) THEN 'with_delegation' WHEN (SELECT max(d) FROM (SELECT count(*) AS d FROM edges e WHERE e.repo_id = n.repo_id AND e.source LIKE 'agent_%' GROUP BY source)) > 2 THEN 'hub_and_spoke' ELSE 'sequential_5_agent' END AS topology FROM (SELECT DISTINCT repo_id FROM nodes) n", "nodes", "edges")),
-    Query("b17_topology_by_tier", lambda c: R.topology_by_tier(A.graph_topology(c.nodes, c.edges.filter("edge_type <> 'delegates_to'")), c.nodes.groupBy("repo_id").agg(F.when(F.min("framework") == "crewai", 1).when(F.min("framework") == "autogen", 2).alias("tier"))), W(
-        "WITH t AS (SELECT repo_id, CASE WHEN (SELECT max(d) FROM (SELECT count(*) AS d FROM edges e WHERE e.repo_id = n.repo_id AND e.source LIKE 'agent_%' AND edge_type <> 'delegates_to' GROUP BY source)) > 2 THEN 'hub_and_spoke' ELSE 'sequential_5_agent' END AS topology, framework FROM (SELECT DISTINCT repo_id, framework FROM nodes) n) "
+    Query("b17_topology_by_tier", lambda c: R.topology_by_tier(A.graph_topology(c.nodes, c.edges), c.nodes.groupBy("repo_id").agg(F.when(F.min("framework") == "crewai", 1).when(F.min("framework") == "autogen", 2).alias("tier"))), W(
+        "WITH t AS (SELECT repo_id, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND edge_type = 'delegates_to') THEN 'with_delegation' WHEN (SELECT max(d) FROM (SELECT count(*) AS d FROM edges e WHERE e.repo_id = n.repo_id AND e.source LIKE 'agent_%' GROUP BY source)) > 2 THEN 'hub_and_spoke' ELSE 'sequential_5_agent' END AS topology, framework FROM (SELECT DISTINCT repo_id, framework FROM nodes) n) "
         "SELECT topology, count(*) FILTER (framework <> 'autogen') AS tier_1, count(*) FILTER (framework = 'autogen') AS tier_2, count(*) AS total FROM t GROUP BY 1", "nodes", "edges")),
     Query("b25_multi_run_stats", lambda c: R.multi_run_stats(c.events), W("WITH p AS (SELECT repo_id, count(DISTINCT run_id) AS r FROM ev GROUP BY 1) SELECT count(*) AS repos, count(*) FILTER (r > 1) AS repos_multi_run, CAST(sum(r) AS BIGINT) AS runs_total FROM p", "ev")),
     Query("b26_score_distribution", lambda c: r6(R.score_distribution(c.table("documents").select("doc_id", F.col("n_chars"), F.length("source").alias("source_len")), ["n_chars", "source_len"]), 4), (

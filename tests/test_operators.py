@@ -229,8 +229,9 @@ def test_discovery_equals_greedy(spark):
             left.sort(key=lambda p: (-value(p, counts, seen), p["repo_id"]))
         p = left.pop(0)
         picked.append(p["repo_id"])
-        for k, n in selection.coverage_counts([p]).items():
-            counts[k] = counts.get(k, 0) + n
+        band = next((b for b, (lo, hi, _) in selection.COMPLEXITY.items() if lo <= p["agent_count"] <= hi), None)
+        for k in [f"fw_{p['framework']}", *([f"cx_{band}"] if band else []), *[f"finding_{f}" for f in p["finding_ids"]], *[f"ctrl_with_{c}" for c in p["present_control_types"]]]:
+            counts[k] = counts.get(k, 0) + 1
         seen |= {p["topology_hash"]} - {""}
     df = spark.createDataFrame([tuple(p.values()) for p in repos], "repo_id string, framework string, agent_count int, finding_ids array<string>, present_control_types array<string>, topology_hash string, estimated_runnability double, xcomp_findings array<string>")
     got = [r["repo_id"] for r in selection.select_for_discovery(df, 60).orderBy("pick").collect()]
