@@ -323,17 +323,16 @@ def edge_validation(edges: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def dead_reason_text(validated: DataFrame) -> DataFrame:
-    """The sentence that goes with each dead-edge reason."""
+    """`validated` with a sentence for each dead-edge reason (null for edges that were used)."""
     s, t = F.col("source"), F.col("target")
-    text = (
-        F.when(F.col("dead_reason") == "source_never_activated", F.format_string("'%s' did not execute in any run", s))
-        .when(F.col("dead_reason") == "target_never_activated", F.format_string("'%s' did not execute in any run", t))
-        .when(F.col("dead_reason") == "shared_state_not_used", F.lit("both nodes ran but shared state not accessed"))
-        .when(F.col("dead_reason") == "guardrail_never_reached", F.format_string("guardrail '%s' never evaluated", t))
-        .when(F.col("dead_reason") == "conditional_branch_not_taken", F.lit("routing always chose other targets"))
-        .when(F.col("dead_reason") == "path_not_chosen", F.lit("both nodes ran but delegation never occurred"))
-    )
-    return validated.withColumn("dead_reason_text", F.concat(F.col("dead_reason"), F.lit(": "), text))
+    saying = {
+        "source_never_activated": F.concat(s, F.lit(" never ran")), "target_never_activated": F.concat(t, F.lit(" never ran")), "shared_state_not_used": F.lit("both ends ran, the state between them stayed untouched"),
+        "guardrail_never_reached": F.concat(F.lit("no run reached "), t), "conditional_branch_not_taken": F.lit("the router sent every run elsewhere"), "path_not_chosen": F.lit("both ends ran without a handover"),
+    }
+    text = F.lit(None).cast("string")
+    for reason, words in saying.items():
+        text = F.when(F.col("dead_reason") == reason, words).otherwise(text)
+    return validated.withColumn("dead_reason_text", text)
 
 
 def activation_by_type(validated: DataFrame) -> DataFrame:

@@ -191,3 +191,50 @@ def edge_semantics(p1: DataFrame) -> DataFrame:
     a = p1.groupBy("repo_id", "source", "target").agg(F.avg(F.coalesce("hedging_preserved", F.lit(False)).cast("int")).alias("hedging_preservation_rate"), F.avg(F.coalesce("factual_additions_detected", F.lit(False)).cast("int")).alias("factual_addition_rate"),
                                                      F.avg((~F.coalesce("hedging_preserved", F.lit(False)) & F.coalesce("factual_additions_detected", F.lit(False))).cast("int")).alias("drift_rate"), F.count(F.lit(1)).alias("evaluation_count"))
     return a.join(top, ["repo_id", "source", "target"])
+
+
+# ---- findings of the passes -----------------------------------------------------------
+# fixed values: finding -> (name, severity)
+SEMANTIC_FINDINGS = {
+    "STRAT-SD-001": ("Semantic Drift at Trust Boundary", "high"), "STRAT-HC-001": ("Hallucination Propagation Chain", "critical"), "STRAT-CE-001": ("Confidence Escalation Under Failure", "high"),
+    "STRAT-SC-001": ("Semantic Inconsistency Across Runs", "medium"), "STRAT-TV-001": ("Topological Vulnerability Concentration", "high"),
+}
+
+
+def drifting_edges(fidelity: DataFrame, above: float = 0.5, least: int = 2) -> DataFrame:
+    """(repo_id, source, target, drift_rate, mode, measurements): edges whose handovers mostly lose hedging and gain facts.
+
+    fidelity(repo_id, source, target, ord, hedging_preserved, factual_additions, mode, failed); answers that failed do not
+    count. `mode` is the most frequent failure mode, the one seen first (by ord, then name) on a tie.
+    """
+    ok = fidelity.filter(~F.coalesce("failed", F.lit(False)))
+    drift = ~F.coalesce("hedging_preserved", F.lit(False)) & F.coalesce("factual_additions", F.lit(False))
+    key = ["repo_id", "source", "target"]
+    modes = ok.groupBy(*key, F.coalesce("mode", F.lit("unknown")).alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("since"), count_if(drift).alias("drifts"))
+    best = F.min_by("mode", F.struct((-F.col("n")).alias("n"), "since", "mode"))
+    per = modes.groupBy(*key).agg(F.sum("n").alias("measurements"), F.sum("drifts").alias("drifts"), best.alias("mode"))
+    return per.withColumn("drift_rate", F.col("drifts") / F.col("measurements")).filter((F.col("measurements") >= least) & (F.col("drift_rate") > above)).select(*key, F.round("drift_rate", 2).alias("drift_rate"), "mode", "measurements")
+
+
+def semantic_findings(fidelity: DataFrame, chains: DataFrame, escalations: DataFrame, stability: DataFrame, vulnerability: DataFrame) -> DataFrame:
+    """(repo_id, finding_id, finding_name, severity, subject, measure): what the five passes found, one row a place.
+
+    subject is the edge ('source->target'), the run or the node. chains(repo_id, run_id, information_accretion,
+    chain_fidelity); escalations(repo_id, run_id, node, compensatory_assertion, fabrication_risk, had_preceding_errors,
+    call_count); stability(repo_id, node, stability_score); vulnerability(repo_id, node, vulnerability_score,
+    defense_count). Missing scores count as harmless.
+    """
+    one = F.lit(1.0)
+    found = {
+        "STRAT-SD-001": drifting_edges(fidelity).select("repo_id", F.concat("source", F.lit("->"), "target").alias("subject"), F.col("drift_rate").alias("measure")),
+        "STRAT-HC-001": chains.filter(F.coalesce("information_accretion", F.lit(False)) & (F.coalesce("chain_fidelity", one) < 0.5)).select("repo_id", F.col("run_id").alias("subject"), F.col("chain_fidelity").alias("measure")),
+        "STRAT-CE-001": escalations.filter(F.coalesce("compensatory_assertion", F.lit(False)) & (F.col("fabrication_risk") == "high") & F.coalesce("had_preceding_errors", F.lit(False))).select("repo_id", F.concat_ws("/", "run_id", "node").alias("subject"), F.col("call_count").cast("double").alias("measure")),
+        "STRAT-SC-001": stability.filter(F.coalesce("stability_score", one) < 0.5).select("repo_id", F.col("node").alias("subject"), F.col("stability_score").alias("measure")),
+        "STRAT-TV-001": vulnerability.filter((F.coalesce("vulnerability_score", F.lit(0.0)) > 0.7) & (F.coalesce("defense_count", F.lit(0)) == 0)).select("repo_id", F.col("node").alias("subject"), F.col("vulnerability_score").alias("measure")),
+    }
+    out = None
+    for finding, rows in found.items():
+        name, severity = SEMANTIC_FINDINGS[finding]
+        part = rows.select("repo_id", F.lit(finding).alias("finding_id"), F.lit(name).alias("finding_name"), F.lit(severity).alias("severity"), "subject", F.col("measure").cast("double").alias("measure"))
+        out = part if out is None else out.unionByName(part)
+    return out

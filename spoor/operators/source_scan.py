@@ -208,13 +208,23 @@ def agent_roles(content: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(content, F.lit(r"(?s)Agent\s*\([^)]*role\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)), lambda r: F.trim(r)), lambda r: r != ""))
 
 
+# fixed values: (framework, variant, texts of which one occurs as written, texts of which one occurs in any case, roles at least);
+# the first rule of a framework that holds names its variant, an empty list asks for nothing
+VARIANT_RULES = [
+    ("crewai", "delegation", [], ["allow_delegation", "delegation"], 0), ("crewai", "tooled", ["@tool", "BaseTool"], ["tool"], 0), ("crewai", "reviewed", [], [], 3), ("crewai", "delegation", [], [], 0),
+    ("langgraph", "conditional", [], ["conditional"], 0), ("langgraph", "branching", [], [], 0), ("autogen", "groupchat", ["GroupChat"], [], 0), ("autogen", "twoway", [], [], 0),
+]
+
+
 def variant(content: Column, framework: Column) -> Column:
-    """Topology variant by keyword rules on a repository's source text."""
-    low = F.lower(content)
-    crew = (F.when(content.contains("allow_delegation") | low.contains("delegation"), "delegation").when(low.contains("tool") & (content.contains("@tool") | content.contains("BaseTool")), "tooled")
-            .when(F.size(agent_roles(content)) >= 3, "reviewed").otherwise("delegation"))
-    return (F.when(framework == "crewai", crew).when(framework == "langgraph", F.when(low.contains("conditional"), "conditional").otherwise("branching"))
-            .when(framework == "autogen", F.when(content.contains("GroupChat"), "groupchat").otherwise("twoway")).otherwise("delegation"))
+    """Topology variant of a source text by the rules of its framework; 'delegation' for other frameworks."""
+    out = F.lit("delegation")
+    for owner, name, exact, any_case, roles in reversed(VARIANT_RULES):
+        holds = framework == owner
+        for words, text in ((exact, content), (any_case, F.lower(content))):
+            holds = holds & text.rlike("|".join(words)) if words else holds
+        out = F.when(holds & (F.size(agent_roles(content)) >= roles) if roles else holds, name).otherwise(out)
+    return out
 
 
 def string_param(block: Column, name: str) -> Column:

@@ -202,7 +202,9 @@ QUERIES = [
     Query("i35_positive_signals", lambda c: P.positive_signals(c.nodes, c.edges, fps(c)).drop("shallow_delegation"), W(
         "SELECT repo_id, true AS guardrails, false AS human_checkpoint, coalesce((SELECT bool_or(edge_type = 'feeds_into') FROM edges e WHERE e.repo_id = r.repo_id), false) AS observability, coalesce((SELECT count(DISTINCT source) < 2 FROM edges e WHERE e.repo_id = r.repo_id AND edge_type = 'writes_to'), true) AS no_shared_state, true AS single_framework, "
         "EXISTS (SELECT 1 FROM edges e JOIN nodes n ON n.repo_id = e.repo_id AND n.node_id = e.source WHERE e.repo_id = r.repo_id AND e.target = 'ext_web_api' AND n.strategy IS NOT NULL) AS externals_guarded, (SELECT count(*) FROM edges e WHERE e.repo_id = r.repo_id) <= 18 AS low_complexity FROM (SELECT DISTINCT repo_id FROM nodes) r", "nodes", "edges")),
-    Query("i37_behavior_texts", lambda c: risks(c).select("repo_id", "precondition", P.behavior_text().alias("text"))),
+    Query("i37_behavior_texts", lambda c: risks(c).select("repo_id", "precondition", P.behavior_text().alias("text")), W(
+        "WITH " + _RISK.rstrip(", ") + " SELECT repo_id, rk.precondition, format('{:.1f}', probability * 100) || ' % of ' || sample_size || ' repositories of this shape showed it; ' || CASE rk.severity_label WHEN 'high' THEN 'failures spread to other parts' WHEN 'medium' THEN 'failures stayed within their part' WHEN 'low' THEN 'failures were mostly caught where they arose' ELSE 'how far failures went was not measured' END AS text "
+        "FROM (SELECT DISTINCT repo_id, precondition, severity_label FROM rk) rk JOIN mn USING (precondition)", "evl", "nodes", "pre", "edges")),
     Query("i39_similar_outcomes", lambda c: r6(P.similar_outcomes(motif_nodes(c), patterns(c))), W(
         "WITH " + _BEH + _MO + "rel AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{m}')" for p, ms in P.PRECONDITION_MOTIFS.items() for m in ms) + ") AS z(precondition, motif)), fr AS (SELECT motif, avg(CAST(failed AS INT)) AS failure_rate FROM mr JOIN rp USING (repo_id) GROUP BY 1), "
         "x AS (SELECT *, row_number() OVER (PARTITION BY motif ORDER BY repo_id) AS r FROM mr QUALIFY r <= 5) SELECT precondition, motif, repo_id, round(failure_rate, 6) AS failure_rate FROM rel JOIN x USING (motif) JOIN fr USING (motif) QUALIFY row_number() OVER (PARTITION BY precondition ORDER BY motif, r) <= 10", "evl", "nodes", "edges", recursive=True)),

@@ -238,6 +238,9 @@ QUERIES = [
         "SELECT e.repo_id, e.edge_id, source, target, edge_type, coalesce(n, 0) AS traversal_count, round(coalesce(r, 0) / total_runs, 6) AS activation_rate, n IS NULL AS never_activated, round(coalesce(sz, 0), 6) AS avg_data_size_bytes, coalesce(mm, 0) AS schema_mismatch_count, "
         "coalesce(nd, 0) AS null_data_count, coalesce(er, 0) AS errors_traversed, coalesce(et, '') AS error_types, coalesce(im, 0) AS downstream_impact, round(coalesce(la, 0), 6) AS latency_contribution_ms, round(cr, 6) AS condition_true_rate, round(1 - cr, 6) AS condition_false_rate "
         "FROM edges e JOIN runs USING (repo_id) LEFT JOIN m USING (repo_id, edge_id)", "evl", "nodes", "edges")),
+    Query("e16_dead_reason_texts", lambda c: O.dead_reason_text(O.edge_validation(c.edges, c.events)).select("repo_id", "edge_id", "dead_reason_text"), W(
+        "WITH " + VAL + "SELECT repo_id, edge_id, CASE dead_reason WHEN 'source_never_activated' THEN source || ' never ran' WHEN 'target_never_activated' THEN target || ' never ran' WHEN 'shared_state_not_used' THEN 'both ends ran, the state between them stayed untouched' WHEN 'guardrail_never_reached' THEN 'no run reached ' || target "
+        "WHEN 'conditional_branch_not_taken' THEN 'the router sent every run elsewhere' WHEN 'path_not_chosen' THEN 'both ends ran without a handover' END AS dead_reason_text FROM val", "ev", "edges")),
     Query("e15_edge_validation", lambda c: r6(O.edge_validation(c.edges, c.events)), W(
         "WITH " + VAL + "SELECT repo_id, edge_id, source, target, edge_type, activation_count, round(activation_rate, 6) AS activation_rate, dead_reason FROM val", "ev", "edges")),
     Query("e15_activation_by_type", lambda c: r6(O.activation_by_type(O.edge_validation(c.edges, c.events))), W(
