@@ -51,7 +51,7 @@ def output_signature(df: DataFrame, text: str) -> DataFrame:
     has = lambda *k: F.arrays_overlap(keys, F.array(*[F.lit(x) for x in k]))
     kind = (F.when(F.col("_m").isNull(), F.when(F.length(t) > 500, "long_text").otherwise("short_text")).when(has("label", "class", "category", "classification", "type", "intent"), "classification")
             .when(has("action", "decision", "next_step", "route"), "routing_decision").when(has("score", "rating", "confidence", "probability"), "scored_output").otherwise("structured_json"))
-    fields = F.transform_values(F.map_filter("_m", lambda k, v: F.lower(k).isin(CLASS_KEYS)), lambda k, v: F.substring(v, 1, 100))
+    fields = F.transform_values(F.map_filter("_m", lambda k, v: F.lower(k).isin(CLASS_KEYS)), lambda k, v: v)
     return d.withColumn("hash", F.sha2(t, 256)).withColumn("size_bytes", F.octet_length(t)).withColumn("content_type", kind).withColumn(
         "structure", F.when(F.col("_v").isNotNull(), F.schema_of_variant("_v"))).withColumn("classification_fields", F.when(F.size(fields) > 0, fields)).drop("_v", "_m")
 

@@ -36,7 +36,7 @@ def error_seeds(events: DataFrame) -> DataFrame:
     et = F.col("event_type")
     return events.filter(et.startswith("error.") | ((et == "agent.task_end") & (F.col("payload.status") == "error"))).select(
         *SEED, "timestamp_ns", _where(with_error_id=True).alias("source"), F.coalesce("payload.error_type", F.lit("unknown")).alias("error_type"),
-        F.substring(F.coalesce("payload.error_message", F.lit("")), 1, 200).alias("error_message"), F.col("payload.swallowed").alias("told_swallowed")).filter("source IS NOT NULL")
+        F.coalesce("payload.error_message", F.lit("")).alias("error_message"), F.col("payload.swallowed").alias("told_swallowed")).filter("source IS NOT NULL")
 
 
 def first_seed_per_node(events: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def delegation_chain(events: DataFrame) -> DataFrame:
     f = o.groupBy(*RUN, F.col(NID).alias("node")).agg(F.min(F.struct("timestamp_ns", "event_id", F.col("payload.output_preview").alias("preview"))).alias("f")).select(*RUN, "node", "f.timestamp_ns", "f.event_id", "f.preview")
     p = scan(f, RUN, "timestamp_ns", {"position": ("sum", F.lit(1))}, tie=["event_id"])
     n = f.groupBy(*RUN).agg(F.count(F.lit(1)).alias("links"))
-    return p.join(n, RUN).filter("links >= 2").select(*RUN, "position", "links", "node", F.substring("preview", 1, 400).alias("output"))
+    return p.join(n, RUN).filter("links >= 2").select(*RUN, "position", "links", "node", F.col("preview").alias("output"))
 
 
 def chain_text(chain: DataFrame) -> DataFrame:
@@ -122,22 +122,21 @@ def leading_runs(events: DataFrame, k: int) -> DataFrame:
 
 
 def output_pairs(events: DataFrame, from_rank: int = 4) -> DataFrame:
-    """Outputs of the first run against the repeats per node, at least 20 characters, 500 at most.
+    """Outputs of the first run against the repeats per node, whole, at least 20 characters.
 
     Repeats are all runs after the first `from_rank` - 1.
     """
     lead = leading_runs(events, from_rank - 1)
     o = node_outputs(events).filter(F.length("preview") >= 20)
-    cut = F.substring("preview", 1, 500)
-    a = o.join(lead.filter("rank = 1"), RUN, "left_semi").select("repo_id", "node", cut.alias("first_output"))
-    b = o.join(lead, RUN, "left_anti").select("repo_id", "node", "run_id", cut.alias("other_output"))
+    a = o.join(lead.filter("rank = 1"), RUN, "left_semi").select("repo_id", "node", F.col("preview").alias("first_output"))
+    b = o.join(lead, RUN, "left_anti").select("repo_id", "node", "run_id", F.col("preview").alias("other_output"))
     return b.join(a, ["repo_id", "node"])
 
 
 def escalation_calls(events: DataFrame, k: int = 5) -> DataFrame:
     """The first five calls of each node and run, with a flag for an earlier error of the node."""
     et = F.col("event_type")
-    e = events.filter((et.startswith("error.") | (et == "llm.call_end")) & nz(F.col(NID)).isNotNull()).select(*RUN, F.col(NID).alias("node"), "event_id", "timestamp_ns", (et == "llm.call_end").alias("is_call"), F.substring(F.coalesce("payload.output_preview", F.lit("")), 1, 300).alias("preview"))
+    e = events.filter((et.startswith("error.") | (et == "llm.call_end")) & nz(F.col(NID)).isNotNull()).select(*RUN, F.col(NID).alias("node"), "event_id", "timestamp_ns", (et == "llm.call_end").alias("is_call"), F.coalesce("payload.output_preview", F.lit("")).alias("preview"))
     err = e.filter("NOT is_call").groupBy(*RUN, "node").agg(F.min("timestamp_ns").alias("first_error"))
     n = e.filter("is_call").groupBy(*RUN, "node").agg(F.count(F.lit(1)).alias("calls")).filter("calls >= 2")
     c = scan(e.filter("is_call"), [*RUN, "node"], "timestamp_ns", {"position": ("sum", F.lit(1))}, tie=["event_id"]).filter(F.col("position") < k)

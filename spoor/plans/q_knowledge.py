@@ -193,7 +193,8 @@ QUERIES = [
         "s AS (SELECT query_id, vec_id AS id, sum(q.v * b.v) / (sqrt(sum(q.v * q.v)) * sqrt(sum(b.v * b.v))) AS sim FROM q JOIN b USING (pos) GROUP BY ALL) SELECT query_id, id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 10")),
     Query("i21_archetypes", lambda c: r6(I.archetype_prevalence(classified(c))), W(
         "WITH " + _ARC + "n AS (SELECT archetype, count(*) AS repos FROM ar GROUP BY 1) SELECT archetype, repos, round(repos / sum(repos) OVER (), 6) AS prevalence FROM n", "nodes", "edges", recursive=True)),
-    Query("i22_i24_matches", lambda c: r6(P.best_matches(P.exact_matches(I.repo_motifs(motif_nodes(c), c.nodes), patterns(c)), P.archetype_matches(classified(c), I.archetype_prevalence(classified(c)), patterns(c))))),
+    Query("i22_i24_matches", lambda c: r6(P.best_matches(P.exact_matches(I.repo_motifs(motif_nodes(c), c.nodes), patterns(c)), P.archetype_matches(classified(c), I.archetype_prevalence(classified(c)), patterns(c)))), W(
+        "WITH " + _ARC + "pv AS (SELECT archetype, count(*) / sum(count(*)) OVER () AS p FROM ar GROUP BY 1) SELECT repo_id, 'pat_' || motif AS pattern_id, 1::DOUBLE AS similarity_score, 'exact_motif' AS match_type FROM mr UNION ALL SELECT repo_id, 'archetype_' || archetype, round(p, 6), 'archetype' FROM ar JOIN pv USING (archetype) WHERE archetype <> 'generic'", "nodes", "edges", recursive=True)),
     Query("i26_i28_match_context", lambda c: r6(P.match_context(P.exact_matches(I.repo_motifs(motif_nodes(c), c.nodes), patterns(c)), H.fragility_map(fragile(c)), c.preconditions, probs(c)))),
     Query("i29_overall_risk", lambda c: r6(P.overall_risk(risks(c))), W(
         "WITH " + _RISK.rstrip(", ") + " SELECT repo_id, round(score, 6) AS overall_risk_score, n AS predicted_risks, risk_level FROM ov", "evl", "nodes", "pre", "edges")),

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from spoor.constants import PRECONDITION_FINDING
 from spoor.operators import baselines as B
 from spoor.operators import edges as E
 from spoor.operators import failure as X
@@ -182,7 +183,8 @@ QUERIES = [
     Query("n58_frameworks", lambda c: N.framework_census(repos(c)), "WITH " + _RP.rstrip(", ") + " SELECT framework, count(*) AS repos, count(*) FILTER (len(finding_ids) > 0) AS with_findings FROM rp GROUP BY 1"),
     # ---- records and feedback
     Query("g32_behavioral_records", lambda c: _record(c).select("repo_id", "schema_version", F.col("execution_metadata.runs").alias("runs"), F.col("edge_validation.structural_edges_dead").alias("dead_edges"), F.col("node_activation.conditional").alias("conditional_nodes"), F.col("error_propagation.traces").alias("traces"), F.size("monitoring_baselines").alias("baselines"))),
-    Query("o3_finding_ids", lambda c: c.preconditions.select("precondition", K.finding_id(F.col("precondition")).alias("finding_id")).distinct()),
+    Query("o3_finding_ids", lambda c: c.preconditions.select("precondition", K.finding_id(F.col("precondition")).alias("finding_id")).distinct(), W(
+        "SELECT DISTINCT precondition, CASE precondition " + " ".join(f"WHEN '{p}' THEN '{f}'" for p, f in PRECONDITION_FINDING.items()) + " ELSE precondition END AS finding_id FROM pre", "pre")),
     Query("o4_emergent_heuristics", lambda c: r6(K.emergent_heuristics(emergent(c)))),
     Query("o5_edge_confidence", lambda c: r6(K.edge_confidence(V.activation_by_type(validated(c)))), W(
         "WITH " + VAL.rstrip() + ", t AS (SELECT repo_id, edge_type, count(*) FILTER (activation_count > 0) / count(*) AS s FROM val GROUP BY ALL) SELECT edge_type, round(avg(s), 6) AS mean_rate, round(min(s), 6) AS min_rate, round(max(s), 6) AS max_rate, count(*) AS sample_size FROM t GROUP BY 1", "ev", "edges")),

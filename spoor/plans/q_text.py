@@ -161,7 +161,10 @@ QUERIES = [
     Query("j27_email_domains", lambda c: K.text_emails(c.table("documents"), "doc_id", "text").groupBy(K.email_domain(F.col("email")).alias("domain"), K.is_personal(F.col("email")).alias("personal")).agg(F.count(F.lit(1)).alias("n")), (
         "WITH e AS (SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS email FROM documents) WHERE NOT regexp_matches(lower(email), '(noreply|no-reply|users\\.noreply\\.github\\.com)')) "
         "SELECT lower(string_split(email, '@')[-1]) AS domain, lower(string_split(email, '@')[-1]) IN (" + ", ".join(f"'{d}'" for d in K.PERSONAL) + ") AS personal, count(*) AS n FROM e GROUP BY ALL")),
-    Query("j30_best_contacts", lambda c: K.best_contact(K.merged_contacts(_people(c, "documents", "doc_id", "source", "developer"), _people(c, "documents", "doc_id", "lang", "maintainer")))),
+    Query("j30_best_contacts", lambda c: K.best_contact(K.merged_contacts(_people(c, "documents", "doc_id", "source", "developer"), _people(c, "documents", "doc_id", "lang", "maintainer"))), (
+        "WITH e AS (SELECT DISTINCT doc_id, source, lang, email FROM (SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS email FROM documents) WHERE NOT regexp_matches(lower(email), '(noreply|no-reply|users\\.noreply\\.github\\.com)')), "
+        "a AS (SELECT source AS repo_id, lower(email) AS email, 'developer' AS role, 0 AS s FROM e UNION ALL SELECT lang, lower(email), 'maintainer', 1 FROM e), m AS (SELECT repo_id, email, arg_min(role, s) AS role FROM a GROUP BY ALL) "
+        "SELECT repo_id, email, role FROM m QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY string_split(email, '@')[-1] IN (" + ", ".join(f"'{d}'" for d in K.PERSONAL) + "), CASE role WHEN 'maintainer' THEN 4 ELSE 5 END, email) = 1")),
     Query("j32_framework_hits", lambda c: S.framework_hits(code_files(c)), (
         "SELECT concat('brand_', p_brand) AS repo_id, 'crewai' AS framework, CAST(sum(2 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM part GROUP BY 1 UNION ALL SELECT concat('brand_', p_brand), 'langgraph', count(*) FROM part WHERE p_size % 2 = 1 GROUP BY 1")),
     Query("j34_agent_roles", lambda c: code_files(c).select("path", F.array_join(S.agent_roles(F.col("content")), ",").alias("roles")), "SELECT concat('src/', CAST(p_partkey AS VARCHAR), '.py') AS path, p_name AS roles FROM part"),
@@ -190,7 +193,9 @@ QUERIES = [
     Query("l5_delegation_chain", lambda c: L.delegation_chain(c.events), W(
         "WITH f AS (SELECT repo_id, run_id, source_id AS node, arg_min(preview, timestamp_ns) AS pv, min(timestamp_ns) AS ts FROM ev WHERE event_type = 'agent.task_end' AND preview IS NOT NULL AND source_id <> '' GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts) - 1 AS position, count(*) OVER (PARTITION BY run_id) AS links FROM f) "
         "SELECT repo_id, run_id, position, links, node, pv AS output FROM g WHERE links >= 2", "ev")),
-    Query("l8_chain_texts", lambda c: L.chain_text(L.delegation_chain(c.events))),
+    Query("l8_chain_texts", lambda c: L.chain_text(L.delegation_chain(c.events)), W(
+        "WITH f AS (SELECT repo_id, run_id, source_id AS node, arg_min(preview, timestamp_ns) AS pv, min(timestamp_ns) AS ts FROM ev WHERE event_type = 'agent.task_end' AND preview IS NOT NULL AND source_id <> '' GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts) - 1 AS p, count(*) OVER (PARTITION BY run_id) AS links FROM f), "
+        "t AS (SELECT repo_id, run_id, string_agg('AGENT ' || CASE WHEN p = 0 THEN 'FIRST' WHEN p = links - 1 THEN 'LAST' ELSE 'MIDDLE (' || (p + 1) || '/' || links || ')' END || ' (' || string_split(node, ':')[-1] || ') output:' || chr(10) || pv, chr(10) || chr(10) ORDER BY p) AS text, max(links) AS links FROM g WHERE links >= 2 GROUP BY ALL) SELECT repo_id, run_id, text, links FROM t WHERE length(text) >= 50", "ev")),
     Query("l7_output_pairs", lambda c: L.output_pairs(c.events, from_rank=3), W(
         "WITH o AS (SELECT repo_id, run_id, source_id AS node, arg_max(preview, timestamp_ns) AS pv FROM ev WHERE preview IS NOT NULL AND source_id <> '' GROUP BY ALL), r AS (SELECT repo_id, run_id, row_number() OVER (PARTITION BY repo_id ORDER BY run_id) AS k FROM (SELECT DISTINCT repo_id, run_id FROM ev)) "
         "SELECT b.repo_id, b.node, b.run_id, b.pv AS other_output, a.pv AS first_output FROM o b JOIN r rb ON rb.run_id = b.run_id AND rb.k >= 3 JOIN r ra ON ra.repo_id = b.repo_id AND ra.k = 1 JOIN o a ON a.run_id = ra.run_id AND a.node = b.node WHERE length(a.pv) >= 20 AND length(b.pv) >= 20", "ev")),

@@ -81,7 +81,11 @@ QUERIES = [
         "coalesce(text <> '' AND lang <> '', false) AS text_ready, quality IS NOT NULL AND toxic IS NOT NULL AS label_ready FROM documents LEFT JOIN labels USING (doc_id)")),
     Query("b11_execution_metadata", lambda c: r6(R.execution_metadata(run_table(c).select("repo_id", "status", "events", F.lit("crewai").alias("framework"), F.col("exit_code").alias("duration_ms")))), W(
         "WITH " + _RT.rstrip(", ") + " SELECT repo_id, count(*) AS num_runs, CAST(sum(events) AS BIGINT) AS total_events, round(count(*) FILTER (status IN ('SUCCESS', 'PARTIAL_SUCCESS')) / count(*), 6) AS success_rate, round(avg(exit_code), 6) AS mean_duration_ms, 'crewai' AS frameworks FROM rt GROUP BY 1", "users")),
-    Query("b13_llm_attribution", lambda c: R.llm_attribution(c.events)),
+    Query("b13_llm_attribution", lambda c: R.llm_attribution(c.events), W(
+        "WITH k AS (SELECT *, CAST(event_id AS VARCHAR) AS eid, last_value(CASE WHEN event_type = 'agent.task_start' THEN coalesce(nullif(source_id, ''), nullif(source_name, ''), 'agent') WHEN event_type = 'agent.task_end' THEN '' END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY timestamp_ns, CAST(event_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open "
+        "FROM ev WHERE event_type IN ('agent.task_start', 'agent.task_end', 'llm.call_end')), s AS (SELECT run_id, source_id AS n, min(timestamp_ns) AS since FROM ev WHERE event_type = 'agent.task_start' AND source_id <> '' GROUP BY ALL) "
+        "SELECT k.repo_id, k.run_id, eid AS event_id, coalesce(CASE WHEN stack_top IS NOT NULL THEN CASE WHEN a.since <= timestamp_ns THEN src_struct WHEN b.since <= timestamp_ns THEN stack_top END END, nullif(open, ''), '') AS agent_key, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens "
+        "FROM k LEFT JOIN s a ON a.run_id = k.run_id AND a.n = src_struct LEFT JOIN s b ON b.run_id = k.run_id AND b.n = stack_top WHERE event_type = 'llm.call_end'", "ev")),
     Query("b13_agent_tasks", lambda c: R.agent_tasks(c.events).select("repo_id", "run_id", "task_id", "agent_key", "status"), W(
         "WITH k AS (SELECT *, coalesce(nullif(source_id, ''), nullif(source_name, ''), 'agent') AS ak, CAST(event_id AS VARCHAR) AS eid FROM ev WHERE event_type IN ('agent.task_start', 'agent.task_end')), "
         "g AS (SELECT *, last_value(CASE WHEN event_type = 'agent.task_start' THEN eid END IGNORE NULLS) OVER (PARTITION BY run_id, ak ORDER BY timestamp_ns, eid ROWS UNBOUNDED PRECEDING) AS tid FROM k), "

@@ -10,10 +10,10 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Plain queries that SQL does not check yet; whatever is not listed here must have SQL. Their operators have unit tests
 # or are parts of checked queries.
 UNCHECKED = {
-    "b13_llm_attribution", "b24_failure_prevalence", "c11_error_messages", "g4_stop_mechanisms", "g14_silent_failure_modes", "g14_failure_examples", "g32_behavioral_records",
-    "h1_patterns", "h11_novel_patterns", "h18_correlations", "i1_fingerprints", "i2_normalized_fingerprints", "i22_i24_matches", "i26_i28_match_context",
-    "i33_semantic_risk", "i37_behavior_texts", "j3_json_content_types", "j30_best_contacts", "l8_chain_texts", "m5_m6_m8_differential", "n16_discovery_sample",
-    "n18_coverage_report", "o3_finding_ids", "o4_emergent_heuristics", "o6_failure_catalog", "o7_catalog_examples", "o10_prediction_match",
+    "b24_failure_prevalence", "c11_error_messages", "g4_stop_mechanisms", "g14_silent_failure_modes", "g14_failure_examples", "g32_behavioral_records",
+    "h1_patterns", "h11_novel_patterns", "h18_correlations", "i1_fingerprints", "i2_normalized_fingerprints", "i26_i28_match_context",
+    "i33_semantic_risk", "j3_json_content_types", "m5_m6_m8_differential", "n16_discovery_sample",
+    "n18_coverage_report", "o4_emergent_heuristics", "o6_failure_catalog", "o7_catalog_examples", "o10_prediction_match",
 }
 PLAIN = {q.name for q in entry.catalog()}
 
