@@ -38,7 +38,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "model")
-    return found.select("doc_id", *(number(k).alias(f"n_{k}") for k in ("assign", "access", "hex", "model")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), number("model").alias("n_model"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
