@@ -91,3 +91,39 @@ def script_failure_modes(signals: DataFrame) -> DataFrame:
     hit = F.col("occurrences") > 0
     text = F.when(hit, F.concat(F.lit("Seen "), F.col("occurrences").cast("string"), F.lit(" times: "), F.array_join("seen", ", ")))
     return out.select("repo_id", "finding_id", "finding_name", "failure_type", hit.alias("manifestation_observed"), "occurrences", hit.alias("downstream_impact"), text.alias("failure_description"))
+
+
+# ---- traces of any shape ---------------------------------------------------------------
+# fixed values: canonical field -> names it goes by, first found wins
+TRACE_NAMES = {
+    "error_source_node": ["error_source_node", "origin_node"], "error_type": ["error_type", "origin_error_type"], "propagation_stopped_by": ["propagation_stopped_by"], "stop_mechanism": ["stop_mechanism", "error_handling_observed"], "run_id": ["run_id"],
+}
+PATH_NAMES = {"structural_predicted_path": ["structural_predicted_path", "propagation_path"], "actual_observed_path": ["actual_observed_path", "propagation_path"]}
+IMPACT = ["nodes_affected", "downstream_errors", "downstream_tasks_failed", "cascade_depth"]
+
+
+def normalized_traces(traces: DataFrame) -> DataFrame:
+    """Canonical columns of error traces(key columns, t), t a variant object of either naming.
+
+    A field takes the first of its names that is there, even if it does not fit its kind (then it is '' or an empty list).
+    The impact is an object with counters (missing ones 0), or a flag that stands for one node, one error and one step.
+    """
+    from spoor.sources.scans import field
+
+    there = lambda n: field(n, "variant", doc="t")
+
+    def first(names: list[str], kind: str, default):
+        out = default
+        for n in reversed(names):
+            out = F.when(there(n).isNotNull(), F.coalesce(field(n, kind, doc="t"), default)).otherwise(out)
+        return out
+
+    empty = F.array().cast("array<string>")
+    kind = F.schema_of_variant(there("downstream_impact"))
+    flag = F.coalesce((kind == "BOOLEAN") & field("downstream_impact", "boolean", doc="t"), F.lit(False))
+    counted = kind.startswith("OBJECT")
+    impact = [F.when(F.coalesce(counted, F.lit(False)), F.coalesce(field(f"downstream_impact.{k}", "long", doc="t"), F.lit(0))).otherwise(F.lit(0) if k == "downstream_tasks_failed" else flag.cast("long")).alias(k) for k in IMPACT]
+    keys = [c for c in traces.columns if c != "t"]
+    return traces.select(
+        *keys, *[first(names, "string", F.lit("")).alias(c) for c, names in TRACE_NAMES.items()], *[first(names, "array<string>", empty).alias(c) for c, names in PATH_NAMES.items()], *impact,
+        F.coalesce(field("structural_prediction_match", "boolean", doc="t"), F.lit(False)).alias("structural_prediction_match"))

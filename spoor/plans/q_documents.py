@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from spoor.operators import baselines as B
 from spoor.operators import constraints as C
 from spoor.operators import failure as X
-from spoor.operators.actual_paths import script_failure_modes
+from spoor.operators.actual_paths import normalized_traces, script_failure_modes
 from spoor.plans.corpus import Corpus, Query
 from spoor.plans.q_failure import _ACTUAL, _MET, _UNPIV, G18, actual
 from spoor.plans.q_reference import RULE, scans
@@ -56,6 +56,12 @@ def records(c: Corpus):
     return c.keep("record_documents", build)
 
 
+def normalized(c: Corpus):
+    t = records(c).withColumn("doc", F.try_parse_json("raw")).select("repo_id", F.posexplode(F.try_variant_get("doc", "$.error_propagation", "array<variant>")).alias("at", "t"))
+    n = normalized_traces(t)
+    return n.select("repo_id", "at", "error_source_node", "stop_mechanism", F.array_join("structural_predicted_path", "->").alias("predicted"), F.array_join("actual_observed_path", "->").alias("observed"), "nodes_affected", "cascade_depth")
+
+
 def artifacts(c: Corpus):
     rules = scans(c).select(F.explode("finding_rules").alias("finding_id")).distinct().withColumn("finding_name", F.col("finding_id"))
     found = script_failure_modes(X.run_signals(c.events)).select("finding_id", "finding_name").distinct()
@@ -80,6 +86,9 @@ QUERIES = [
         "WITH " + _ACTUAL + "ix AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY run_id, eid) - 1 AS i FROM pa) "
         "SELECT 'record' AS \"table\", rule, repo_id AS key, detail FROM (SELECT DISTINCT repo_id, 'missing_section' AS rule, 'failure_modes' AS detail FROM ix WHERE right(repo_id, 1) = '5' UNION ALL SELECT repo_id, 'trace_without_source', '[' || i || ']' FROM ix WHERE i % 7 = 3 "
         "UNION ALL SELECT repo_id, 'observed_path_no_list', '[' || i || ']' FROM ix WHERE i % 5 = 4 UNION ALL SELECT repo_id, 'stop_mechanism_no_text', '[' || i || ']' FROM ix WHERE i % 9 = 8 UNION ALL SELECT repo_id, 'impact_counter_missing', '[' || i || '].cascade_depth' FROM ix WHERE i % 6 = 5)", "ev")),
+    Query("g34_normalized_traces", normalized, W(
+        "WITH " + _ACTUAL + "ix AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY run_id, eid) - 1 AS i FROM atr) SELECT repo_id, CAST(i AS INTEGER) AS at, CASE WHEN i % 7 = 3 THEN '' ELSE coalesce(source, '') END AS error_source_node, CASE WHEN i % 9 = 8 THEN '7' ELSE stop_mechanism END AS stop_mechanism, array_to_string(path, '->') AS predicted, "
+        "CASE WHEN i % 5 = 4 THEN '' ELSE array_to_string(path, '->') END AS observed, len(path) AS nodes_affected, CASE WHEN i % 6 = 5 THEN CAST(0 AS BIGINT) ELSE 1 END AS cascade_depth FROM ix", "ev")),
     Query("a23_artifact_checks", artifacts, W(
         "WITH " + _MET + _UNPIV + f"ru AS (SELECT DISTINCT {RULE} AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), "
         f"sf AS (SELECT DISTINCT finding_id FROM ({G18})), rv AS (SELECT repo_id, count(DISTINCT run_id) AS n FROM ev GROUP BY 1), "

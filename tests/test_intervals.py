@@ -78,3 +78,15 @@ def test_actual_traces(spark):
     got = {(r["run_id"], r["event_id"]): (r["source"], r["actual_path"], r["stop_mechanism"]) for r in A.actual_traces(df).collect()}
     assert got == plain_traces(rows)
     assert A.actual_traces(df.limit(0)).count() == 0
+
+
+def test_normalized_traces(spark):
+    rows = [("new", '{"error_source_node":"a","structural_predicted_path":["a","b"],"actual_observed_path":["a"],"stop_mechanism":"retry","downstream_impact":{"nodes_affected":3},"structural_prediction_match":true,"run_id":"r"}'),
+            ("old", '{"origin_node":"o","origin_error_type":"T","propagation_path":["x"],"error_handling_observed":"h","downstream_impact":true}'), ("none", '{"error_source_node":null,"downstream_impact":false,"actual_observed_path":"x"}'), ("odd", '{"downstream_impact":5}')]
+    df = spark.createDataFrame(rows, "k string, raw string").select("k", F.try_parse_json("raw").alias("t"))
+    got = {r["k"]: r.asDict() for r in A.normalized_traces(df).collect()}
+    pick = lambda k, *c: tuple(got[k][x] for x in c)
+    assert pick("new", "error_source_node", "structural_predicted_path", "actual_observed_path", "stop_mechanism", "structural_prediction_match", "run_id") == ("a", ["a", "b"], ["a"], "retry", True, "r")
+    assert pick("new", *A.IMPACT) == (3, 0, 0, 0) and pick("old", *A.IMPACT) == (1, 1, 0, 1) and pick("none", *A.IMPACT) == pick("odd", *A.IMPACT) == (0, 0, 0, 0)
+    assert pick("old", "error_source_node", "error_type", "structural_predicted_path", "actual_observed_path", "stop_mechanism") == ("o", "T", ["x"], ["x"], "h")
+    assert pick("none", "error_source_node", "actual_observed_path") == ("", [])
