@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from spoor.operators import baselines as B
@@ -11,7 +13,8 @@ from spoor.operators.actual_paths import normalized_traces, script_failure_modes
 from spoor.plans.corpus import Corpus, Query
 from spoor.plans.q_failure import _ACTUAL, _MET, _UNPIV, G18, actual
 from spoor.plans.q_reference import RULE, scans
-from spoor.session import land
+from spoor.session import _checkpoint_dir, land
+from spoor.sources import jsonl
 from spoor.sources.tables import with_ctes as W
 
 
@@ -62,6 +65,24 @@ def normalized(c: Corpus):
     return n.select("repo_id", "at", "error_source_node", "stop_mechanism", F.array_join("structural_predicted_path", "->").alias("predicted"), F.array_join("actual_observed_path", "->").alias("observed"), "nodes_affected", "cascade_depth")
 
 
+def trace_folder(c: Corpus) -> str:
+    """The corpus events as a folder of JSON lines; some lines are cut short, some name their tokens otherwise."""
+    if "trace_folder" not in c._kept:
+        path = f"{_checkpoint_dir(c.spark)}/traces/{uuid.uuid4().hex}"
+        n = F.col("event_id").cast("long")
+        doc = F.to_json(F.struct(*c.events.columns))
+        doc = F.when(n % 97 == 0, F.substring(doc, 1, 30)).when(n % 3 == 0, F.replace(F.replace(doc, F.lit('"input_tokens"'), F.lit('"prompt_tokens"')), F.lit('"output_tokens"'), F.lit('"completion_tokens"'))).otherwise(doc)
+        c.events.select(doc.alias("value")).write.text(path)
+        c._kept["trace_folder"] = c.spark.createDataFrame([(path,)], "path string")
+    return c._kept["trace_folder"].first()["path"]
+
+
+def read_back(c: Corpus):
+    good, bad = jsonl.read_events(c.spark, trace_folder(c), "*.txt")
+    counted = good.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("payload.input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("payload.output_tokens"), F.lit(0)).alias("output_tokens"))
+    return counted.unionByName(bad.agg(F.lit("(quarantined)").alias("event_type"), F.count(F.lit(1)).alias("events"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens")))
+
+
 def artifacts(c: Corpus):
     rules = scans(c).select(F.explode("finding_rules").alias("finding_id")).distinct().withColumn("finding_name", F.col("finding_id"))
     found = script_failure_modes(X.run_signals(c.events)).select("finding_id", "finding_name").distinct()
@@ -77,6 +98,9 @@ _EXP = (
 )
 
 QUERIES = [
+    Query("a2_events_of_a_folder", read_back, W(
+        "SELECT event_type, count(*) AS events, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM ev WHERE event_id % 97 > 0 GROUP BY 1 "
+        "UNION ALL SELECT '(quarantined)', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ev WHERE event_id % 97 = 0", "ev")),
     Query("a10_export_violations", lambda c: C.export_violations(export_lines(c))[0], "WITH " + _EXP + (
         "SELECT 'export' AS \"table\", rule, CAST(line AS VARCHAR) AS key, detail FROM (SELECT line, 'invalid_json' AS rule, '' AS detail FROM xd WHERE NOT valid UNION ALL SELECT line, 'not_an_object', '' FROM xd WHERE valid AND NOT obj "
         "UNION ALL SELECT line, 'missing_field', 'framework' FROM xd WHERE obj AND line % 31 = 0 UNION ALL SELECT line, 'not_a_github_url', repo FROM xd WHERE obj AND line % 37 = 0 UNION ALL SELECT line, 'no_runs', repo FROM xd WHERE obj AND line % 43 = 0 "

@@ -13,9 +13,13 @@ _FLAT = ["node_id", "timestamp", "status", "output_preview", "last_user_message_
          "source_node_id", "target_node_id", "state_key", "access_type", "accessor_node"]
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of all *.jsonl files below a folder, with file and run number."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+# counters that some frameworks write under other names, in the payload or at top level
+_TOKENS = {"input_tokens": ["prompt_tokens"], "output_tokens": ["completion_tokens"], "latency_ms": []}
+
+
+def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """Non-blank lines of all files below a folder whose name fits `glob`, with file and run number."""
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.jsonl$", 1)
     return df.select(
         F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), name.alias("file_stem"),
@@ -45,9 +49,19 @@ def parse_events(lines: DataFrame, line: str = "line") -> DataFrame:
             F.when(F.startswith(F.coalesce(text, F.lit("")), F.lit("{")), parsed),
             F.when(rid.isNotNull(), F.struct(F.lit("").alias("node_type"), rid.alias("node_id"), F.lit("").alias("node_name"))).cast(NODE_REF))
 
+    names = [n for own, others in _TOKENS.items() for n in (own, *others)]
+    numbers = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    counters = F.from_json(F.col(line), T.StructType([*numbers.fields, T.StructField("payload", numbers)]))
+    e = e.withColumn("_n", counters)
+
+    def counter(own: str, dtype: T.DataType) -> F.Column:
+        """The payload's own field unless it is 0, else its other names, else the same at top level, else the 0."""
+        other = [F.col(f"_n.payload.{n}") for n in _TOKENS[own]] + [F.col(f"_n.{n}") for n in (own, *_TOKENS[own])]
+        return F.coalesce(F.nullif(payload[own], F.lit(0)), *[F.nullif(c.cast(dtype), F.lit(0)) for c in other], payload[own])
+
     payload = F.col("_e.payload")
     fill = {n: flat[n] for n in _FLAT if n in EVENT["payload"].dataType.fieldNames()}
-    fields = [F.coalesce(payload[f.name], fill[f.name].cast(f.dataType)).alias(f.name) if f.name in fill else payload[f.name].alias(f.name) for f in EVENT["payload"].dataType.fields]
+    fields = [(counter(f.name, f.dataType) if f.name in _TOKENS else F.coalesce(payload[f.name], fill[f.name].cast(f.dataType)) if f.name in fill else payload[f.name]).alias(f.name) for f in EVENT["payload"].dataType.fields]
     out = e.select(
         *[c for c in lines.columns], "corrupt",
         *[F.col(f"_e.{n}").alias(n) for n in ("event_id", "run_id", "repo_id", "framework", "event_type", "edge_type", "parent_event_id", "stack_depth")],
@@ -60,9 +74,9 @@ def parse_events(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.withColumn("valid", ~F.col("corrupt") & present)
 
 
-def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(valid canonical events, quarantined lines)."""
-    parsed = parse_events(raw_lines(spark, path))
+    parsed = parse_events(raw_lines(spark, path, glob))
     return parsed.filter("valid").select(*EVENT.names, "file_stem", "run_number"), parsed.filter("NOT valid").select("file", "line", "corrupt")
 
 

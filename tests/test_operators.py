@@ -249,5 +249,13 @@ def test_stream_running_depth(spark, tmp_path):
     assert [(r["depth"], r["max_depth"]) for r in spark.table("depths").collect()] == [(1, 2)]
 
 
+def test_token_counters_by_any_name(spark, tmp_path):
+    base = {"timestamp_ns": 5, "run_id": "r", "repo_id": "p", "event_type": "llm.call_end"}
+    rows = [{"payload": {"input_tokens": 7, "prompt_tokens": 9}}, {"payload": {"prompt_tokens": 3, "completion_tokens": 4}}, {"completion_tokens": 6, "latency_ms": 2.5}, {"payload": {"latency_ms": 1.5}, "latency_ms": 9.0}]
+    (tmp_path / "events_run_1.jsonl").write_text("\n".join(json.dumps(base | {"event_id": str(i)} | r) for i, r in enumerate(rows)))
+    got = {r["event_id"]: (r["payload"]["input_tokens"], r["payload"]["output_tokens"], r["payload"]["latency_ms"]) for r in jsonl.read_events(spark, str(tmp_path))[0].collect()}
+    assert got == {"0": (7, None, None), "1": (3, 4, None), "2": (None, 6, 2.5), "3": (None, None, 1.5)}
+
+
 def test_event_schema_is_fixed():
     assert EVENT.names[:4] == ["event_id", "timestamp_ns", "run_id", "repo_id"] and "payload" in EVENT.names
