@@ -116,3 +116,12 @@ def vulnerability(nodes: DataFrame, edges: DataFrame, far: DataFrame, errors: Da
     else:
         cut_ = F.lit(0.0)
     return j.withColumn("vulnerability_score", F.greatest(F.lit(0.0), F.col("raw_score") - cut_)).drop("total")
+
+
+def all_scores(permission: DataFrame, privacy: DataFrame, cost: DataFrame, readiness: DataFrame) -> DataFrame:
+    """One row per repository with its four scores; a score that could not be had is null and leaves the others alone."""
+    parts = [permission.select("repo_id", "permission_risk_score"), privacy.select("repo_id", "privacy_exposure_score"), cost.select("repo_id", "cost_risk_score"), readiness.select("repo_id", "audit_readiness_score")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "repo_id", "full")
+    return out

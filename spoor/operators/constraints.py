@@ -156,6 +156,17 @@ def record_violations(records: DataFrame) -> DataFrame:
     return top.unionByName(per)
 
 
+# ---- selection input -------------------------------------------------------------------
+# fixed values: keys that every scanned repository brings to selection
+SELECTION_KEYS = ["repo_full_name", "graph", "findings", "control_inventory", "framework", "agent_count", "edge_count"]
+
+
+def selection_input_violations(documents: DataFrame) -> DataFrame:
+    """One row per key that a scan document(scan_id, raw) lacks; text that is no object lacks all."""
+    d = documents.withColumn("keys", F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")))
+    return violations(d, Constraints("selection_input", F.col("scan_id"), [Rule("missing_field", ~F.array_contains("keys", k), F.lit(k)) for k in SELECTION_KEYS]))[0]
+
+
 # ---- report artifacts ------------------------------------------------------------------
 def artifact_summary(catalog: DataFrame, baselines: DataFrame, reports: DataFrame, min_reports: int = 100) -> DataFrame:
     """(artifact, rule, broken): prefixed finding ids, readable names, the schema version, and enough reports.

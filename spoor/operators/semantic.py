@@ -237,3 +237,29 @@ def semantic_findings(fidelity: DataFrame, chains: DataFrame, escalations: DataF
         part = rows.select("repo_id", F.lit(finding).alias("finding_id"), F.lit(name).alias("finding_name"), F.lit(severity).alias("severity"), "subject", F.col("measure").cast("double").alias("measure"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# fixed values: fabrication risks from harmless to grave
+RISKS = ["none", "low", "medium", "high"]
+
+
+def node_semantics(nodes: DataFrame, stability: DataFrame, vulnerability: DataFrame, escalations: DataFrame) -> DataFrame:
+    """`nodes`(repo_id, node) with stability_score, vulnerability_score, escalation_rate, max_fabrication_risk, compensatory_assertion_observed.
+
+    Nodes without an answer keep nulls. Unknown risks count as none; of repeated stability or vulnerability rows the
+    greatest score counts.
+    """
+    key = ["repo_id", "node"]
+    rank = F.greatest(F.array_position(F.array(*map(F.lit, RISKS)), F.coalesce("fabrication_risk", F.lit("none"))) - 1, F.lit(0))
+    esc = escalations.groupBy(*key).agg(
+        F.avg((F.coalesce("confidence_trajectory", F.lit("")) == "escalating").cast("double")).alias("escalation_rate"), F.get(F.array(*map(F.lit, RISKS)), F.max(rank).cast("int")).alias("max_fabrication_risk"),
+        F.max(F.coalesce("compensatory_assertion", F.lit(False))).alias("compensatory_assertion_observed"))
+    out = nodes.select(*key)
+    for part in (stability.groupBy(*key).agg(F.max("stability_score").alias("stability_score")), vulnerability.groupBy(*key).agg(F.max("vulnerability_score").alias("vulnerability_score")), esc):
+        out = out.join(part, key, "left")
+    return out
+
+
+def boundary_patterns(patterns: DataFrame) -> DataFrame:
+    """Defensive patterns near an agent boundary, which stand for every edge of their repository."""
+    return patterns.filter(F.coalesce("near_boundary", F.lit(False)))

@@ -174,3 +174,10 @@ QUERIES = [
     Query("k36_riskiest_states", lambda c: r6(K.riskiest_states(seq(c), K.transitions(seq(c)))), W(
         "WITH " + _MK + "z AS (SELECT dn.state, (coalesce((SELECT sum(n) FROM cn WHERE cn.state = dn.state AND (nx LIKE 'error:%' OR nx LIKE 'fail:%')), 0) + (SELECT count(*) FROM sz WHERE state LIKE 'error:%' OR state LIKE 'fail:%')) / den AS risk FROM dn WHERE NOT (state LIKE 'error:%' OR state LIKE 'fail:%')) SELECT state, round(risk, 6) AS risk FROM z ORDER BY round(risk, 9) DESC, state LIMIT 10", "ev")),
 ]
+
+_BY_NAME = {q.name: q for q in QUERIES}
+_PART = "(SELECT repo_id, {1} FROM ({0})) AS {2}"
+QUERIES.append(Query(
+    "k31_all_scores", lambda c: r6(A.all_scores(X.permission_risk(direct(c), closure(c), c.edges, calls(c)), X.privacy_exposure(domains(c), c.edges), C.cost_risk(c.events), A.audit_readiness(c.events, c.nodes, c.edges, direct(c), reg_findings(c)))),
+    "SELECT repo_id, permission_risk_score, privacy_exposure_score, cost_risk_score, audit_readiness_score FROM " + " FULL JOIN ".join(
+        _PART.format(_BY_NAME[n].sql, col, f"p{i}") + (" USING (repo_id)" if i else "") for i, (n, col) in enumerate((("k5_permission_risk", "permission_risk_score"), ("k9_privacy_exposure", "privacy_exposure_score"), ("k14_cost_risk", "cost_risk_score"), ("k25_audit_readiness", "audit_readiness_score"))))))

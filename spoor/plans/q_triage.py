@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spoor.operators import semantic as L
 from spoor.operators import triage as T
-from spoor.plans.corpus import Corpus, Query
+from spoor.plans.corpus import Corpus, Query, r6
 
 PATHS = ["main.py", "./app.py", "src/run.py", "run.py", "cli.py", "examples/demo1.py", "tests/test_a.py", "pkg/__main__.py", "docs/Demo.py", "Dockerfile", ".github/workflows/ci.yml", ".env", "ops/Prometheus.yaml", "infra/vault.hcl", "tests/test_b.py", "testing", "k8s/x.yaml", "readme.md", "demo.txt"]
 PATH = "CASE l_partkey % " + str(len(PATHS)) + " " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATHS)) + " END"
@@ -85,9 +85,17 @@ def drifting(c: Corpus):
     return L.drifting_edges(line.select(F.expr("concat('firm_', o_custkey)").alias("repo_id"), F.expr("concat('s', l_suppkey % 3)").alias("source"), F.expr("concat('s', l_suppkey % 4)").alias("target"), F.expr("l_orderkey * 10 + l_linenumber").alias("ord"), F.expr("l_quantity < 20").alias("hedging_preserved"), F.expr("l_discount > 0.02").alias("factual_additions"), F.expr("CASE l_returnflag WHEN 'R' THEN 'omission' WHEN 'A' THEN 'distortion' END").alias("mode"), F.expr("l_tax > 0.075").alias("failed")))
 
 
+def node_data(c: Corpus):
+    line = c.table("lineitem").join(c.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"repo_id": F.expr("concat('firm_', o_custkey)"), "node": F.expr("concat('s', l_suppkey)")})
+    esc = line.filter("l_linenumber > 3").select("repo_id", "node", F.expr("CASE WHEN l_quantity > 30 THEN 'escalating' ELSE 'flat' END").alias("confidence_trajectory"), F.expr("CASE l_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'unheard of' END").alias("fabrication_risk"), F.expr("l_partkey % 2 = 0").alias("compensatory_assertion"))
+    return r6(L.node_semantics(line.select("repo_id", "node").distinct(), line.filter("l_returnflag = 'R'").select("repo_id", "node", F.col("l_discount").alias("stability_score")), line.filter("l_returnflag = 'A'").select("repo_id", "node", F.col("l_tax").alias("vulnerability_score")), esc))
+
+
 QUERIES = [
     Query("n37_entry_points", starts, "WITH " + _ST),
     Query("n46_n48_maturity", lambda c: T.maturity_scores(repos(c), files(c), F.expr(NOW)), "WITH " + _MA),
     Query("g26_semantic_findings", findings, "WITH " + _SF + f"SELECT repo_id, finding_id, {_NM}, subject, CAST(measure AS DOUBLE) AS measure FROM fs"),
     Query("g26_drifting_edges", drifting, "WITH " + _DM),
+    Query("g28_node_semantics", node_data, "WITH ln AS (SELECT concat('firm_', o_custkey) AS repo_id, concat('s', l_suppkey) AS node, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT repo_id, node, round(max(l_discount) FILTER (l_returnflag = 'R'), 6) AS stability_score, round(max(l_tax) FILTER (l_returnflag = 'A'), 6) AS vulnerability_score, round(avg(CAST(l_quantity > 30 AS DOUBLE)) FILTER (l_linenumber > 3), 6) AS escalation_rate, "
+        "CASE max(CASE l_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 0 END) FILTER (l_linenumber > 3) WHEN 3 THEN 'high' WHEN 1 THEN 'low' WHEN 0 THEN 'none' END AS max_fabrication_risk, bool_or(l_partkey % 2 = 0) FILTER (l_linenumber > 3) AS compensatory_assertion_observed FROM ln GROUP BY ALL"),
 ]
