@@ -148,9 +148,8 @@ def fill_floors(chosen: DataFrame, pool: DataFrame, groups: list[list[tuple[str,
             need = lacks[i] - taken.get(i, 0)
             if need > 0:
                 now = near.filter(F.col("floor") == i).join(picks.select("repo_id"), "repo_id", "left_anti").orderBy(*order).limit(need)
-                now = now.withColumn("place", F.row_number().over(W.orderBy(*order)) + start).select("repo_id", F.lit(name).alias("coverage_fill"), F.col("place").cast("long"))
+                now = now.withColumn("place", F.row_number().over(W.orderBy(*order)) + start + picks.count()).select("repo_id", F.lit(name).alias("coverage_fill"), F.col("place").cast("long"))
                 picks = land(picks.unionByName(now), "floor_picks")
-                start += need
             i += 1
     return picks
 

@@ -59,7 +59,7 @@ QUERIES = [
     Query("a17_behavioral_class", lambda c: A.behavioral_class(c.events), W("SELECT repo_id, run_id, CASE WHEN bool_or(event_type LIKE 'agent.%') AND bool_or(event_type LIKE 'llm.%') THEN 'FULL_BEHAVIORAL' WHEN bool_or(event_type LIKE 'llm.%') THEN 'LLM_ONLY' ELSE 'NO_BEHAVIORAL_DATA' END AS behavioral_class FROM ev GROUP BY ALL", "ev")),
     Query("a18_file_counters", lambda c: A.file_counters(J.parse_events(event_lines(c)), ["file_stem"]).withColumnRenamed("file_stem", "repo_id"), W(
         "SELECT repo_id, count(*) + count(*) FILTER (event_type = 'error.cascade') AS event_count, count(*) FILTER (event_type = 'error.cascade') AS corrupt_lines, CAST(0 AS BIGINT) AS double_prefix, count(*) FILTER (event_type = 'llm.call_start') AS llm_starts, count(*) FILTER (event_type = 'llm.call_end') AS llm_ends, "
-        "count(*) FILTER (event_type LIKE 'agent.%') AS agent_events, CAST(0 AS BIGINT) AS has_user_message, count(*) FILTER (event_type = 'llm.call_end' AND preview IS NOT NULL) AS has_output FROM ev GROUP BY repo_id", "ev")),
+        "count(*) FILTER (event_type LIKE 'agent.%') AS agent_events, count(*) FILTER (event_type = 'llm.call_start' AND user_message IS NOT NULL) AS has_user_message, count(*) FILTER (event_type = 'llm.call_end' AND preview IS NOT NULL) AS has_output FROM ev GROUP BY repo_id", "ev")),
     Query("a19_corpus_quality", lambda c: r6(A.corpus_quality(c.nodes.groupBy("repo_id").agg(F.lit("scan_1").alias("scan_id"), F.lit(True).alias("has_events"), (F.min("framework") != "autogen").alias("has_metadata"), F.lit(0).alias("double_prefix")), A.behavioral_class(c.events))), W(
         "WITH b AS (SELECT repo_id, bool_or(event_type LIKE 'llm.%') AS l FROM ev GROUP BY 1), r AS (SELECT repo_id, min(framework) <> 'autogen' AS m FROM nodes GROUP BY 1) SELECT count(*) AS repos_total, count(*) AS repos_with_events, count(*) FILTER (m) AS repos_with_metadata, count(*) FILTER (l) AS behavioral_repos, "
         "CAST(0 AS BIGINT) AS double_prefix, CAST(1 AS BIGINT) AS scan_ids, round(30 + 20 * count(*) FILTER (m) / count(*) + 30 * count(*) FILTER (l) / count(*) + 20, 6) AS data_quality_score FROM r LEFT JOIN b USING (repo_id)", "ev", "nodes")),
@@ -74,7 +74,7 @@ QUERIES = [
     Query("a22_duplicate_texts", lambda c: c.table("documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "SELECT sha256(text) AS hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1"),
     Query("a24_trace_profile", lambda c: r6(A.trace_profile(c.events)), W(
         "SELECT repo_id, count(*) AS total_events, bool_or(preview IS NOT NULL) AS has_output, coalesce(bool_or(input_tokens > 0 OR output_tokens > 0), false) AS has_tokens, bool_or(event_type = 'routing.decision') AS has_edge_events, bool_or(event_type LIKE 'delegation.%') AS has_delegation_events, "
-        "count(DISTINCT nullif(source_id, '')) AS unique_source_nodes, count(DISTINCT nullif(source_name, '')) AS unique_agents, round((CAST(bool_or(preview IS NOT NULL) AS INT) + CAST(coalesce(bool_or(input_tokens > 0 OR output_tokens > 0), false) AS INT)) / 4, 6) AS io_completeness FROM ev GROUP BY repo_id", "ev")),
+        "count(DISTINCT nullif(source_id, '')) AS unique_source_nodes, count(DISTINCT nullif(source_name, '')) AS unique_agents, round((CAST(bool_or(preview IS NOT NULL) AS INT) + CAST(coalesce(bool_or(user_message IS NOT NULL), false) AS INT) + CAST(coalesce(bool_or(input_tokens > 0 OR output_tokens > 0), false) AS INT)) / 4, 6) AS io_completeness FROM ev GROUP BY repo_id", "ev")),
     Query("a32_first_payloads", lambda c: A.first_payloads(c.events).select("repo_id", "event_type", "event_id"), W("SELECT repo_id, event_type, CAST(arg_min(event_id, timestamp_ns) AS VARCHAR) AS event_id FROM ev GROUP BY ALL", "ev")),
     Query("a12_field_coverage", lambda c: r6(A.coverage(c.table("documents").join(c.table("labels"), "doc_id", "left").select("doc_id", "lang", "source", "text", "quality", "toxic"), {"text": ["text", "lang"], "label": ["quality", "toxic"]}).select("doc_id", "coverage_pct", "text_ready", "label_ready")), (
         "SELECT doc_id, CAST((CASE WHEN text <> '' THEN 1 ELSE 0 END + CASE WHEN lang <> '' THEN 1 ELSE 0 END + CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN toxic IS NOT NULL THEN 1 ELSE 0 END) * 25 AS DOUBLE) AS coverage_pct, "
