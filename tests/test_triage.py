@@ -29,3 +29,13 @@ def test_drifting_edges(spark):
     df = spark.createDataFrame(rows, "repo_id string, source string, target string, ord int, hedging_preserved boolean, factual_additions boolean, mode string, failed boolean")
     assert [tuple(r) for r in L.drifting_edges(df).collect()] == [("r", "a", "b", 1.0, "x", 2)]
     assert L.drifting_edges(df.limit(0)).count() == 0
+
+
+def test_node_semantics(spark):
+    nodes = spark.createDataFrame([("r", "a"), ("r", "b")], "repo_id string, node string")
+    stable = spark.createDataFrame([("r", "a", 0.2), ("r", "a", 0.4)], "repo_id string, node string, stability_score double")
+    weak = spark.createDataFrame([("r", "x", 0.9)], "repo_id string, node string, vulnerability_score double")
+    esc = spark.createDataFrame([("r", "a", "escalating", "low", None), ("r", "a", None, "odd", True), ("r", "a", "flat", None, False)], "repo_id string, node string, confidence_trajectory string, fabrication_risk string, compensatory_assertion boolean")
+    got = {r["node"]: tuple(r)[2:] for r in L.node_semantics(nodes, stable, weak, esc).collect()}
+    assert got["b"] == (None,) * 5 and got["a"][:2] == (0.4, None) and abs(got["a"][2] - 1 / 3) < 1e-9 and got["a"][3:] == ("low", True)
+    assert L.boundary_patterns(spark.createDataFrame([("r", True), ("r", None), ("r", False)], "repo_id string, near_boundary boolean")).count() == 1
